@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtide.llm import byte_bpe, decontaminate, secrets, token_counts
+from jobtide.llm import byte_bpe, decontaminate, language, secrets, shards, token_counts, url_lists
 
 #: Production parameters.
 TOKEN_VOCABULARY = "word_bpe_49k.json"
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+SHARDS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -39,12 +40,32 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(documents, keep=["doc_id"]))
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return shards.digest(shards.assign_shards(documents, SHARDS, keep=["doc_id"]))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language.learn(documents.where(language.remainder("doc_id", 5) != 0))
+    found = language.identify(documents, model, keep=["doc_id"])
+    held_out = (language.remainder("doc_id", 5) == 0).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
+def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = url_lists.dated_captures(table(spark, sf_dir, "pages", "page_id", "url"))
+    found = url_lists.filter_urls(captures, url_lists.production_list(spark), keep=["page_id", "fetched_at"])
+    return url_lists.digest(found)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op3_decontaminate, op4_byte_bpe, op8_secrets)
+    for f in (op1_token_counts, op3_decontaminate, op4_byte_bpe, op7_shards, op8_secrets, op9_language, op10_url_lists)
 }
 
 ORACLES = {
+    "op10_url_lists": url_lists.ORACLE,
     "op3_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
