@@ -67,7 +67,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def keys(url) -> F.Column:
     """The keys of a URL: its host, the domains above it, and its path's prefixes."""
-    host = F.rtrim(F.lit("."), F.regexp_extract(F.lower(url), HOST, 1))
+    host = F.regexp_replace(F.regexp_extract(F.lower(url), HOST, 1), r"\.+$", "")
     labels = F.split(host, r"\.")
     domains = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
