@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtide.llm import byte_bpe, decontaminate, language, minhash, secrets, shards, token_counts, url_lists
+from jobtide.llm import byte_bpe, decontaminate, hnsw, language, minhash, secrets, shards, token_counts, url_lists
 
 #: Production parameters.
 TOKEN_VOCABULARY = "word_bpe_49k.json"
@@ -40,6 +40,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(documents, keep=["doc_id"]))
 
 
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return hnsw.near_vectors(embeddings, keep=["vec_id"])
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     return minhash.near_duplicates(documents, keep=["doc_id"])
@@ -66,7 +71,7 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op3_decontaminate, op4_byte_bpe, op6_minhash, op7_shards, op8_secrets, op9_language, op10_url_lists)
+    for f in (op1_token_counts, op3_decontaminate, op4_byte_bpe, op5_hnsw, op6_minhash, op7_shards, op8_secrets, op9_language, op10_url_lists)
 }
 
 ORACLES = {
