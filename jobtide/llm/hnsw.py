@@ -201,7 +201,7 @@ def _search(nodes: DataFrame, shards: int, cosine: float, beam: int) -> DataFram
             return Graph(np.concatenate([v for _, v in parts]), ids)
 
         for batch in batches:
-            sizes, of, kinds, ids = (batch.column(k).to_numpy() for k in range(4))
+            of, kinds, ids, sizes = (batch.column(k).to_numpy() for k in range(4))
             change = np.flatnonzero((np.diff(sizes) != 0) | (np.diff(of) != 0) | (np.diff(kinds) != 0)) + 1
             for lo, hi in zip([0, *change], [*change, len(ids)], strict=True):
                 if (key := (sizes[lo], of[lo])) != current:
