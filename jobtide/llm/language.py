@@ -245,3 +245,10 @@ def remainder(doc_id, n: int):
 def accepted():
     """Of identify()'s columns: the text has a language, and enough of it."""
     return (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+
+
+def keep_accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df whose text has a language, and at least LEAST_SCORE of it, with the columns of df."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    found = identify(df.toDF(*names), model, names[df.columns.index(text_col)])
+    return found.where(accepted()).select(*names).toDF(*df.columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtide.llm import byte_bpe, decontaminate, hnsw, language, minhash, secrets, shards, token_counts, url_lists
+from jobtide.llm import byte_bpe, decontaminate, hnsw, language, lm, minhash, secrets, shards, token_counts, url_lists
+from jobtide.llm.batches import Scratch
 
 #: Production parameters.
 TOKEN_VOCABULARY = "word_bpe_49k.json"
@@ -23,6 +24,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents, public_tokenizers.path(TOKEN_VOCABULARY), keep=["doc_id"])
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    scratch = Scratch(spark)
+    model, counts = lm.learn(documents.where(language.remainder("doc_id", 7) != 2), scratch)
+    held_out = (language.remainder("doc_id", 7) == 2).alias("held_out")
+    found = lm.score_texts(documents, model, counts, scratch, keep=["doc_id"])
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     benchmark = table(spark, sf_dir, "benchmark")
@@ -71,7 +81,7 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op3_decontaminate, op4_byte_bpe, op5_hnsw, op6_minhash, op7_shards, op8_secrets, op9_language, op10_url_lists)
+    for f in (op1_token_counts, op2_lm_scores, op3_decontaminate, op4_byte_bpe, op5_hnsw, op6_minhash, op7_shards, op8_secrets, op9_language, op10_url_lists)
 }
 
 ORACLES = {
