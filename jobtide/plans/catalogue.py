@@ -1,6 +1,428 @@
-"""Queries over the driver's tables, one for each group of operators, with their oracles."""
+"""Queries over the driver's tables, one for each group of operators, with DuckDB SQL to hold them against.
+
+Events stand for status observations: a user is a posting of board user_id % 10, `error` means inactive, every other
+type active. Times are given as text in UTC.
+"""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from jobtide.functions import texts, urls
+from jobtide.operators import dom, extract, health, history, merge, paging
+from jobtide.streaming import live
+
+AS_OF = "2024-01-31 00:00:00"
+KEY = ["board", "link"]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def as_of():
+    return F.lit(AS_OF).cast("timestamp")
+
+
+def shown(x):
+    return F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 10).alias("board"), F.col("user_id").alias("link"),
+        F.when(F.col("event_type") == "error", "inactive").otherwise("active").alias("status"),
+        F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"),
+    )
+
+
+def status_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.normalized(observations(spark, sf_dir), KEY, from_active=True)
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as attempts of boards: an error is an empty success or, on every third id, a failure."""
+    failed = (F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 10).alias("board"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), (~failed).alias("ok"),
+        F.when(F.col("event_type") == "error", 0).otherwise(F.floor(F.col("value") / 10)).cast("long").alias("n"),
+    )
+
+
+_HISTORY = """e AS (
+  SELECT user_id % 10 AS board, user_id AS link, CASE WHEN event_type = 'error' THEN 'inactive' ELSE 'active' END AS status,
+    ts AS tm, event_id AS seq FROM events),
+s AS (SELECT *, max(CASE WHEN status = 'active' THEN 1 ELSE 0 END) OVER (PARTITION BY link ORDER BY tm, seq ROWS UNBOUNDED PRECEDING) AS seen FROM e),
+r AS (SELECT *, lag(status) OVER (PARTITION BY link ORDER BY tm, seq) AS before FROM s WHERE seen = 1),
+c AS (SELECT * FROM r WHERE before IS NULL OR before <> status),
+m AS (SELECT *, lag(tm) OVER (PARTITION BY link ORDER BY tm, seq) AS b, lead(tm) OVER (PARTITION BY link ORDER BY tm, seq) AS a FROM c),
+h AS (SELECT board, link, status, tm, seq FROM m WHERE NOT coalesce(
+  (status = 'inactive' AND a - tm <= INTERVAL 6 HOURS) OR (status = 'active' AND tm - b <= INTERVAL 6 HOURS), false)),
+p AS (SELECT *, lead(tm) OVER (PARTITION BY link ORDER BY tm, seq) AS e FROM h),
+i AS (SELECT board, link, tm AS s, coalesce(e, TIMESTAMP '2024-01-31 00:00:00') AS e FROM p WHERE status = 'active' AND (e IS NULL OR e > tm))"""
+_SHOW = "'%Y-%m-%d %H:%M:%S.%f'"
+
+
+@query(f"WITH {_HISTORY} SELECT board, link, status, strftime(tm, {_SHOW}) AS \"at\" FROM h")
+def history_normalize(spark, sf_dir):
+    return status_history(spark, sf_dir).select("board", "link", "status", shown("at").alias("at"))
+
+
+@query()
+def history_fold(spark, sf_dir):
+    """The event-by-event fold, which differs from the windows only for postings that start inactive."""
+    grouped = observations(spark, sf_dir).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("at", "seq", "status"))).alias("h"))
+    return grouped.select(*KEY, F.explode(history.folded(F.col("h"))).alias("e")).select(*KEY, "e.status", shown("e.at").alias("at"))
+
+
+@query(f"WITH {_HISTORY} SELECT board, link, strftime(s, {_SHOW}) AS start, strftime(e, {_SHOW}) AS \"end\" FROM i")
+def active_intervals(spark, sf_dir):
+    return history.intervals(status_history(spark, sf_dir), KEY, as_of()).select(*KEY, shown("start").alias("start"), shown("end").alias("end"))
+
+
+@query(f"""WITH {_HISTORY},
+g AS (SELECT min(s) AS first, greatest(max(e), TIMESTAMP '2024-01-31 00:00:00') AS last FROM i),
+t AS (SELECT unnest(generate_series(first, last, INTERVAL 30 MINUTES)) AS t FROM g),
+d AS (SELECT board, tm, sum(d) AS d FROM (SELECT board, s AS tm, 1 AS d FROM i WHERE e > s UNION ALL SELECT board, e, -1 FROM i WHERE e > s) GROUP BY ALL),
+u AS (SELECT board, tm, sum(d) OVER (PARTITION BY board ORDER BY tm) AS n FROM d),
+b AS (SELECT DISTINCT board FROM i), x AS (SELECT board, t FROM b, t)
+SELECT x.board, strftime(x.t, {_SHOW}) AS time, CAST(coalesce(u.n, 0) AS BIGINT) AS active
+FROM x ASOF LEFT JOIN u ON x.board = u.board AND x.t >= u.tm""")
+def active_step_counts(spark, sf_dir):
+    spans = history.intervals(status_history(spark, sf_dir), KEY, as_of())
+    return history.step_counts(spans, "board", 30, as_of()).select("board", shown("time").alias("time"), "active")
+
+
+@query(f"""WITH {_HISTORY},
+t AS (SELECT TIMESTAMP '2024-01-31 00:00:00' AS now, TIMESTAMP '2024-01-30 00:00:00' AS ago),
+j AS (SELECT link, arg_max(status, seq) AS status, coalesce(min(CASE WHEN status = 'active' THEN tm END), min(tm)) AS since,
+  min(CASE WHEN status = 'active' THEN tm END) AS fa FROM h GROUP BY link),
+k AS (SELECT j.*, EXISTS (SELECT 1 FROM i, t WHERE i.link = j.link AND i.s <= t.ago AND t.ago < i.e) AS past FROM j),
+a AS (SELECT count_if(status = 'active') AS active_now, count_if(past) AS active_before,
+  count_if(status = 'active' AND now - since <= INTERVAL 24 HOURS) AS new_now,
+  count_if(past AND ago >= fa AND ago - fa <= INTERVAL 48 HOURS) AS new_before FROM k, t)
+SELECT CAST(active_now AS BIGINT) AS active_now, CAST(active_before AS BIGINT) AS active_before, CAST(new_now AS BIGINT) AS new_now,
+  CAST(new_before AS BIGINT) AS new_before, CAST(active_now - active_before AS BIGINT) AS active_delta, CAST(new_now - new_before AS BIGINT) AS new_delta FROM a""")
+def active_new_metrics(spark, sf_dir):
+    return history.metrics(status_history(spark, sf_dir), KEY, as_of())
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_orderdate AS s, max(l_shipdate) AS e FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
+t AS (SELECT DISTINCT date_trunc('year', o_orderdate) AS t FROM orders)
+SELECT strftime(t, '%Y-%m-%d') AS moment, o_orderkey FROM t JOIN s ON s <= t AND t < e""")
+def interval_stab(spark, sf_dir):
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    shipped = items.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("end"))
+    spans = orders.join(shipped, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("o_orderdate").alias("start"), "end")
+    moments = orders.select(F.date_trunc("year", "o_orderdate").alias("moment")).distinct()
+    return history.active_at(spans, moments, ["o_orderkey"]).select(F.date_format("moment", "yyyy-MM-dd").alias("moment"), "o_orderkey")
+
+
+def _content(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("long").alias("board"), F.col("c_custkey").alias("link"), F.col("c_name").alias("title"), (F.col("c_custkey") % 4 != 0).alias("active"), F.col("c_custkey").alias("seq")
+    )
+
+
+def _snapshot(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return orders.where(F.col("o_orderkey") % 7 == 0).select(
+        F.col("c_nationkey").cast("long").alias("board"), F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("link"),
+        F.concat(F.lit("t"), F.col("o_orderkey") % 3).alias("title"), F.col("o_orderkey").alias("seq"),
+    )
+
+
+_MERGE = """o AS (SELECT CAST(c_nationkey AS BIGINT) AS board, c_custkey AS link, c_name AS title, c_custkey % 4 <> 0 AS active FROM customer),
+n AS (SELECT CAST(c_nationkey AS BIGINT) AS board, CASE WHEN o_orderkey % 5 = 0 THEN -o_custkey ELSE o_custkey END AS link, arg_max('t' || (o_orderkey % 3), o_orderkey) AS title
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_MERGE}
+SELECT board, link, coalesce(n.title, o.title) AS title, n.link IS NOT NULL AS active,
+  CASE WHEN n.link IS NOT NULL AND NOT coalesce(active, false) THEN 'active' WHEN n.link IS NULL AND active THEN 'inactive' END AS event,
+  o.link IS NULL AS is_new
+FROM o FULL JOIN n USING (board, link)""")
+def merge_snapshot(spark, sf_dir):
+    return merge.merged(_content(spark, sf_dir), _snapshot(spark, sf_dir), KEY)
+
+
+@query(f"WITH {_MERGE} SELECT board, link, title FROM o ANTI JOIN n USING (board, link)")
+def missing_from_snapshot(spark, sf_dir):
+    return merge.missing(_content(spark, sf_dir), _snapshot(spark, sf_dir), KEY).select("board", "link", "title")
+
+
+_HEALTH = """a AS (SELECT user_id % 10 AS board, ts AS tm, event_id AS seq, NOT (event_type = 'error' AND event_id % 3 = 0) AS ok,
+  CASE WHEN event_type = 'error' THEN 0 ELSE CAST(floor(value / 10) AS BIGINT) END AS n FROM events),
+x AS (SELECT *, ok AND n > 0 AS good FROM a),
+y AS (SELECT *, sum(CASE WHEN good THEN 1 ELSE 0 END) OVER w AS island, lag(good) OVER (PARTITION BY board ORDER BY tm, seq) AS was,
+  last_value(CASE WHEN good THEN n END IGNORE NULLS) OVER w AS last_nonzero_count,
+  list(CASE WHEN good THEN n END) OVER (PARTITION BY board ORDER BY tm, seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS recent
+  FROM x WINDOW w AS (PARTITION BY board ORDER BY tm, seq ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, list_sort(list_filter(recent, lambda q: q IS NOT NULL)[-10:]) AS srt FROM y),
+z AS (SELECT *, CASE WHEN good THEN (srt[(len(srt) + 1) // 2] + srt[len(srt) // 2 + 1]) // 2 END AS base,
+  sum(CASE WHEN good THEN 0 ELSE 1 END) OVER i AS streak, min(CASE WHEN NOT good THEN tm END) OVER i AS first_zero,
+  max(CASE WHEN NOT good THEN tm END) OVER i + INTERVAL 1 DAY AS flagged FROM
+  (SELECT * REPLACE (list_sort(list_filter(recent, lambda q: q IS NOT NULL)[greatest(len(list_filter(recent, lambda q: q IS NOT NULL)) - 9, 1):]) AS srt) FROM b)
+  WINDOW i AS (PARTITION BY board, island ORDER BY tm, seq ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT *, last_value(base IGNORE NULLS) OVER (PARTITION BY board ORDER BY tm, seq ROWS UNBOUNDED PRECEDING) AS baseline FROM z)"""
+
+
+@query(f"""WITH {_HEALTH}
+SELECT board, seq, CAST(streak AS BIGINT) AS streak, strftime(first_zero, {_SHOW}) AS first_zero_at, strftime(flagged, {_SHOW}) AS flagged_until,
+  CAST(last_nonzero_count AS BIGINT) AS last_nonzero_count,
+  CASE WHEN good THEN 'normal' WHEN coalesce(last_nonzero_count, 0) >= 3 THEN
+    CASE WHEN tm - first_zero <= INTERVAL 24 HOURS AND streak >= 5 THEN 'down' ELSE 'suspect' END
+    WHEN streak >= 2 THEN 'suspect' ELSE 'normal' END AS status,
+  CASE WHEN good THEN 'NONE' WHEN coalesce(was, false) AND n = 0 THEN 'ZERO_SPIKE' ELSE 'EMPTY_STREAK' END AS reason FROM v""")
+def health_streaks(spark, sf_dir):
+    return health.states(attempts(spark, sf_dir)).select(
+        "board", "seq", "streak", shown("first_zero_at").alias("first_zero_at"), shown("flagged_until").alias("flagged_until"), "last_nonzero_count", "status", "reason"
+    )
+
+
+@query(f"WITH {_HEALTH} SELECT board, seq, CAST(baseline AS INTEGER) AS baseline FROM v")
+def baseline_median(spark, sf_dir):
+    return health.states(attempts(spark, sf_dir)).select("board", "seq", "baseline")
+
+
+@query(f"""WITH {_HEALTH}, s AS (SELECT *, lag(n) OVER (PARTITION BY board ORDER BY tm, seq) AS pn, lag(ok) OVER (PARTITION BY board ORDER BY tm, seq) AS pok,
+  CASE WHEN good THEN true WHEN coalesce(last_nonzero_count, 0) >= 3 THEN false ELSE streak < 2 END AS normal FROM v)
+SELECT board, CAST(count_if(coalesce(ok AND pok AND pn = 0 AND normal, false) AND n = 0) AS BIGINT) AS two_zeros, CAST(count_if(normal AND n = 0) AS BIGINT) AS one_zero FROM s GROUP BY board""")
+def deactivation_gate(spark, sf_dir):
+    empty = F.col("n") == 0
+    return health.states(attempts(spark, sf_dir)).groupBy("board").agg(
+        F.count_if(health.may_deactivate() & empty).alias("two_zeros"), F.count_if(health.may_deactivate(False) & empty).alias("one_zero")
+    )
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50")
+def attempt_cap(spark, sf_dir):
+    return history.latest(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 50).select("user_id", "event_id")
+
+
+@query("SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY text")
+def first_wins_dedupe(spark, sf_dir):
+    keyed = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    return history.first_wins(keyed, ["h"], ["doc_id"]).select("doc_id", "source")
+
+
+_IGNORED = ", ".join(f"'{k}'" for k in urls.IGNORED_KEYS)
+_FRONT = r"regexp_extract(url, '^([^?#]*)', 1)"
+_PARTS = r"string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&')"
+_FRAGMENT = r"CASE WHEN regexp_extract(url, '#(.*)$', 1) <> '' THEN '#' || regexp_extract(url, '#(.*)$', 1) ELSE '' END"
+
+
+@query(f"""WITH q AS (SELECT page_id, url, array_to_string(list_sort(list_filter({_PARTS},
+  lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({_IGNORED}))), '&') AS kept FROM pages)
+SELECT page_id, regexp_replace({_FRONT}, '/jobs/results(/jobs/results)+', '/jobs/results') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END || {_FRAGMENT} AS link FROM q""")
+def canonical_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("link"))
+
+
+@query(f"""WITH q AS (SELECT page_id, url, array_to_string(list_sort(list_filter({_PARTS},
+  lambda p: p <> '' AND NOT (split_part(p, '=', 1) IN ('page', 'pg', 'p', 'pageNumber') AND split_part(p, '=', 2) = '1')
+  AND NOT (split_part(p, '=', 1) IN ('start', 'offset', 'from', 'startrow') AND split_part(p, '=', 2) = '0'))), '&') AS kept FROM pages)
+SELECT page_id, {_FRONT} || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END || {_FRAGMENT} AS page FROM q""")
+def page_identity(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.page_identity(F.col("url")).alias("page"))
+
+
+_DETAIL = "|".join(f"(?:{p})" for p in urls.DETAIL_PATHS)
+_OTHERS = ", ".join(f"'{s}'" for s in urls.OTHER_SEGMENTS)
+_DETAIL_CASES = """(SELECT page_id, url FROM pages UNION ALL SELECT page_id, replace(url, '/en/', '/job/posting-') FROM pages
+  UNION ALL SELECT page_id, replace(url, '/en/', '/careers/team/') FROM pages UNION ALL SELECT page_id, replace(url, '/en/', '/about/jobs/x') FROM pages)"""
+
+
+def _detail_cases(spark, sf_dir):
+    url = F.col("url")
+    cases = F.array(url, *(F.replace(url, F.lit("/en/"), F.lit(x)) for x in ("/job/posting-", "/careers/team/", "/about/jobs/x")))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(cases).alias("url"))
+
+
+@query(rf"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM {_DETAIL_CASES})
+SELECT page_id, url, url ~ 'https?://.*' AND (regexp_matches(CASE WHEN path = '' THEN '/' ELSE path END, '(?i){_DETAIL}')
+  OR (contains(path, 'job') AND NOT contains(lower(url), 'page=') AND NOT list_has_any(string_split(path, '/'), [{_OTHERS}])
+      AND regexp_matches(path, '/job[s]?/[\w-]{{4,}}(/|$)'))) AS detail FROM u""")
+def detail_url_flags(spark, sf_dir):
+    return _detail_cases(spark, sf_dir).select("page_id", "url", urls.is_detail(F.col("url")).alias("detail"))
+
+
+_BOARD_HOSTS = ("jobs.lever.co", "jobs.eu.lever.co", "acme.wd5.myworkdayjobs.com", "boards.greenhouse.io", "job-boards.eu.greenhouse.io", "jobs.ashbyhq.com", "join.com", "example.com")
+_CASES = " ".join(
+    f"WHEN regexp_matches(host, '(?i){h}')" + (f" AND regexp_matches(path, '{p}')" if p else "") + f" THEN '{n}'" for n, h, p in urls.ADAPTERS
+)
+
+
+@query(rf"""WITH u AS (SELECT page_id, [{', '.join(f"'{h}'" for h in _BOARD_HOSTS)}][CAST(page_id % 8 AS INTEGER) + 1] AS host,
+  CASE WHEN page_id % 3 = 0 THEN '/proton/jobs/' ELSE '/acme/' END || page_id AS path FROM pages)
+SELECT page_id, CASE {_CASES} ELSE 'generic' END AS adapter FROM u""")
+def adapter_dispatch(spark, sf_dir):
+    url_host = F.element_at(F.array(*map(F.lit, _BOARD_HOSTS)), (F.col("page_id") % 8).cast("int") + 1)
+    url = F.concat(F.lit("https://"), url_host, F.when(F.col("page_id") % 3 == 0, "/proton/jobs/").otherwise("/acme/"), F.col("page_id"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.adapter(url).alias("adapter"))
+
+
+@query(r"""SELECT page_id, CAST(count(*) AS BIGINT) AS anchors, CAST(count(DISTINCT href) AS BIGINT) AS links FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""")
+def page_anchors(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = dom.nodes(pages).where((F.col("tag") == "a") & dom.attr("href").isNotNull())
+    found = found.withColumn("ref", urls.absolute(dom.attr("href"), F.col("url"))).groupBy("url").agg(F.count("*").alias("anchors"), F.count_distinct("ref").alias("links"))
+    return pages.select("page_id", "url").join(found, "url").select("page_id", "anchors", "links")
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
+def page_headings(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = dom.nodes(pages)
+    whole = found.where("tag = 'body'").select("url", "node_id", "last_desc")
+    titles = dom.heading_texts(whole, dom.headings(found))
+    return pages.select("page_id", "url").join(titles, "url", "left").select("page_id", F.coalesce("highest", F.lit("")).alias("title"))
+
+
+@query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<script[ >]')) AS BIGINT) AS scripts, false AS mount FROM pages""")
+def js_shell_features(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = dom.shell_features(dom.nodes(pages))
+    return pages.select("page_id", "url").join(found, "url").select("page_id", "scripts", "mount")
+
+
+@query("""SELECT url, 'p' AS kind, 'card item' AS key FROM pages WHERE len(regexp_extract_all(html, '<li>')) >= 3""")
+def repeated_blocks(spark, sf_dir):
+    """List items of the pages made to look like cards, which the table has none of."""
+    pages = table(spark, sf_dir, "pages")
+    for plain, card in (("<ul>", "<div>"), ("</ul>", "</div>"), ("<li>", '<p class="item card">'), ("</li>", "</p>")):
+        pages = pages.withColumn("html", F.replace("html", F.lit(plain), F.lit(card)))
+    return extract.prototypes(dom.nodes(pages))
+
+
+@query()
+def first_nonempty_extractor(spark, sf_dir):
+    """Postings of the pages; their links made to look like posting pages, which the table has none of."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", r'href="/([A-Za-z])', 'href="/job/posting-$1'))
+    # every extractor reads the nodes: they are parsed once
+    return extract.postings(dom.nodes(pages).persist(StorageLevel.MEMORY_AND_DISK)).select("url", "priority", "title", "link")
+
+
+@query()
+def next_page_urls(spark, sf_dir):
+    return paging.next_pages(dom.nodes(table(spark, sf_dir, "pages")))
+
+
+@query()
+def page_titles(spark, sf_dir):
+    return dom.detail_titles(dom.nodes(table(spark, sf_dir, "pages")))
+
+
+@query("""SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type""")
+def json_props(spark, sf_dir):
+    value = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
+_SLUG = "regexp_replace(regexp_replace(regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"SELECT p_partkey, coalesce(nullif(lower({_SLUG.format(x='p_name')}), ''), 'page') AS slug FROM part")
+def slugify_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", texts.slugify(F.col("p_name")).alias("slug"))
+
+
+@query("""SELECT doc_id, CAST(len(l) AS INTEGER) AS n, array_to_string(l, '|') AS places FROM (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[;,/|•·]+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)""")
+def split_locations(spark, sf_dir):
+    found = texts.split_locations(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n"), F.array_join(found, "|").alias("places"))
+
+
+_TERMS = ("blue", "green", "steel", "large")
+
+
+@query(f"""SELECT DISTINCT p_partkey, t AS term FROM part, unnest(string_split(p_name, ' ')) AS w(x), (SELECT unnest([{', '.join(f"'{t}'" for t in _TERMS)}]) AS t)
+WHERE contains(lower(x), t) OR contains(t, lower(x)) OR damerau_levenshtein(lower(x), t) <= 2""")
+def fuzzy_match(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("w")).select("p_partkey", texts.norm(F.col("w")).alias("w"))
+    distinct = words.select("w").distinct()  # words, not rows, are compared
+    pairs = distinct.select("w", F.explode(F.array(*map(F.lit, _TERMS))).alias("term"))
+    same = F.col("w").contains(F.col("term")) | F.col("term").contains(F.col("w"))
+    close = pairs.where((F.col("w") != "") & (same | texts.within_distance(F.col("w"), F.col("term"))))
+    return words.join(close, "w").select("p_partkey", "term").distinct()
+
+
+@query(f"""WITH {_HISTORY}, j AS (SELECT link, arg_max(status, seq) AS status, min(CASE WHEN status = 'active' THEN tm END) AS fa FROM h GROUP BY link)
+SELECT link, CAST(row_number() OVER (ORDER BY fa DESC, link) AS INTEGER) AS place FROM j
+WHERE status = 'active' AND TIMESTAMP '2024-01-04 00:00:00' - fa <= INTERVAL 72 HOURS QUALIFY place <= 100""")
+def newest_feed(spark, sf_dir):
+    """The 100 newest active postings (a top-k report)."""
+    found = history.jobs(status_history(spark, sf_dir), KEY, F.lit("2024-01-04 00:00:00").cast("timestamp"))
+    top = found.where(F.col("active") & (F.col("age_seconds") <= 72 * 3600)).orderBy(F.col("first_active").desc(), "link").limit(100)
+    ranked = top.withColumn("place", F.row_number().over(Window.orderBy(F.col("first_active").desc(), "link")))
+    return ranked.select("link", "place")
+
+
+@query(f"""WITH {_HISTORY}, j AS (SELECT board, link, arg_max(status, seq) = 'active' AS active, min(CASE WHEN status = 'active' THEN tm END) AS fa FROM h GROUP BY board, link)
+SELECT board, link, active, CAST(row_number() OVER (PARTITION BY board ORDER BY active DESC, CASE WHEN active THEN fa END DESC NULLS LAST, link) AS INTEGER) AS place FROM j""")
+def board_list(spark, sf_dir):
+    found = history.jobs(status_history(spark, sf_dir), KEY, as_of())
+    order = [F.col("active").desc(), F.when(F.col("active"), F.col("first_active")).desc_nulls_last(), "link"]
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("board").orderBy(*order))).select("board", "link", "active", "place")
+
+
+@query(f"""WITH {_HISTORY}, j AS (SELECT link, arg_max(status, seq) = 'active' AS active, epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(min(CASE WHEN status = 'active' THEN tm END)) AS age FROM h GROUP BY link)
+SELECT CASE WHEN NOT active THEN 'inactive' WHEN age <= 172800000000 THEN 'new' WHEN age >= 604800000000 THEN 'old' ELSE 'plain' END AS age_class, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY 1""")
+def age_classes(spark, sf_dir):
+    found = history.jobs(status_history(spark, sf_dir), KEY, as_of())
+    return found.groupBy(texts.age_class(F.col("active"), F.col("age_seconds")).alias("age_class")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'union' AS kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)
+UNION ALL SELECT 'except', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)
+UNION ALL SELECT 'intersect', count(*) FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)""")
+def set_ops(spark, sf_dir):
+    known, seen = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    made = {"union": known.union(seen).distinct(), "except": known.subtract(seen), "intersect": known.intersect(seen)}
+    counted = [x.agg(F.lit(k).alias("kind"), F.count("*").alias("n")) for k, x in made.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query("""WITH w AS (SELECT user_id, CAST(count_if(event_type = 'error') AS BIGINT) AS error, CAST(count_if(event_type = 'view') AS BIGINT) AS "view", CAST(count_if(event_type = 'click') AS BIGINT) AS click FROM events GROUP BY user_id)
+SELECT user_id, kind, n FROM (UNPIVOT w ON error, "view", click INTO NAME kind VALUE n)""")
+def unpivot_counts(spark, sf_dir):
+    kinds = ["error", "view", "click"]
+    wide = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", kinds).agg(F.count(F.lit(1))).fillna(0, kinds)
+    return wide.unpivot(["user_id"], kinds, "kind", "n")
+
+
+@query("""SELECT o_orderkey, strftime(CASE WHEN o_orderdate + INTERVAL 60 MINUTES < TIMESTAMP '1996-01-01 00:05:00' THEN TIMESTAMP '1996-01-01 00:05:00'
+  ELSE o_orderdate + INTERVAL 60 MINUTES END, '%Y-%m-%d %H:%M:%S.%f') AS next_at, o_orderdate <= TIMESTAMP '1996-01-01' AS due FROM orders""")
+def next_scrape(spark, sf_dir):
+    now, last = F.lit("1996-01-01 00:00:00").cast("timestamp"), F.col("o_orderdate").cast("timestamp")
+    return table(spark, sf_dir, "orders").select("o_orderkey", shown(health.next_scrape(last, now)).alias("next_at"), (last <= now).alias("due"))
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def windowed_counts(spark, sf_dir):
+    found = live.tumbling(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return found.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k""")
+def session_counts(spark, sf_dir):
+    found = live.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return found.select("user_id", shown("w.start").alias("start"), "n")
