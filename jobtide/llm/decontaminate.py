@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.batches import Texts, Words, add_columns, quoted
+from jobtide.llm.batches import Texts, Words, add_columns
 
 WINDOW = 10
 #: Bytes of benchmark texts that are searched for in one pass; larger benchmarks take more passes.
@@ -179,8 +179,10 @@ def find_benchmark(
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of df whose text holds no window of the benchmark, with the columns of df."""
-    found = find_benchmark(df.withColumn("__text", F.col(quoted(text_col))), benchmark, "__text")
-    return found.where(F.size("hit_spans") == 0).select(*(quoted(c) for c in df.columns))
+    names = df.columns
+    df = df.toDF(*(f"k{i}" for i in range(len(names))))
+    found = find_benchmark(df, benchmark, df.columns[names.index(text_col)])
+    return found.where(F.size("hit_spans") == 0).select(*df.columns).toDF(*names)
 
 
 def digest(found: DataFrame) -> DataFrame:

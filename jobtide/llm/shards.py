@@ -110,20 +110,20 @@ def assign_shards(df: DataFrame, shards: int = 8, text_col: str = "text", keep:
     scratch.drop(groups)
     shard = F.lit(0)
     for begin in begins:
-        shard = shard + F.when(F.col("__h") >= begin, 1).otherwise(0)
+        shard = shard + F.when(F.col("h") >= begin, 1).otherwise(0)
     placed = df.select(
-        *(F.col(quoted(c)) for c in kept), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        hashed.alias("__h"), F.monotonically_increasing_id().alias("__row"),
+        *(F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(kept)), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        hashed.alias("h"), F.monotonically_increasing_id().alias("row"),
     ).withColumn("shard", shard.cast("int"))
-    placed = scratch.table(placed.drop("__h"))
+    placed = scratch.table(placed.drop("h"))
     cells = max(1, -(-placed.count() // CELL_ROWS))
-    placed = placed.withColumn("__cell", F.pmod(F.xxhash64("__row"), F.lit(cells)).cast("int"))
-    by_cell = Window.partitionBy("shard").orderBy("__cell")
-    counts = placed.groupBy("shard", "__cell").agg(F.count("*").alias("__n"))
-    counts = counts.select("shard", "__cell", (F.sum("__n").over(by_cell) - F.col("__n")).alias("__before"))
-    ranked = placed.withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__row")) - 1)
-    return ranked.join(counts, ["shard", "__cell"]).select(
-        *(quoted(c) for c in kept), "size", "text_crc32", "shard", (F.col("__before") + F.col("__rank")).alias("slot")
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)).cast("int"))
+    by_cell = Window.partitionBy("shard").orderBy("cell")
+    counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    counts = counts.select("shard", "cell", (F.sum("n").over(by_cell) - F.col("n")).alias("before"))
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("row")) - 1)
+    return ranked.join(counts, ["shard", "cell"]).select(
+        *(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), "size", "text_crc32", "shard", (F.col("before") + F.col("rank")).alias("slot")
     )
 
 
