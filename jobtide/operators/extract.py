@@ -151,7 +151,8 @@ def postings(nodes: DataFrame) -> DataFrame:
 def from_lever(payloads: DataFrame) -> DataFrame:
     """JSN-5: payloads (site, host, json) of postings, listed plainly or under `data`."""
     item = "struct<id:string,text:string,hostedUrl:string,applyUrl:string>"
-    listed = F.coalesce(F.from_json("json", f"array<{item}>"), F.from_json("json", f"struct<data:array<{item}>>")["data"])
+    plain = F.col("json").rlike(r"^\s*\[")
+    listed = F.when(plain, F.from_json("json", f"array<{item}>")).otherwise(F.from_json("json", f"struct<data:array<{item}>>")["data"])
     kept = payloads.select("site", "host", F.posexplode(listed).alias("pos", "p"))
     link = _filled("p.hostedUrl", "p.applyUrl", F.concat(F.lit("https://"), F.col("host"), F.lit("/"), F.col("site"), F.lit("/"), F.col("p.id")))
     placed = kept.select("site", "pos", F.trim("p.text").alias("title"), urls.canonical(link).alias("link")).where("title <> '' AND link IS NOT NULL")
