@@ -6,8 +6,9 @@ the same of SLOTS hashed slots, counted over all rows in a table of fixed size.
 a text are grouped in BANDS; texts that agree in a band meet in a bucket.
 
 Candidates are found without expanding buckets into pairs. Each member is paired with its bucket's smallest member,
-the pairs are verified by exact weighted Jaccard similarity, and verified links give components. Only where a bucket
-still holds members of different components are those compared with each other, block by block. So every pair of
+the pairs are verified by exact weighted Jaccard similarity, and verified links give components. Where a bucket still
+holds several components, blocks of its members with their texts meet in tasks, which verify the pairs that are not
+connected and give the links only. So every pair of
 different texts that meets in a bucket is verified or already connected. A pair is left unverified only if its
 samples' agreement, an estimate of its similarity, is below LEAST_AGREEMENT, five deviations under the threshold.
 
@@ -17,6 +18,8 @@ a text without words has no shingles and is like equal texts only; repeated rows
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -201,31 +204,65 @@ def _agreement(x: str, y: str):
     return same >= int(LEAST_AGREEMENT * HASHES)
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's members of different labels that agree enough. members: bucket, n, id, label, samples."""
+def _linked(rows, idf: np.ndarray, threshold: float):
+    """Links between the rows of a block pair: the table has own, other, id, label, samples and text.
+
+    Rows of one label are connected already, as are those that a link found here has connected; of the others each pair
+    that agrees enough is verified.
+    """
+    own, ids, labels = (rows.column(k).to_numpy() for k in ("own", "id", "label"))
+    samples = rows.column("samples").combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
+    left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+    labels, found = labels.copy(), None
+    for i in left.tolist():
+        good = right[labels[right] != labels[i]]
+        good = good[(samples[good] == samples[i]).sum(1) >= LEAST_AGREEMENT * HASHES]
+        if not len(good):
+            continue
+        if found is None:
+            found = features(Texts.of(rows.column("text")), idf)
+            total = np.add.reduceat(found[1], found[2][:-1])
+        hashes, weights, first = found
+        u, w = hashes[first[i] : first[i + 1]], weights[first[i] : first[i + 1]]
+        for lo in range(0, len(good), 256):
+            part = good[lo : lo + 256]
+            counts = first[part + 1] - first[part]
+            starts = np.cumsum(counts) - counts
+            at = np.arange(counts.sum()) + np.repeat(first[part] - starts, counts)
+            place = np.minimum(np.searchsorted(u, hashes[at]), len(u) - 1)
+            least = np.add.reduceat(np.where(u[place] == hashes[at], np.minimum(w[place], weights[at]), 0), starts)
+            for j in part[least >= threshold * (total[i] + total[part] - least)].tolist():
+                if labels[j] != labels[i]:
+                    labels[labels == labels[j]] = labels[i]
+                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+
+def _across(members: DataFrame, shared, threshold: float) -> DataFrame:
+    """Links (a, b) between a bucket's members of different labels, block by block. members: bucket, n, id, label, samples, text."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "samples"
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "samples", "text"
     )
 
-    def compare(group):
-        import pandas as pd
-
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        left, right = group[group["own"] == i], group[group["own"] == j]
-        x, y = np.stack(left["samples"]) if len(left) else None, np.stack(right["samples"]) if len(right) else None
-        found = []
-        for k in range(len(left)):
-            if y is not None:
-                good = ((y == x[k]).sum(1) >= LEAST_AGREEMENT * HASHES) & (right["label"].to_numpy() != left["label"].iloc[k])
-                for other in right["id"].to_numpy()[good]:
-                    a = left["id"].iloc[k]
-                    found.append((min(a, other), max(a, other)))
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
-
-    return spread.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    def compare(batches):
+        rest = None
+        for batch in chain(batches, [None]):
+            table = rest if batch is None else pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            if table is None or not len(table):
+                continue
+            keys = np.stack([table.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            end = len(table) if batch is None else int(edges[-1]) if len(edges) else 0
+            edges = [0, *edges[edges < end].tolist(), end] if end else [0]
+            found = [x for lo, hi in zip(edges, edges[1:], strict=False) for x in _linked(table.slice(lo, hi - lo), shared.value, threshold)]
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            rest = table.slice(end)
+
+    dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def text_key(column) -> list:
@@ -285,15 +322,11 @@ def classes(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str
     labels = components(links, scratch)
 
     labelled = met.join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed_up = labelled.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q")
-    rest = labelled.join(scratch.table(mixed_up.select("bucket")), "bucket").join(side, "id")
-    across = scratch.table(_across(rest.select("bucket", "n", "id", "label", "samples")))
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(across.join(done, ["a", "b"], "left_anti"), texts, shared, threshold)
-    every = scratch.table(links.unionByName(more))
-    scratch.drop(met, texts, pairs, across, sampled, labels, links)
-    labels = components(every, scratch)
-    scratch.drop(every)
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q")
+    members = labelled.join(scratch.table(several.select("bucket")), "bucket").join(side, "id").join(texts, "id")
+    links = scratch.table(links.unionByName(_across(members, shared, threshold)))
+    labels = components(links, scratch)
+    scratch.drop(met, texts, pairs, sampled, links)
 
     placed = ids.join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     placed = scratch.table(placed)
