@@ -35,7 +35,7 @@ HASHES = BANDS * ROWS
 SLOTS = 1 << 20
 LEAST_AGREEMENT = 0.5
 #: Members of a bucket that are compared at once.
-BLOCK = 1000
+BLOCK = 500
 _PART = 4096
 _POOL_BITS = 16
 
@@ -210,9 +210,9 @@ def _linked(rows, idf: np.ndarray, threshold: float):
     Rows of one label are connected already, as are those that a link found here has connected; of the others each pair
     that agrees enough is verified.
     """
-    own, ids, labels = (rows.column(k).to_numpy() for k in ("own", "id", "label"))
+    block, ids, labels = (rows.column(k).to_numpy() for k in ("own", "id", "label"))
     samples = rows.column("samples").combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
-    left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
     labels, found = labels.copy(), None
     for i in left.tolist():
         good = right[labels[right] != labels[i]]
@@ -220,21 +220,23 @@ def _linked(rows, idf: np.ndarray, threshold: float):
         if not len(good):
             continue
         if found is None:
-            found = features(Texts.of(rows.column("text")), idf)
-            total = np.add.reduceat(found[1], found[2][:-1])
-        hashes, weights, first = found
-        u, w = hashes[first[i] : first[i + 1]], weights[first[i] : first[i + 1]]
+            hashes, weights, first = found = features(Texts.of(rows.column("text")), idf)
+            every, codes = np.unique(hashes, return_inverse=True)
+            total = np.add.reduceat(weights, first[:-1])
+            held = np.zeros(len(every))  # the weights of one text, by shingle
+        own = slice(first[i], first[i + 1])
+        held[codes[own]] = weights[own]
         for lo in range(0, len(good), 256):
             part = good[lo : lo + 256]
             counts = first[part + 1] - first[part]
             starts = np.cumsum(counts) - counts
             at = np.arange(counts.sum()) + np.repeat(first[part] - starts, counts)
-            place = np.minimum(np.searchsorted(u, hashes[at]), len(u) - 1)
-            least = np.add.reduceat(np.where(u[place] == hashes[at], np.minimum(w[place], weights[at]), 0), starts)
+            least = np.add.reduceat(np.minimum(held[codes[at]], weights[at]), starts)
             for j in part[least >= threshold * (total[i] + total[part] - least)].tolist():
                 if labels[j] != labels[i]:
                     labels[labels == labels[j]] = labels[i]
                     yield min(ids[i], ids[j]), max(ids[i], ids[j])
+        held[codes[own]] = 0
 
 
 def _across(members: DataFrame, shared, threshold: float) -> DataFrame:
@@ -361,17 +363,16 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of df less near-duplicates: of each class one row with its smallest id; null texts all stay."""
+    names = df.columns
+    df = df.toDF(*(f"k{i}" for i in range(len(names))))  # no column of df can clash with those used here
+    text_col, id_col = (df.columns[names.index(c)] for c in (text_col, id_col))
     found = classes(df, Scratch(df.sparkSession), text_col, id_col)
-    text = F.col(quoted(text_col))
-    none = df.where(text.isNull())
-    rows = df.where(text.isNotNull()).select("*", *(x.alias(f"__{n}") for x, n in zip(text_key(text), "hc", strict=True)))
-    rows = rows.withColumn("__own", F.coalesce(F.col(quoted(id_col)), F.lit((1 << 63) - 1)))
-    joined = rows.join(found.toDF("__h", "__c", "__class", "__n", "__least"), ["__h", "__c"]).where("__class = __own")
-    columns = [quoted(c) for c in df.columns]
-    single = joined.where("__least = 1").select(*columns)
-    if not found.where("least_rows > 1").limit(1).count():
-        return single.unionByName(none)
-    # rows with one id: of those with the class's first key one stays
-    repeated = joined.where("__least > 1")
-    first = repeated.groupBy("__class").agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
-    return single.unionByName(first).unionByName(none)
+    text = F.col(text_col)
+    rows = df.where(text.isNotNull()).select("*", *text_key(text), F.coalesce(id_col, F.lit((1 << 63) - 1)).alias("own"))
+    joined = rows.join(found, ["h", "c"]).where("class_id = own")
+    single = joined.where("least_rows = 1").select(*df.columns).unionByName(df.where(text.isNull()))
+    if found.where("least_rows > 1").limit(1).count():
+        # of the rows that repeat the smallest id one stays
+        first = joined.where("least_rows > 1").groupBy("class_id").agg(F.first(F.struct(*df.columns)).alias("row"))
+        single = single.unionByName(first.select("row.*"))
+    return single.toDF(*names)
