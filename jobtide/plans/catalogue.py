@@ -318,12 +318,12 @@ def first_nonempty_extractor(spark, sf_dir):
     return extract.postings(dom.nodes(pages).persist(StorageLevel.MEMORY_AND_DISK)).select("url", "priority", "title", "link")
 
 
-@query()
+@query("""SELECT url, CASE WHEN contains(url, '?page=2') THEN replace(url, '?page=2', '?page=3') END AS next_url FROM pages""")
 def next_page_urls(spark, sf_dir):
     return paging.next_pages(dom.nodes(table(spark, sf_dir, "pages")))
 
 
-@query()
+@query(r"""SELECT url, nullif(trim(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&amp;', '&')), '') AS title FROM pages""")
 def page_titles(spark, sf_dir):
     return dom.detail_titles(dom.nodes(table(spark, sf_dir, "pages")))
 
