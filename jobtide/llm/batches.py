@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of text that numpy works on at once; a longer text is worked on alone.
 CHUNK_BYTES = 2 << 20
+#: Bytes of text that a processor gets, and gives results for, at once.
+BATCH_BYTES = 8 << 20
 
 
 def quoted(name: str) -> str:
@@ -138,7 +140,7 @@ def add_columns(
 ) -> DataFrame:
     """The columns `keep` of df (all, if None) and those that a processor makes of each batch of texts.
 
-    An input column named as an added one is replaced. `factory()` runs once per task; the processor gets the
+    An input column named as an added one is replaced. `factory()` runs once per task; the processor gets a
     batch's texts (and the Arrow columns `also`, if named) and returns one array for each added column.
     """
     fields = T._parse_datatype_string(added) if isinstance(added, str) else added
@@ -155,10 +157,12 @@ def add_columns(
     def run(batches):
         process = factory()
         for batch in batches:
-            columns = batch.columns
-            made = process(Texts.of(columns[position[text_col]]), *(columns[position[c]] for c in also or []))
-            made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns[: len(kept)], *made], [*kept, *(f.name for f in fields)])
+            for lo, hi, texts in Texts.of(batch.column(position[text_col])).chunks(BATCH_BYTES):
+                columns = batch.slice(lo, hi - lo).columns
+                made = process(texts, *(columns[position[c]] for c in also or []))
+                made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns[: len(kept)], *made], [*kept, *(f.name for f in fields)])
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return source.mapInArrow(run, out)
 

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from jobtide.llm.batches import Texts, add_columns
 
 _NONE = 1 << 60
-#: Encoded matches, and words, that a worker remembers; then it starts anew. Long ones are forgotten at once.
-CACHED = 300_000
+#: Words, and encoded matches, that a worker remembers; then it starts anew. Long ones are forgotten at once.
+CACHED_WORDS, CACHED = 200_000, 100_000
 CACHED_CHARS = 48
 #: A pattern that never crosses a single space between other characters.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -223,7 +223,7 @@ class ByteBPE:
         if not self.apart:
             return self.whole(texts)
         words = self.words
-        if len(words) > CACHED:
+        if len(words) > CACHED_WORDS:
             words.clear()
         cut = [t.split(" ") for t in texts]
         firsts = self.whole([p[0] for p in cut])

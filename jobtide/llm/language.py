@@ -29,7 +29,7 @@ SWITCH = 12.0
 #: Texts with a lower score are rejected: less than this share of the text is in the language.
 LEAST_SCORE = 0.3
 #: Bytes worked on at once, divided by the number of languages.
-_WORK_BYTES = 32 << 20
+_WORK_BYTES = 16 << 20
 
 #: First code points of the ranges of scripts (fixed values of the Unicode standard's blocks); 0: no letters.
 SCRIPT_RANGES = (
