@@ -281,7 +281,7 @@ def near_vectors(
             break
         scratch.drop(found)
         beam *= 2
-    pairs = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(truth).distinct()
+    pairs = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     pairs = scratch.table(pairs)
     scratch.drop(found, truth)
     direct = pairs.join(nodes.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
