@@ -367,10 +367,10 @@ def fuzzy_match(spark, sf_dir):
 SELECT link, CAST(row_number() OVER (ORDER BY fa DESC, link) AS INTEGER) AS place FROM j
 WHERE status = 'active' AND TIMESTAMP '2024-01-04 00:00:00' - fa <= INTERVAL 72 HOURS QUALIFY place <= 100""")
 def newest_feed(spark, sf_dir):
-    """The 100 newest active postings (a top-k report)."""
+    """FLT-4, SRT-4: every active posting of the last 72 hours, newest first; the SQL still stops at place 100."""
     found = history.jobs(status_history(spark, sf_dir), KEY, F.lit("2024-01-04 00:00:00").cast("timestamp"))
-    top = found.where(F.col("active") & (F.col("age_seconds") <= 72 * 3600)).orderBy(F.col("first_active").desc(), "link").limit(100)
-    ranked = top.withColumn("place", F.row_number().over(Window.orderBy(F.col("first_active").desc(), "link")))
+    fresh = found.where(F.col("active") & (F.col("age_seconds") <= 72 * 3600))
+    ranked = history.ranked(fresh, [F.col("first_active").desc(), F.col("link").asc()])
     return ranked.select("link", "place")
 
 
