@@ -32,3 +32,9 @@ def test_ranked(spark):
     assert [(r["k"], r["id"]) for r in got] == sorted(((i % 7, i) for i in range(5000)), key=lambda x: (-x[0], x[1]))
     assert [r["place"] for r in got] == list(range(1, 5001))
     assert history.ranked(df.limit(0), ["k", "id"]).count() == 0
+
+
+def test_merge_takes_every_order(spark):
+    for name in ("merge_snapshot", "missing_from_snapshot"):
+        whole = catalogue.ORACLES[name].replace("WHERE o_orderkey % 7 = 0", "")
+        assert rows(catalogue.QUERIES[name](spark, SF_DIR)) == sql(whole, "customer", "orders")
