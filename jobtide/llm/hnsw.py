@@ -3,8 +3,13 @@
 Equal vectors are one node. Nodes are dealt into shards by hash; a task builds the graph of a shard and answers, in
 blocks, the queries of all nodes: descent through the upper layers, a beam of `beam` in the lowest, and from there on
 through every node within FLOOD of the threshold, so that a large group is found whole. Each pair found is verified in
-double precision. An audit compares some nodes with all vectors by brute force; while its recall is below
-AUDIT_RECALL, the beam is doubled and all is searched again. Links give components.
+double precision. Links give components.
+
+An audit compares some nodes with all vectors by exact blocks. Its recall is the mean over audited nodes that have
+links, taken apart for nodes of at most SPARSE_LINKS and for those of large groups, and the lower of the two counts: a
+large group cannot hide isolated pairs that are missed. Nodes are added until AUDIT_LEAST of the sparse kind are seen; where
+pairs are so rare that this takes all nodes, the audit is the result. While recall is below AUDIT_RECALL, the beam is
+doubled and all is searched again; past WIDEST all is searched by exact blocks.
 
 A shard's size is bounded, so the number of shards grows with the table beyond FEWEST_SHARDS * SHARD_ROWS nodes.
 
@@ -32,6 +37,8 @@ BEAM = 20
 BLOCK = 512
 AUDIT_ROWS = 1024
 AUDIT_RECALL = 0.97
+AUDIT_LEAST = 256
+SPARSE_LINKS = 64
 WIDEST = 5120
 
 
@@ -186,11 +193,29 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-def _search(nodes: DataFrame, shards: int, cosine: float, beam: int) -> DataFrame:
-    """Pairs (a, b) of nodes (id, size, v) that every shard's graph finds for every node; a is the query."""
+class Exact:
+    """What Graph.within finds, by comparing all."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.exact, self.ids = vectors / np.linalg.norm(vectors, axis=1, keepdims=True), ids
+
+    def within(self, queries: np.ndarray, cosine: float, beam: None) -> tuple[np.ndarray, np.ndarray]:
+        q = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+        found = []
+        for lo in range(0, len(self.exact), 4096):
+            rows, nodes = np.nonzero(q @ self.exact[lo : lo + 4096].T >= cosine)
+            found.append((rows, nodes + lo))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _search(nodes: DataFrame, shards: int, cosine: float, beam: int | None, queries: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes (id, size, v) that every shard's graph finds for every query a (all nodes by default).
+
+    Without a beam a shard is compared whole.
+    """
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     built = nodes.select(shard.alias("shard"), F.lit(0).alias("kind"), "id", "size", "v")
-    asked = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "size", "v")
+    asked = (nodes if queries is None else queries).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "size", "v")
     dealt = built.unionByName(asked).repartition("size", "shard").sortWithinPartitions("size", "shard", "kind", "id")
 
     def run(batches):
@@ -198,7 +223,7 @@ def _search(nodes: DataFrame, shards: int, cosine: float, beam: int) -> DataFram
 
         def finished():
             ids = np.concatenate([i for i, _ in parts])
-            return Graph(np.concatenate([v for _, v in parts]), ids)
+            return (Graph if beam else Exact)(np.concatenate([v for _, v in parts]), ids)
 
         for batch in batches:
             of, kinds, ids, sizes = (batch.column(k).to_numpy() for k in range(4))
@@ -221,35 +246,26 @@ def _search(nodes: DataFrame, shards: int, cosine: float, beam: int) -> DataFram
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _audit(nodes: DataFrame, cosine: float) -> DataFrame:
-    """Pairs (a, b) of AUDIT_ROWS nodes a (those of the smallest hashes) with all nodes, by brute force."""
-    chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDIT_ROWS).select("id", "v").collect()
-    asked: dict[int, tuple[list, list]] = {}
-    for r in chosen:
-        ids, rows = asked.setdefault(len(r["v"]), ([], []))
-        ids.append(r["id"])
-        rows.append(r["v"])
-    made = {}
-    for size, (ids, rows) in asked.items():
-        q = np.array(rows, np.float64)
-        made[size] = np.array(ids), q / np.linalg.norm(q, axis=1, keepdims=True)
-    shared = nodes.sparkSession.sparkContext.broadcast(made)
+def _audit(nodes: DataFrame, count: int, shards: int, cosine: float, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """True pairs (a, b) of nodes a chosen by hash, until enough of them are sparse, and whether those are all nodes."""
+    asked = AUDIT_ROWS
+    while True:
+        chosen = nodes.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(max(count, 1))) < asked)
+        truth = scratch.table(_search(nodes, shards, cosine, None, chosen))
+        if asked >= count:
+            return truth, True
+        if truth.groupBy("a").count().where(F.col("count") <= SPARSE_LINKS).count() >= AUDIT_LEAST:
+            return truth, False
+        scratch.drop(truth)
+        asked *= 4
 
-    def run(batches):
-        for batch in batches:
-            sizes, ids = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            for size, (own, q) in shared.value.items():
-                part = np.flatnonzero(sizes == size)
-                if not len(part):
-                    continue
-                x = _matrix(batch.column(2).take(pa.array(part)), size)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for lo in range(0, len(x), 4096):
-                    i, j = np.nonzero(q @ x[lo : lo + 4096].T >= cosine)
-                    a, b = own[i], ids[part[lo + j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
-    return nodes.select("id", "size", "v").mapInArrow(run, "a long, b long")
+def _recall(truth: DataFrame, found: DataFrame) -> float:
+    """Mean recall of the audited nodes with links: the lower one of sparse nodes and of large groups' nodes."""
+    pairs = truth.join(found.select("a", "b", F.lit(1).alias("held")), ["a", "b"], "left")
+    by_node = pairs.groupBy("a").agg(F.count("*").alias("n"), F.count("held").alias("held"))
+    kinds = by_node.groupBy((F.col("n") <= SPARSE_LINKS).alias("sparse")).agg(F.avg(F.col("held") / F.col("n")).alias("recall"))
+    return min(r["recall"] for r in kinds.collect())
 
 
 def near_vectors(
@@ -272,18 +288,18 @@ def near_vectors(
     nodes = scratch.table(nodes.select(F.monotonically_increasing_id().alias("id"), F.size("v").alias("size"), "v", "n", "least"))
     count = nodes.count()
     shards = max(FEWEST_SHARDS, -(-count // SHARD_ROWS))
-    truth = scratch.table(_audit(nodes, cosine))
-    wanted = truth.count()
-    while True:
-        found = scratch.table(_search(nodes, shards, cosine, beam))
-        held = truth.join(found, ["a", "b"], "left_semi").count() if wanted else 0
-        if held >= AUDIT_RECALL * wanted or beam >= WIDEST:
+    truth, whole = _audit(nodes, count, shards, cosine, scratch)
+    found = truth
+    while not whole:
+        wide = beam if beam <= WIDEST else None
+        found = scratch.table(_search(nodes, shards, cosine, wide))
+        if wide is None or _recall(truth, found) >= AUDIT_RECALL:
             break
         scratch.drop(found)
         beam *= 2
     pairs = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     pairs = scratch.table(pairs)
-    scratch.drop(found, truth)
+    scratch.drop(truth, *([] if whole else [found]))
     direct = pairs.join(nodes.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
     direct = direct.groupBy("a").agg(F.sum("m").alias("others")).withColumnRenamed("a", "id")
     labels = components(pairs, scratch)
