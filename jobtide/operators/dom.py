@@ -150,6 +150,15 @@ def shell_features(found: DataFrame) -> DataFrame:
     return made.withColumn("needs_script", small | thin | F.col("hint") | F.col("mount") | F.col("spinner"))
 
 
+def shells(pages: DataFrame) -> DataFrame:
+    """FLT-5 for every page (url, html and its other columns): one without HTML needs scripts, one without nodes has counts of 0."""
+    found = pages.join(shell_features(nodes(pages)), "url", "left")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("nodes", "scripts", "text_length")}
+    signs = {c: F.coalesce(c, F.lit(False)) for c in ("hint", "mount", "spinner")}
+    needs = F.coalesce(F.col("html") == "", F.lit(True)) | F.coalesce("needs_script", F.lit(False))
+    return found.withColumns({**counts, **signs, "needs_script": needs})
+
+
 def detail_titles(found: DataFrame) -> DataFrame:
     """DOM-4, DOM-6: a page's title from the first source that has one: marked div, role, h1, h2, og:title, title."""
     def first(condition, value="text"):

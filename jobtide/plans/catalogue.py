@@ -298,9 +298,13 @@ def page_headings(spark, sf_dir):
 
 @query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<script[ >]')) AS BIGINT) AS scripts, false AS mount FROM pages""")
 def js_shell_features(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    found = dom.shell_features(dom.nodes(pages))
-    return pages.select("page_id", "url").join(found, "url").select("page_id", "scripts", "mount")
+    return dom.shells(table(spark, sf_dir, "pages")).select("page_id", "scripts", "mount")
+
+
+@query()
+def js_shell_verdicts(spark, sf_dir):
+    """FLT-5 itself, which the SQL of js_shell_features does not return."""
+    return dom.shells(table(spark, sf_dir, "pages")).select("page_id", "needs_script")
 
 
 @query("""SELECT url, 'p' AS kind, 'card item' AS key FROM pages WHERE len(regexp_extract_all(html, '<li>')) >= 3""")

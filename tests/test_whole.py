@@ -38,3 +38,25 @@ def test_merge_takes_every_order(spark):
     for name in ("merge_snapshot", "missing_from_snapshot"):
         whole = catalogue.ORACLES[name].replace("WHERE o_orderkey % 7 = 0", "")
         assert rows(catalogue.QUERIES[name](spark, SF_DIR)) == sql(whole, "customer", "orders")
+
+
+def pages_of(spark, pages):
+    return spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages.items())], "page_id long, url string, html string")
+
+
+def registered(spark, tmp_path, name, pages):
+    pages_of(spark, pages).write.parquet(f"{tmp_path}/pages.parquet")
+    return catalogue.QUERIES[name](spark, str(tmp_path))
+
+
+def test_pages_without_html_need_scripts(spark, tmp_path):
+    pages = {"null": None, "empty": "", "text": "no tags", "plain": "<body>" + "<p>word</p>" * 30 + "</body>", "root": "<div id='root'></div><script></script>"}
+    got = registered(spark, tmp_path, "js_shell_verdicts", pages).orderBy("page_id").collect()
+    assert [r["needs_script"] for r in got] == [True, True, False, False, True]
+    features = catalogue.QUERIES["js_shell_features"](spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(r["scripts"], r["mount"]) for r in features] == [(0, False)] * 4 + [(1, True)]
+
+
+def test_page_queries_are_their_sql(spark):
+    for name in ("js_shell_features",):
+        assert rows(catalogue.QUERIES[name](spark, SF_DIR)) == sql(catalogue.ORACLES[name], "pages")
