@@ -8,11 +8,15 @@ their own only. Parsing is per page and Python's own parser; everything after it
 from __future__ import annotations
 
 import bisect
+import json
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from jobtide.functions import texts
 
 SCHEMA = "url string, node_id int, parent_id int, last_desc int, tag string, attrs map<string,string>, own_text string, text string"
 # Fixed values of the HTML standard: elements without an end tag.
@@ -159,16 +163,38 @@ def shells(pages: DataFrame) -> DataFrame:
     return found.withColumns({**counts, **signs, "needs_script": needs})
 
 
+@F.udf(T.StringType(), useArrow=True)
+def _jsonld_title(scripts):
+    """JSN-4: of the scripts' items the first one's title or name; a script that cannot be read ends the search."""
+    try:
+        for script in scripts:
+            data = json.loads(script)
+            for item in data if isinstance(data, list) else [data]:
+                if isinstance(item, dict) and (title := (item.get("title") or item.get("name") or "").strip()):
+                    return title
+    except (AttributeError, RecursionError, ValueError):
+        pass
+    return None
+
+
 def detail_titles(found: DataFrame) -> DataFrame:
-    """DOM-4, DOM-6: a page's title from the first source that has one: marked div, role, h1, h2, og:title, title."""
+    """DOM-4, DOM-6, JSN-4: a page's title from the first source that has one: marked div, role, h1, h2, JSON-LD, og:title, title.
+
+    A source is its first element, cleaned (STR-12): a boilerplate title falls through to the next source.
+    """
+    def cleaned(value):
+        return F.nullif(texts.cleaned_title(value), F.lit(""))
+
     def first(condition, value="text"):
-        value = F.nullif(F.trim(F.col(value) if isinstance(value, str) else value), F.lit(""))
-        return F.min_by(F.when(condition, value), F.when(condition & value.isNotNull(), F.col("node_id")))
+        return F.min_by(value, F.when(condition, F.col("node_id")))
 
     tag = F.col("tag")
-    return found.groupBy("url").agg(
-        F.coalesce(
-            first((tag == "div") & has_class("_army")), first(attr("role") == "heading"), first(tag == "h1"), first(tag == "h2"),
-            first((tag == "meta") & (attr("property") == "og:title"), attr("content")), first(tag == "title"),
-        ).alias("title")
+    is_jsonld = (tag == "script") & (attr("type") == "application/ld+json")
+    sources = found.groupBy("url").agg(
+        first((tag == "div") & attr("class").contains("_army")).alias("marked"), first(attr("role") == "heading").alias("role"),
+        first(tag == "h1").alias("h1"), first(tag == "h2").alias("h2"),
+        F.array_sort(F.collect_list(F.when(is_jsonld, F.struct("node_id", "own_text")))).alias("scripts"),
+        first((tag == "meta") & (attr("property") == "og:title"), attr("content")).alias("og"), first(tag == "title").alias("document"),
     )
+    sources = sources.withColumn("jsonld", _jsonld_title("scripts.own_text"))
+    return sources.select("url", F.coalesce(*map(cleaned, ("marked", "role", "h1", "h2", "jsonld", "og", "document"))).alias("title"))

@@ -331,7 +331,8 @@ def next_page_urls(spark, sf_dir):
 
 @query(r"""SELECT url, nullif(trim(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&amp;', '&')), '') AS title FROM pages""")
 def page_titles(spark, sf_dir):
-    return dom.detail_titles(dom.nodes(table(spark, sf_dir, "pages")))
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("url").join(dom.detail_titles(dom.nodes(pages)), "url", "left")
 
 
 @query("""SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type""")

@@ -57,6 +57,18 @@ def test_pages_without_html_need_scripts(spark, tmp_path):
     assert [(r["scripts"], r["mount"]) for r in features] == [(0, False)] * 4 + [(1, True)]
 
 
+def test_titles_of_each_source(spark, tmp_path):
+    ld = "<script type='application/ld+json'>{}</script>".format
+    rest = "<h1>Find your role</h1>" + ld('[3, {"title": " ", "name": "N"}, {"name": "Lead - Meta"}]') + "<meta property='og:title' content='Site'><title>Doc</title>"
+    pages = {
+        "army": "<div class='x_armyz'>Army</div><h1>H</h1>", "role": "<div role='heading'>Role</div><h1>H</h1>", "h1": "<h2>B</h2><h1>A - Meta</h1>",
+        "h2": "<h1>Find your role</h1><h2>B</h2>" + ld('{"title": "L"}'), "jsonld": rest, "bad": ld("{bad") + rest, "og": rest.replace("ld+json", "json"),
+        "title": "<title>Doc - Meta</title>", "boiler": "<title>Job openings at Meta | Meta careers</title>", "null": None, "empty": "",
+    }
+    got = {r["url"]: r["title"] for r in registered(spark, tmp_path, "page_titles", pages).collect()}
+    assert got == {"army": "Army", "role": "Role", "h1": "A", "h2": "B", "jsonld": "Lead", "bad": "Site", "og": "Site", "title": "Doc", "boiler": None, "null": None, "empty": None}
+
+
 def test_page_queries_are_their_sql(spark):
-    for name in ("js_shell_features",):
+    for name in ("js_shell_features", "page_titles"):
         assert rows(catalogue.QUERIES[name](spark, SF_DIR)) == sql(catalogue.ORACLES[name], "pages")
