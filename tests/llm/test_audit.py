@@ -9,14 +9,14 @@ from jobtide.llm import hnsw
 @pytest.fixture
 def lost(monkeypatch):
     """Graphs that find pairs of the large group only, whatever the beam."""
-    whole = hnsw.Graph.within
+    whole = hnsw._search
 
-    def within(self, queries, cosine, beam):
-        rows, nodes = whole(self, queries, cosine, beam)
-        large = np.abs(np.asarray(queries)[rows, 0]) > 50
-        return rows[large], nodes[large]
+    def search(nodes, shards, cosine, beam, *queries):
+        found = whole(nodes, shards, cosine, beam, *queries)
+        large = nodes.where("abs(v[0]) > 50").selectExpr("id AS a")
+        return found if beam is None else found.join(large, "a", "left_semi").select("a", "b")
 
-    monkeypatch.setattr(hnsw.Graph, "within", within)
+    monkeypatch.setattr(hnsw, "_search", search)  # in the driver: workers do not see patches
     monkeypatch.setattr(hnsw, "WIDEST", hnsw.BEAM)
 
 
