@@ -1,19 +1,25 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded, then verified.
 
-A shingle is five consecutive words (all words, of a text with fewer). Its weight in a text is
-(1 + ln tf) * (1 + ln((N + 1) / (df + 1)) / ln(N + 1)); N counts the texts of the table, df those with a shingle in
-the same of SLOTS hashed slots, counted over all rows in a table of fixed size. HASHES consistent weighted samples of
-a text are grouped in BANDS; texts that agree in a band meet in a bucket.
-
-Candidates are found without expanding buckets into pairs. Each member is paired with its bucket's smallest member,
-the pairs are verified by exact weighted Jaccard similarity, and verified links give components. Where a bucket still
-holds several components, blocks of its members with their texts meet in tasks, which verify the pairs that are not
-connected and give the links only. So every pair of
-different texts that meets in a bucket is verified or already connected. A pair is left unverified only if its
-samples' agreement, an estimate of its similarity, is below LEAST_AGREEMENT, five deviations under the threshold.
+A shingle is five consecutive words (all words, of a text with fewer). Its weight in a text is (1 + ln tf) * idf. The
+idf falls with the share of the texts that have the shingle, df / N, from 2 at LEAST_SHARE and below to 1 at all of
+them: 1 + ln(1 / share) / ln(1 / LEAST_SHARE). Only shares count, so a table of any size weighs alike, and only the
+shingles above LEAST_SHARE need a number. They are found exactly in two passes: SLOTS hashed counters over all texts tell
+which slots can hold one, then the shingles of these slots are counted by their hash. At most mean shingles of a text
+/ LEAST_SHARE can be that frequent, however many texts there are; these are broadcast.
+
+HASHES consistent weighted samples of a text are grouped in BANDS; texts that agree in a band meet in a bucket. Each
+member is paired with its bucket's smallest member, the pairs are verified by exact weighted Jaccard similarity, and
+verified links give components. Where a bucket still holds several components, blocks of its members (of BLOCK_BYTES of
+text) meet in tasks, which find all similar pairs of different components and give the links only. So every pair of
+different texts that meets in a bucket is compared or already connected. Comparing leaves out only pairs that cannot be
+similar: whose total weights are too far apart, or that share none of the rarest shingles that make up more of a text
+than it may lack.
 
 Edge cases: equal texts, empty ones included, are always of one class; a null text is a class of its own for each row;
-a text without words has no shingles and is like equal texts only; repeated rows are of one class and keep one row.
+a text without words has no shingles and is like equal texts only; a very long text is worked on alone and takes memory
+in proportion to its words; repeated rows are of one class and keep one row; the smallest id stands for a class, null
+ids last; an empty table gives no rows; columns of the input named as an added one are replaced, others stay whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,10 +39,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 HASHES = BANDS * ROWS
 SLOTS = 1 << 20
-LEAST_AGREEMENT = 0.5
-#: Members of a bucket that are compared at once.
-BLOCK = 500
+LEAST_SHARE = 1 / 512
+#: Bytes of text of a bucket's members that are compared at once with as many others.
+BLOCK_BYTES = 8 << 20
 _PART = 4096
+#: Distinct shingles that a task counts before it passes their counts on.
+_HELD = 1 << 20
 _POOL_BITS = 16
 
 
@@ -63,7 +71,27 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
-def features(texts: Texts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Idf:
+    """Inverse document frequencies: of N texts, `found` (sorted hashes) occur in `counts`; all others are rare."""
+
+    def __init__(self, texts_n: int, found: np.ndarray, counts: np.ndarray):
+        self.found = found
+        share = np.maximum(counts / max(1, texts_n), LEAST_SHARE)
+        self.value = np.append(1 - np.log(share) / -np.log(LEAST_SHARE), 2).astype(np.float32)
+        self.heavy = np.zeros(SLOTS, bool)
+        self.heavy[slots(found)] = True
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), self.value[-1])
+        at = np.flatnonzero(self.heavy[slots(hashes)])
+        place = np.searchsorted(self.found, hashes[at])
+        same = place < len(self.found)
+        same[same] = self.found[place[same]] == hashes[at[same]]
+        out[at[same]] = self.value[place[same]]
+        return out
+
+
+def features(texts: Texts, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct shingles of each text, their weights, and each text's first index."""
     hashes, first = shingles(texts)
     kept, weights, ends = [], [], [0]
@@ -75,18 +103,17 @@ def features(texts: Texts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         ends.append(ends[-1] + len(starts))
     found = np.concatenate(kept or [np.zeros(0, np.uint64)])
     tf = np.concatenate(weights or [np.zeros(0)])
-    return found, (1 + np.log(tf)) * idf[slots(found)], np.array(ends)
+    return found, (1 + np.log(tf)) * idf.of(found), np.array(ends)
 
 
 class Sampler:
-    """Improved consistent weighted sampling; its random numbers are drawn from a pool by the shingle's hash."""
+    """Improved consistent weighted sampling; each random number is drawn by bits of its own of the shingle's hash."""
 
     def __init__(self, hashes: int = HASHES, seed: int = 20_240_501):
         draw = np.random.default_rng(seed)
         n = 1 << _POOL_BITS
         self.r = draw.gamma(2, 1, n).astype(np.float32)
         self.log_c = np.log(draw.gamma(2, 1, n)).astype(np.float32)
-        self.beta = draw.random(n).astype(np.float32)
         self.odd = draw.integers(0, 1 << 63, hashes, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def samples(self, found: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -100,10 +127,11 @@ class Sampler:
         log_w = np.log(weights).astype(np.float32)
         for k, odd in enumerate(self.odd):
             drawn = mixed_by(found, odd)
-            at = (drawn >> np.uint64(64 - _POOL_BITS)).astype(np.int32)
-            r, beta = self.r[at], self.beta[at]
+            high = (drawn >> np.uint64(32)).astype(np.uint32)
+            r = self.r[high >> np.uint32(_POOL_BITS)]
+            beta = (drawn & np.uint64(0xFFFFFFFF)).astype(np.float32) * np.float32(2**-32)
             t = np.floor(log_w / r + beta)
-            log_a = self.log_c[at] - r * (t - beta + 1)
+            log_a = self.log_c[high & np.uint32((1 << _POOL_BITS) - 1)] - r * (t - beta + 1)
             least = np.repeat(np.minimum.reduceat(log_a, starts), counts)
             ties = np.flatnonzero(log_a == least)
             owner = np.searchsorted(starts, ties, "right") - 1
@@ -129,16 +157,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / total if total else 0.0
 
 
-def document_frequencies(df: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
-    """Texts with a word, and for each slot how many of them have a shingle in it."""
+def _slot_counts(df: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
+    """Texts with a word, and for each slot how many shingles of texts are in it (one for each text that has it)."""
 
     def count(batches):
         total, texts_n = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
             for _, _, part in Texts.of(batch.column(0)).chunks():
                 hashes, first = shingles(part)
-                own = np.repeat(np.arange(len(part)), np.diff(first)) * SLOTS + slots(hashes)
-                total += np.bincount(np.unique(own) % SLOTS, minlength=SLOTS)
+                total += np.bincount(slots(_distinct(hashes, first)), minlength=SLOTS)
                 texts_n += int((np.diff(first) > 0).sum())
         for k, part in enumerate(total.reshape(-1, _PART)):
             at = np.flatnonzero(part)
@@ -171,8 +198,44 @@ def document_frequencies(df: DataFrame, text_col: str) -> tuple[int, np.ndarray]
     return sum(r["texts"] for r in sums), table.reshape(-1)
 
 
-def inverse(texts_n: int, frequencies: np.ndarray) -> np.ndarray:
-    return (1 + np.log((texts_n + 1) / (frequencies + 1)) / np.log(texts_n + 2)).astype(np.float32)
+def _distinct(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The shingles of all texts, each once for each text that has it."""
+    own = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    order = np.lexsort((hashes, own))
+    hashes, own = hashes[order], own[order]
+    keep = np.ones(len(hashes), bool)
+    keep[1:] = (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1])
+    return hashes[keep]
+
+
+def inverse_frequencies(df: DataFrame, text_col: str) -> Idf:
+    """The idf of all shingles, from all texts of df: exact for those that more than LEAST_SHARE of the texts have."""
+    texts_n, table = _slot_counts(df, text_col)
+    heavy = df.sparkSession.sparkContext.broadcast(table > LEAST_SHARE * texts_n)  # SLOTS flags
+
+    def count(batches):
+        keep, held, n = heavy.value, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def passed():
+            return pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(n)], ["h", "n"])
+
+        for batch in batches:
+            for _, _, part in Texts.of(batch.column(0)).chunks():
+                hashes, first = shingles(part)
+                wanted = np.flatnonzero(keep[slots(hashes)])
+                own = np.searchsorted(wanted, first)
+                held, at = np.unique(np.concatenate([held, _distinct(hashes[wanted], own)]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, np.ones(len(at) - len(n), np.int64)]), len(held)).astype(np.int64)
+                if len(held) > _HELD:
+                    yield passed()
+                    held, n = held[:0], n[:0]
+        yield passed()
+
+    counted = df.select(quoted(text_col)).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") > LEAST_SHARE * texts_n).toPandas()  # mean shingles of a text / LEAST_SHARE at most
+    found, counts = rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(found)
+    return Idf(texts_n, found[order], counts[order])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
@@ -184,48 +247,52 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> D
     def judge(batches):
         idf = shared.value
         for batch in batches:
-            left, right = Texts.of(batch.column(2)), Texts.of(batch.column(3))
-            good = np.zeros(len(left), bool)
-            for lo, hi, part in left.chunks():
-                other = right.bounds[lo], right.bounds[hi]
-                part2 = Texts(right.data[other[0] : other[1]], right.bounds[lo : hi + 1] - other[0], right.valid[lo:hi])
-                f, w, first = features(part, idf)
-                f2, w2, first2 = features(part2, idf)
-                for i in range(hi - lo):
-                    s, s2 = slice(first[i], first[i + 1]), slice(first2[i], first2[i + 1])
+            ids, left, right = batch.column(0).to_numpy(), batch.column(2), Texts.of(batch.column(3))
+            good = np.zeros(len(right), bool)
+            for lo, hi, part in right.chunks():
+                f2, w2, first2 = features(part, idf)
+                heads = np.flatnonzero(np.diff(ids[lo:hi], prepend=-1))  # one text for each run of pairs with one leader
+                f, w, first = features(Texts.of(left.take(pa.array(lo + heads))), idf)
+                of = np.searchsorted(heads, np.arange(hi - lo), "right") - 1
+                for i, j in enumerate(of.tolist()):
+                    s, s2 = slice(first[j], first[j + 1]), slice(first2[i], first2[i + 1])
                     good[lo + i] = similarity((f[s], w[s]), (f2[s2], w2[s2])) >= threshold
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
 
     return both.select("a", "b", "left", "right").mapInArrow(judge, "a long, b long")
 
 
-def _agreement(x: str, y: str):
-    same = F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, s: n + s)
-    return same >= int(LEAST_AGREEMENT * HASHES)
-
-
-def _linked(rows, idf: np.ndarray, threshold: float):
-    """Links between the rows of a block pair: the table has own, other, id, label, samples and text.
+def _linked(rows, idf: Idf, threshold: float):
+    """Links between the rows of a block pair: the table has own, id, label and text.
 
-    Rows of one label are connected already, as are those that a link found here has connected; of the others each pair
-    that agrees enough is verified.
+    Rows of one label are connected already, as are those that a link found here has connected. Of the others those are
+    compared that share one of a row's rarest shingles, taken until they weigh more than a similar text may lack.
     """
     block, ids, labels = (rows.column(k).to_numpy() for k in ("own", "id", "label"))
-    samples = rows.column("samples").combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
-    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-    labels, found = labels.copy(), None
+    left, right = np.flatnonzero(block == block.min()), block == block.max()
+    labels = labels.copy()
+    if (labels == labels[0]).all():
+        return
+    hashes, weights, first = features(Texts.of(rows.column("text")), idf)
+    total = np.add.reduceat(weights, first[:-1])
+    every, codes = np.unique(hashes, return_inverse=True)
+    owner = np.repeat(np.arange(len(labels)), np.diff(first))
+    postings = owner[np.argsort(codes, kind="stable")]
+    lengths = np.bincount(codes, minlength=len(every))
+    begins = np.cumsum(lengths) - lengths
+    held = np.zeros(len(every))  # the weights of one text, by shingle
     for i in left.tolist():
-        good = right[labels[right] != labels[i]]
-        good = good[(samples[good] == samples[i]).sum(1) >= LEAST_AGREEMENT * HASHES]
-        if not len(good):
-            continue
-        if found is None:
-            hashes, weights, first = found = features(Texts.of(rows.column("text")), idf)
-            every, codes = np.unique(hashes, return_inverse=True)
-            total = np.add.reduceat(weights, first[:-1])
-            held = np.zeros(len(every))  # the weights of one text, by shingle
-        own = slice(first[i], first[i + 1])
-        held[codes[own]] = weights[own]
+        own, own_w = codes[first[i] : first[i + 1]], weights[first[i] : first[i + 1]]
+        order = np.argsort(lengths[own], kind="stable")
+        lacks = np.cumsum(own_w[order])
+        rare = own[order[: int(np.searchsorted(lacks, (1 - threshold) * total[i] * (1 + 1e-6))) + 1]]
+        n = lengths[rare]
+        found = postings[np.repeat(begins[rare] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        marked = np.zeros(len(labels), bool)
+        marked[found] = True
+        marked &= right & (labels != labels[i]) & (np.minimum(total, total[i]) >= threshold * np.maximum(total, total[i]) * (1 - 1e-6))
+        good = np.flatnonzero(marked)
+        held[own] = own_w
         for lo in range(0, len(good), 256):
             part = good[lo : lo + 256]
             counts = first[part + 1] - first[part]
@@ -236,16 +303,15 @@ def _linked(rows, idf: np.ndarray, threshold: float):
                 if labels[j] != labels[i]:
                     labels[labels == labels[j]] = labels[i]
                     yield min(ids[i], ids[j]), max(ids[i], ids[j])
-        held[codes[own]] = 0
+        held[own] = 0
 
 
 def _across(members: DataFrame, shared, threshold: float) -> DataFrame:
-    """Links (a, b) between a bucket's members of different labels, block by block. members: bucket, n, id, label, samples, text."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    """Links (a, b) between a bucket's members of different labels, block by block. members: bucket, blocks, id, label, text."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "samples", "text"
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "text"
     )
 
     def compare(batches):
@@ -285,25 +351,25 @@ def classes(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str
     ids = ids.groupBy("h", "c").agg(F.min(F.struct("doc", "n")).alias("least"), F.sum("n").alias("n"))
     ids = scratch.table(ids.select("h", "c", "least", "n", F.monotonically_increasing_id().alias("id")))
 
-    texts_n, frequencies = document_frequencies(docs, "text")
-    shared = spark.sparkContext.broadcast(inverse(texts_n, frequencies))  # SLOTS floats
+    shared = spark.sparkContext.broadcast(inverse_frequencies(docs, "text"))
 
     def factory():
         sampler = Sampler()
 
         def process(texts: Texts) -> list:
-            made = []
+            made, totals = [], []
             for _, _, part in texts.chunks():
                 found, weights, first = features(part, shared.value)
                 samples = sampler.samples(found, weights, first)
                 made += [row if n else None for row, n in zip(samples, np.diff(first), strict=True)]
-            return [pa.array(made, pa.list_(pa.int32()))]
+                totals.append(np.bincount(np.repeat(np.arange(len(part)), np.diff(first)), weights, len(part)))
+            return [pa.array(made, pa.list_(pa.int32())), pa.array(np.concatenate(totals or [[]]))]
 
         return process
 
-    sampled = add_columns(keyed, "text", "samples array<int>", factory, ["h", "c"]).where("samples IS NOT NULL")
-    sampled = sampled.groupBy("h", "c").agg(F.first("samples").alias("samples"))
-    sampled = scratch.table(sampled.join(ids, ["h", "c"]).select("id", "h", "c", "samples"))
+    sampled = add_columns(keyed, "text", "samples array<int>, total double", factory, ["h", "c"]).where("samples IS NOT NULL")
+    sampled = sampled.groupBy("h", "c").agg(F.first("samples").alias("samples"), F.first("total").alias("total"))
+    sampled = scratch.table(sampled.join(ids, ["h", "c"]).select("id", "h", "c", "samples", "total"))
 
     band = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.slice("samples", 1 + k * ROWS, ROWS).alias("s")) for k in range(BANDS))))
     met = sampled.select("id", band.alias("band")).select("id", F.xxhash64("band.k", "band.s").alias("bucket"))
@@ -311,24 +377,29 @@ def classes(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str
     full = scratch.table(full)
     met = scratch.table(met.join(full, "bucket"))
     scratch.drop(full)
-    side = sampled.select("id", "samples")
+    side = sampled.select("id", "total")
     pairs = met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.join(side.toDF("b", "y"), "b").join(side.toDF("a", "x"), "a").where(_agreement("x", "y"))
+    # similarity is at most the ratio of the total weights
+    possible = F.least("x", "y") >= threshold * F.greatest("x", "y") * (1 - 1e-6)
+    pairs = pairs.join(side.toDF("b", "y"), "b").join(side.toDF("a", "x"), "a").where(possible)
     pairs = scratch.table(pairs.select("a", "b"))
     # one text for each id that shares a bucket, found by the least id as well, which deals out equal texts
     wanted = met.select("id").distinct().join(ids, "id").select("id", "h", "c", F.col("least.doc").alias("doc"))
     texts = keyed.select("h", "c", order.alias("doc"), "text").join(wanted, ["h", "c", "doc"])
-    texts = texts.groupBy("h", "c", "doc", "id").agg(F.first("text").alias("text")).select("id", "text")
-    texts = scratch.table(texts)
+    texts = texts.groupBy("h", "c", "doc", "id").agg(F.first("text").alias("text"))
+    texts = scratch.table(texts.select("id", "text", F.octet_length("text").alias("size")))
     links = scratch.table(_verified(pairs, texts, shared, threshold))
     labels = components(links, scratch)
 
     labelled = met.join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     several = labelled.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q")
-    members = labelled.join(scratch.table(several.select("bucket")), "bucket").join(side, "id").join(texts, "id")
+    mixed_up = scratch.table(labelled.join(several.select("bucket"), "bucket").select("bucket", "id", "label"))
+    sizes = mixed_up.join(texts.select("id", "size"), "id").groupBy("bucket").agg(F.sum("size").alias("size"))
+    blocks = scratch.table(sizes.select("bucket", F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("blocks")).where("blocks > 0"))
+    members = mixed_up.join(blocks, "bucket").join(texts.select("id", "text"), "id")
     links = scratch.table(links.unionByName(_across(members, shared, threshold)))
     labels = components(links, scratch)
-    scratch.drop(met, texts, pairs, sampled, links)
+    scratch.drop(met, texts, pairs, sampled, links, mixed_up, blocks)
 
     placed = ids.join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     placed = scratch.table(placed)
