@@ -1,9 +1,13 @@
 """Embedding near-duplicates: hierarchical navigable small-world graphs per shard.
 
-Equal vectors are one node. Nodes are dealt into shards by hash; a task builds the graph of a shard and answers, in
-blocks, the queries of all nodes: descent through the upper layers, a beam of `beam` in the lowest, and from there on
-through every node within FLOOD of the threshold, so that a large group is found whole. Each pair found is verified in
-double precision. Links give components.
+Equal vectors are one node. Nodes are dealt into shards by hash; a task builds the graph of a shard and writes it, and
+tasks of one shard and one part of the queries answer the queries of all nodes: descent through the upper layers, a
+beam of `beam` in the lowest, and from there on through every node within FLOOD of the threshold, so that a large group
+is found whole. Each pair found is verified in double precision.
+
+A query that finds at most FEW nodes in a shard gives the pairs, in both directions; one that finds more gives their
+number, so a large group does not become all its pairs. Each task joins what it has found to a spanning forest, and the
+forests' links give the components.
 
 An audit compares some nodes with all vectors by exact blocks. Its recall is the mean over audited nodes that have
 links, taken apart for nodes of at most SPARSE_LINKS and for those of large groups, and the lower of the two counts: a
@@ -14,11 +18,15 @@ doubled and all is searched again; past WIDEST all is searched by exact blocks.
 A shard's size is bounded, so the number of shards grows with the table beyond FEWEST_SHARDS * SHARD_ROWS nodes.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different lengths never link; repeated rows count as other vectors, but keep their one id; null ids come last.
+different lengths never link; repeated rows count as other vectors, but keep their one id; ties in cosine do not matter,
+as all links from the threshold on count; null ids come last; an empty table gives no rows; columns of the input named
+as an added one are replaced, others stay whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +42,12 @@ SHARD_ROWS = 20_000
 NEIGHBOURS = 12
 BUILD_BEAM = 40
 BEAM = 20
-BLOCK = 512
+BLOCK = 256
+#: Nodes that a query may find in a shard and still give pairs.
+FEW = 16
+#: Queries of a task, about, and the pairs that a flood goes on from at once.
+QUERY_ROWS = 50_000
+_WAVE = 1 << 16
 AUDIT_ROWS = 1024
 AUDIT_RECALL = 0.97
 AUDIT_LEAST = 256
@@ -167,9 +180,12 @@ class Graph:
         n = len(self.x)
         seen = np.zeros(len(q) * n, bool)
         seen[rows * n + nodes] = True
-        found = [rows * n + nodes]
-        while len(found[-1]):
-            rows, nodes = np.divmod(found[-1], n)
+        found, waiting = [rows * n + nodes], [rows * n + nodes]
+        while waiting:
+            wave = waiting.pop()
+            if len(wave) > _WAVE:
+                waiting.append(wave[_WAVE:])
+            rows, nodes = np.divmod(wave[:_WAVE], n)
             near = self.links[0][nodes]
             rows = np.repeat(rows, near.shape[1])[near.ravel() >= 0]
             near = near.ravel()[near.ravel() >= 0]
@@ -180,7 +196,9 @@ class Graph:
             for lo in range(0, len(keys), 1 << 15):
                 r, v = np.divmod(keys[lo : lo + (1 << 15)], n)
                 close[lo : lo + (1 << 15)] = np.einsum("nd,nd->n", q[r], self.x[v]) >= cosine - FLOOD
-            found.append(keys[close])
+            if close.any():
+                found.append(keys[close])
+                waiting.append(found[-1])
         rows, nodes = np.divmod(np.concatenate(found), n)
         good = np.zeros(len(rows), bool)
         for lo in range(0, len(rows), 1 << 15):
@@ -208,64 +226,183 @@ class Exact:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _search(nodes: DataFrame, shards: int, cosine: float, beam: int | None, queries: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of nodes (id, size, v) that every shard's graph finds for every query a (all nodes by default).
+class Forest:
+    """Joins numbers into components and keeps the links that joined two."""
+
+    def __init__(self, size: int):
+        self.root = np.arange(size)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links a[i] to b[i]; in each round every root takes over from the greater roots that it has a link with."""
+        while True:
+            x, y = self._find(a), self._find(b)
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            order = np.lexsort((low, high))
+            first = order[np.flatnonzero(np.diff(high[order], prepend=-1))]
+            self.links.append((a[first], b[first]))
+            self.root[high[first]] = low[first]
+
+    def _find(self, x: np.ndarray) -> np.ndarray:
+        r = self.root[x]
+        while len(left := np.flatnonzero(self.root[r] != r)):
+            r[left] = self.root[r[left]]
+        self.root[x] = r
+        return r
+
+
+def _built(nodes: DataFrame, shards: int, beam: int | None, scratch: Scratch) -> DataFrame:
+    """size, shard, graph of the shards of nodes (id, size, v, n): a pickled Graph, or without a beam an Exact."""
+    dealt = nodes.select("size", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "n", "v")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("size", "shard", "id")
+
+    def run(batches):
+        current, parts = None, []
+
+        def packed():
+            vectors, ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            made = (Graph if beam else Exact)(vectors, ids)
+            made.counts = counts
+            return pa.RecordBatch.from_arrays(
+                [pa.array([current[0]], pa.int32()), pa.array([current[1]], pa.int32()), pa.array([pickle.dumps(made, 5)], pa.binary())],
+                ["size", "shard", "graph"],
+            )
+
+        for batch in batches:
+            sizes, of, ids, counts = (batch.column(k).to_numpy() for k in range(4))
+            change = np.flatnonzero((np.diff(sizes) != 0) | (np.diff(of) != 0)) + 1
+            for lo, hi in zip([0, *change], [*change, len(ids)], strict=True) if len(ids) else ():
+                if (key := (int(sizes[lo]), int(of[lo]))) != current:
+                    if parts:
+                        yield packed()
+                    current, parts = key, []
+                parts.append((_matrix(batch.column(4).slice(lo, hi - lo), key[0]), ids[lo:hi], counts[lo:hi]))
+        if parts:
+            yield packed()
+
+    return scratch.table(dealt.mapInArrow(run, "size int, shard int, graph binary"))
+
+
+_FOUND = "a long, shard int, nodes long, rows long, near array<long>, b long"
+
 
-    Without a beam a shard is compared whole.
+def _search(
+    nodes: DataFrame, shards: int, cosine: float, beam: int | None, scratch: Scratch, count: int, queries: DataFrame | None = None
+) -> DataFrame:
+    """What every shard's graph finds for every query (all nodes by default), by exact comparison without a beam.
+
+    For each query a and shard with a find: how many nodes, their rows, and the nodes if they are few (`near`); and
+    links (a, b) of a spanning forest, with a null shard.
     """
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    built = nodes.select(shard.alias("shard"), F.lit(0).alias("kind"), "id", "size", "v")
-    asked = (nodes if queries is None else queries).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "size", "v")
-    dealt = built.unionByName(asked).repartition("size", "shard").sortWithinPartitions("size", "shard", "kind", "id")
+    graphs = _built(nodes, shards, beam, scratch)
+    asked = nodes if queries is None else queries
+    splits = max(1, -(-count // QUERY_ROWS))
+    built = graphs.select(
+        "size", "shard", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), F.lit(0).alias("kind"),
+        F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), "graph",
+    )
+    split = F.pmod(F.xxhash64("id", F.lit("split")), F.lit(splits)).cast("int")
+    asked = asked.select(
+        "size", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), split.alias("split"), F.lit(1).alias("kind"), "id", "v",
+        F.lit(None).cast("binary").alias("graph"),
+    )
+    tasks = shards * splits
+    dealt = built.unionByName(asked).repartitionById(tasks, F.col("shard") * splits + F.col("split"))
+    dealt = dealt.sortWithinPartitions("size", "shard", "split", "kind", "id")
 
     def run(batches):
-        current, graph, parts = None, None, []
+        current = graph = forest = numbers = None
+
+        def links():
+            a, b = (np.concatenate(x) for x in zip(*forest.links, strict=True)) if forest and forest.links else (np.zeros(0, np.int64),) * 2
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(numbers[a]), pa.nulls(len(a), pa.int32()), none, none, pa.nulls(len(a), pa.list_(pa.int64())), pa.array(numbers[b])],
+                ["a", "shard", "nodes", "rows", "near", "b"],
+            )
 
-        def finished():
-            ids = np.concatenate([i for i, _ in parts])
-            return (Graph if beam else Exact)(np.concatenate([v for _, v in parts]), ids)
+        def begun(blob: bytes):
+            made = pickle.loads(blob)  # noqa: S301  written by _built
+            return made, Forest(len(made.ids)), made.ids
 
         for batch in batches:
-            of, kinds, ids, sizes = (batch.column(k).to_numpy() for k in range(4))
-            change = np.flatnonzero((np.diff(sizes) != 0) | (np.diff(of) != 0) | (np.diff(kinds) != 0)) + 1
-            for lo, hi in zip([0, *change], [*change, len(ids)], strict=True):
-                if (key := (sizes[lo], of[lo])) != current:
-                    current, graph, parts = key, None, []
-                v = _matrix(batch.column(4).slice(lo, hi - lo), int(sizes[lo]))
+            sizes, of, splits_of, kinds = (batch.column(k).to_numpy() for k in range(4))
+            change = np.flatnonzero((np.diff(sizes) != 0) | (np.diff(of) != 0) | (np.diff(splits_of) != 0) | (np.diff(kinds) != 0)) + 1
+            for lo, hi in zip([0, *change], [*change, len(sizes)], strict=True) if len(sizes) else ():
                 if kinds[lo] == 0:
-                    parts.append((ids[lo:hi], v))
+                    if forest:
+                        yield links()
+                    current = sizes[lo], of[lo], splits_of[lo]
+                    graph, forest, numbers = begun(batch.column(6)[lo].as_py())
                     continue
-                if not parts:
+                if current != (sizes[lo], of[lo], splits_of[lo]):
                     continue  # a shard without nodes
-                graph = graph or finished()
+                every = batch.column(4).slice(lo, hi - lo).to_numpy()
+                v = _matrix(batch.column(5).slice(lo, hi - lo), int(sizes[lo]))
                 for at in range(0, hi - lo, BLOCK):
+                    ids = every[at : at + BLOCK]
                     rows, found = graph.within(v[at : at + BLOCK], cosine, beam)
-                    a, b = ids[lo + at : lo + min(at + BLOCK, hi - lo)][rows], graph.ids[found]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
+                    other = ids[rows] != graph.ids[found]
+                    rows, found = rows[other], found[other]
+                    order = np.argsort(rows, kind="stable")
+                    rows, found = rows[order], found[order]
+                    n = np.bincount(rows, minlength=len(ids))
+                    weight = np.bincount(rows, graph.counts[found], len(ids)).astype(np.int64)
+                    own = len(forest.root) + np.arange(len(ids))  # queries are numbered on from the shard's nodes
+                    forest.root = np.append(forest.root, own)
+                    numbers = np.append(numbers, ids)
+                    forest.add(own[rows], found)
+                    some = np.flatnonzero(n)
+                    few = n[rows] <= FEW
+                    ends = np.cumsum(np.where(n <= FEW, n, 0)[some])
+                    near = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(graph.ids[found[few]]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[some]), pa.array(np.full(len(some), of[lo], np.int32)), pa.array(n[some]), pa.array(weight[some]), near,
+                         pa.nulls(len(some), pa.int64())], ["a", "shard", "nodes", "rows", "near", "b"],
+                    )
+        if forest:
+            yield links()
+
+    return scratch.table(dealt.mapInArrow(run, _FOUND))
 
 
 def _audit(nodes: DataFrame, count: int, shards: int, cosine: float, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """True pairs (a, b) of nodes a chosen by hash, until enough of them are sparse, and whether those are all nodes."""
+    """What is true of nodes a chosen by hash, until enough of them are sparse, and whether those are all nodes."""
     asked = AUDIT_ROWS
     while True:
         chosen = nodes.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(max(count, 1))) < asked)
-        truth = scratch.table(_search(nodes, shards, cosine, None, chosen))
+        truth = _search(nodes, shards, cosine, None, scratch, min(asked, count), chosen)
         if asked >= count:
             return truth, True
-        if truth.groupBy("a").count().where(F.col("count") <= SPARSE_LINKS).count() >= AUDIT_LEAST:
+        linked = truth.where("shard IS NOT NULL").groupBy("a").agg(F.sum("nodes").alias("n"))
+        if linked.where(F.col("n") <= SPARSE_LINKS).count() >= AUDIT_LEAST:
             return truth, False
         scratch.drop(truth)
         asked *= 4
 
 
-def _recall(truth: DataFrame, found: DataFrame) -> float:
+def _linked(found: DataFrame, nodes: DataFrame, shards: int) -> DataFrame:
+    """a, shard, nodes, rows: the links of each node into each shard, those included that only the other end has found."""
+    finds = found.where("shard IS NOT NULL")
+    pairs = finds.select("a", "shard", F.explode("near").alias("b"))
+    back = pairs.select(F.col("b").alias("a"), F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int").alias("shard"), F.col("a").alias("b"))
+    many = finds.where(F.col("nodes") > FEW).select("a", "shard", "nodes", "rows")
+    pairs = pairs.unionByName(back.join(many.select("a", "shard"), ["a", "shard"], "left_anti")).distinct()
+    counted = pairs.join(nodes.select(F.col("id").alias("b"), "n"), "b").groupBy("a", "shard")
+    return counted.agg(F.count("*").alias("nodes"), F.sum("n").alias("rows")).unionByName(many)
+
+
+def _recall(truth: DataFrame, linked: DataFrame) -> float:
     """Mean recall of the audited nodes with links: the lower one of sparse nodes and of large groups' nodes."""
-    pairs = truth.join(found.select("a", "b", F.lit(1).alias("held")), ["a", "b"], "left")
-    by_node = pairs.groupBy("a").agg(F.count("*").alias("n"), F.count("held").alias("held"))
+    true = truth.where("shard IS NOT NULL").groupBy("a").agg(F.sum("nodes").alias("n"))
+    held = linked.groupBy("a").agg(F.sum("nodes").alias("held"))  # every link found is true
+    by_node = true.join(held, "a", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     kinds = by_node.groupBy((F.col("n") <= SPARSE_LINKS).alias("sparse")).agg(F.avg(F.col("held") / F.col("n")).alias("recall"))
-    return min(r["recall"] for r in kinds.collect())
+    return min((r["recall"] for r in kinds.collect()), default=1.0)
 
 
 def near_vectors(
@@ -289,26 +426,25 @@ def near_vectors(
     count = nodes.count()
     shards = max(FEWEST_SHARDS, -(-count // SHARD_ROWS))
     truth, whole = _audit(nodes, count, shards, cosine, scratch)
-    found = truth
+    found, linked = truth, None
     while not whole:
         wide = beam if beam <= WIDEST else None
-        found = scratch.table(_search(nodes, shards, cosine, wide))
-        if wide is None or _recall(truth, found) >= AUDIT_RECALL:
+        found = _search(nodes, shards, cosine, wide, scratch, count)
+        linked = scratch.table(_linked(found, nodes, shards))
+        if wide is None or _recall(truth, linked) >= AUDIT_RECALL:
             break
-        scratch.drop(found)
+        scratch.drop(found, linked)
         beam *= 2
-    pairs = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    pairs = scratch.table(pairs)
-    scratch.drop(truth, *([] if whole else [found]))
-    direct = pairs.join(nodes.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
-    direct = direct.groupBy("a").agg(F.sum("m").alias("others")).withColumnRenamed("a", "id")
-    labels = components(pairs, scratch)
+    if linked is None:
+        linked = scratch.table(_linked(found, nodes, shards))
+    direct = linked.groupBy("a").agg(F.sum("rows").alias("others")).withColumnRenamed("a", "id")
+    labels = components(found.where("b IS NOT NULL").select("a", "b"), scratch)
     joined = nodes.join(direct, "id", "left").join(labels.toDF("id", "label"), "id", "left")
     joined = joined.withColumn("label", F.coalesce("label", "id"))
     joined = scratch.table(joined.select("v", "label", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
     least = scratch.table(joined.groupBy("label").agg(F.min("least").alias("component_id")))
     placed = scratch.table(joined.join(least, "label").select("v", "n_links", "component_id"))
-    scratch.drop(nodes, pairs, labels, joined, least)
+    scratch.drop(nodes, found, linked, labels, joined, least, *([] if whole else [truth]))
     out = rows.join(placed, "v", "left")
     return out.select(
         *(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), F.coalesce("n_links", F.lit(0)).alias("n_links"),
