@@ -3,15 +3,24 @@
 A text is cut by the tokenizer's pattern and each match is merged on its own. Leaf i of the segment tree holds the
 rank of the pair that starts at byte i (infinite where no live pair starts), inner nodes the minimum, so the root
 gives the next merge and the descent to the left on ties finds its leftmost place. A merge changes three leaves:
-the merged pair's, the swallowed neighbour's and the left neighbour's, each in logarithmic time.
+the merged pair's, the swallowed neighbour's and the left neighbour's, each in logarithmic time. Many short matches
+have their trees as rows of one array. A worker merges each distinct match once and remembers its ids in a table, so
+that the ids of a batch are one gather.
 
-Edge cases: a null text encodes as an empty text; null ids decode to no bytes; an id outside the vocabulary is an
-error, as it is in the public library.
+The public pattern is cut by runs of letters, digits, white space and others in numpy; any other by its own regular
+expression.
+
+Edge cases: a null text encodes as an empty text; an empty text has no ids; a very long text is worked on alone, and a
+very long match is merged alone and not remembered; repeated rows are encoded each; an empty table gives no rows;
+columns of the input named as an added one are replaced, all others stay whatever their names; null ids decode to no
+bytes; an id outside the vocabulary is an error, as it is in the public library.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -23,11 +32,11 @@ from pyspark.sql import functions as F
 from jobtide.llm.batches import Texts, add_columns
 
 _NONE = 1 << 60
-#: Words, and encoded matches, that a worker remembers; then it starts anew. Long ones are forgotten at once.
-CACHED_WORDS, CACHED = 200_000, 100_000
-CACHED_CHARS = 48
-#: A pattern that never crosses a single space between other characters.
+#: Matches that a worker remembers; then it starts anew. Long ones are forgotten at once.
+CACHED, CACHED_BYTES = 400_000, 64
+#: The public pattern, which is cut without a regular expression.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LETTER, _DIGIT, _OTHER, _SPACE = range(4)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,18 +44,82 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-UNCUT = (-1,)
+@cache
+def kinds() -> np.ndarray:
+    """Of every code point whether it is a letter, a digit, white space or other, as the pattern has it."""
+    out = np.full(0x110000, _OTHER, np.uint8)
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    every = "".join(map(chr, points.tolist()))
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            out[points[m.start() : m.end()]] = kind
+    return out
+
 
+def spaced_matches(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Where the matches of SPACED_PATTERN begin (bytes) in all texts, one after the other, and how many each text has.
 
-class Memory(dict):
-    """Ids by word; notes the words that it is asked for in vain."""
+    A match is a run of one kind, but: the last of several white space characters before something else stands apart,
+    and joins what follows if it is a space; a lone apostrophe that no space precedes takes the letters of a
+    contraction from what follows.
+    """
+    points = np.frombuffer(texts.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    plain = len(points) == len(texts.data)
+    if plain:
+        begins, places = texts.bounds, None
+    else:
+        lengths = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+        places = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        begins = np.searchsorted(places, texts.bounds)
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    kind = kinds()[points]
+    edge = np.zeros(n + 1, bool)
+    edge[begins] = True
+    flag = edge.copy()
+    flag[1:n] |= kind[1:] != kind[:-1]
+    starts = np.flatnonzero(flag[:n])
+    ends = np.append(starts[1:], n)
+    of_run = kind[starts]
+    last_in_text = edge[ends]
+    space = (of_run == _SPACE) & ~last_in_text
+    flag[ends[space] - 1] = True
+    joins = np.flatnonzero(space & (points[ends - 1] == 0x20))
+    flag[starts[joins + 1]] = False
+    quotes = np.flatnonzero((of_run == _OTHER) & (ends - starts == 1) & (points[starts] == 0x27) & flag[starts] & ~last_in_text)
+    quotes = quotes[of_run[np.minimum(quotes + 1, len(starts) - 1)] == _LETTER]
+    if len(quotes):
+        after, end = starts[quotes + 1], ends[quotes + 1]
+        one, two = points[after], np.where(after + 1 < end, points[np.minimum(after + 1, n - 1)], 0)
+        single = np.isin(one, list(map(ord, "stmd")))
+        double = np.isin(one, list(map(ord, "rv"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        taken = single + 2 * (double & ~single)
+        cut = taken > 0
+        flag[after[cut]] = False
+        flag[(after + taken)[cut]] = True  # where the letters end, something else begins anyway
+    found = np.flatnonzero(flag[:n])
+    counts = np.diff(np.searchsorted(found, begins))
+    return (found if plain else places[found]), counts
+
+
+class Numbered(dict):
+    """Numbers of matches; notes those that are new, which get the next ones."""
 
     def __init__(self):
-        self.fresh: list[str] = []
+        super().__init__()
+        self.fresh: list[bytes] = []
+        self.used = 0
+
+    def __missing__(self, match: bytes) -> int:
+        self[match] = k = self.used
+        self.used += 1
+        self.fresh.append(match)
+        return k
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        self.fresh.append(word)
-        return ()
+    def forget(self, match: bytes) -> None:
+        """The match will be new again; its number stays used."""
+        del self[match]
 
 
 class PairTrees:
@@ -117,19 +190,21 @@ class PairTrees:
 
 
 class ByteBPE:
-    """Encodes by a pattern and ranks.
-
-    apart: no match of the pattern crosses a single space between two characters that are no white space, but starts
-    at it, as holds for the public pattern. Texts are then cut there and what follows each space is remembered whole.
-    """
+    """Encodes by a pattern and ranks. apart: whether the pattern is cut by runs (by default, if it is the public one)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, apart: bool | None = None):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.apart = pattern == SPACED_PATTERN if apart is None else apart
         self.pieces = {i: t for t, i in ranks.items()}
         self.trees = PairTrees(ranks)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.words = Memory()
+        self.decoder, self.decimals = Spelling(ranks.items()), Spelling((b"%d," % i, i) for i in ranks.values())
+        self.known = Numbered()
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all matches; the table holds the ids of match k at first[k] to first[k + 1]."""
+        self.known = Numbered()
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def merge(self, piece: bytes) -> list[int]:
         ranks = self.ranks
@@ -179,94 +254,92 @@ class ByteBPE:
             i = after[i]
         return out
 
-    def learn(self, matches: set[str]) -> None:
-        """Remember the ids of matches."""
-        known, ranks = self.known, self.ranks
-        sized: dict[int, list[str]] = {8: [], 16: [], 32: []}
-        for m in matches:
-            piece = m.encode()
-            if (whole := ranks.get(piece)) is not None:
-                known[m] = (whole,)
-            elif len(piece) > 32:
-                known[m] = tuple(self.merge(piece))
-            else:
-                sized[8 if len(piece) <= 8 else 16 if len(piece) <= 16 else 32].append(m)
-        for size, chosen in sized.items():
-            if chosen:
-                ids, counts = self.trees.merge([m.encode() for m in chosen], size)
-                ids, at = ids.tolist(), 0
-                for m, n in zip(chosen, counts.tolist(), strict=True):
-                    known[m] = tuple(ids[at : at + n])
-                    at += n
-
-    def _learn_all(self, matches: list[str]) -> set[str]:
-        """Learn the matches that are not known; what is learned at once is known together."""
+    def learn(self, matches: list[bytes]) -> None:
+        """Add matches to the table, in their order."""
+        ranks = self.ranks
+        whole = np.fromiter((ranks.get(m, -1) for m in matches), np.int64, len(matches))
+        sizes = np.fromiter(map(len, matches), np.int64, len(matches))
+        counts, made = np.ones(len(matches), np.int64), [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
+        for low, size in ((0, 8), (8, 16), (16, 32)):
+            chosen = np.flatnonzero((whole < 0) & (sizes > low) & (sizes <= size))
+            if len(chosen):
+                ids, counts[chosen] = self.trees.merge([matches[k] for k in chosen.tolist()], size)
+                made.append((chosen, ids))
+        for k in np.flatnonzero((whole < 0) & (sizes > 32)).tolist():
+            ids = np.array(self.merge(matches[k]))
+            counts[k] = len(ids)
+            made.append((np.array([k]), ids))
+        ends = np.cumsum(counts)
+        table = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        for chosen, ids in made:
+            n = counts[chosen]
+            table[np.repeat(ends[chosen] - n - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        self.ids = np.concatenate([self.ids, table])
+        self.first = np.concatenate([self.first, self.first[-1] + ends])
+
+    def matches(self, texts: Texts) -> tuple[list[bytes], np.ndarray]:
+        """The matches of all texts, one after the other, and how many each text has."""
+        if self.apart:
+            starts, counts = spaced_matches(texts)
+            data, starts = texts.data.tobytes(), starts.tolist()
+            return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)] if starts else [], counts
+        found = [self.find(texts.text(i)) for i in range(len(texts))]
+        return [m.encode() for m in chain.from_iterable(found)], np.fromiter(map(len, found), np.int64, len(found))
+
+    def encoded(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin (and the end)."""
+        found, counts = self.matches(texts)
+        if self.known.used > CACHED:
+            self.clear()
         known = self.known
-        if fresh := {m for m in matches if m not in known}:
-            if len(known) + len(fresh) > CACHED:
-                known.clear()
-                fresh = set(matches)
+        places = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        fresh, known.fresh = known.fresh, []
+        if fresh:
             self.learn(fresh)
-        return fresh
-
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        """Texts that are not cut at spaces."""
-        found = [self.find(t) for t in texts]
-        fresh = self._learn_all(list(chain.from_iterable(found)))
-        out = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, f)), np.int32) for f in found]
+        first = self.first[places]
+        lengths = self.first[places + 1] - first
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(first - ends + lengths, lengths) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         for m in fresh:
-            if len(m) > CACHED_CHARS:
-                del self.known[m]
-        return out
+            if len(m) > CACHED_BYTES:
+                known.forget(m)
+        return ids, bounds
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.apart:
-            return self.whole(texts)
-        words = self.words
-        if len(words) > CACHED_WORDS:
-            words.clear()
-        cut = [t.split(" ") for t in texts]
-        firsts = self.whole([p[0] for p in cut])
-        spaced = [p[1:] for p in cut]
-        ids = [list(map(words.__getitem__, p)) for p in spaced]
-        fresh, words.fresh = set(words.fresh), []
-        if fresh:
-            self._learn_words(fresh)
-            ids = [list(map(words.__getitem__, p)) for p in spaced]
-        out, again = [], []
-        for k, (first, rest) in enumerate(zip(firsts, ids, strict=True)):
-            made = np.fromiter(chain.from_iterable(rest), np.int32)
-            if len(made) and (made.min() < 0 or cut[k][0][-1:].isspace()):
-                again.append(k)
-            out.append(np.concatenate([first, made]))
-        for k, made in zip(again, self.whole([texts[k] for k in again]), strict=True):
-            out[k] = made
-        for w in fresh:
-            if len(w) > CACHED_CHARS:
-                del words[w]
-        return out
-
-    def _learn_words(self, fresh: set[str]) -> None:
-        """Words as they follow a single space; UNCUT marks those at which the text may not be cut."""
-        words, found, plain = self.words, {}, []
-        for w in fresh:
-            if w.isascii() and w.isalpha():
-                plain.append(w)
-            elif not w or w[0].isspace() or w[-1].isspace():
-                words[w] = UNCUT
-            else:
-                found[w] = self.find(" " + w)
-        self._learn_all([" " + w for w in plain] + list(chain.from_iterable(found.values())))
-        known = self.known
-        for w in plain:
-            words[w] = known[" " + w]
-        for w, matches in found.items():
-            words[w] = tuple(chain.from_iterable(map(known.__getitem__, matches)))
+        ids, bounds = self.encoded(Texts.of(pa.array(texts, pa.large_string())))
+        return np.split(ids, bounds[1:-1]) if texts else []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
+class Spelling:
+    """A byte string for each id, and what an array of ids spells."""
+
+    def __init__(self, pairs):
+        found = {i: t for t, i in pairs}
+        most = max(found, default=-1) + 1
+        spelt = [found.get(i, b"") for i in range(most)]
+        self.length = np.fromiter(map(len, spelt), np.int32, most)
+        self.first = np.cumsum(self.length) - self.length
+        self.data = np.frombuffer(b"".join(spelt), np.uint8)
+        self.there = np.fromiter((i in found for i in range(most)), bool, most)
+
+    def spell(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids, one after the other, and where those of each text begin (and the end)."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.there) and self.there[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        lengths = self.length[ids]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        index = np.int32 if total + len(self.data) < 1 << 31 else np.int64
+        at = np.repeat((self.first[ids] - ends + lengths).astype(index), lengths)
+        at += np.arange(total, dtype=index)
+        return self.data[at], np.concatenate([[0], ends])[bounds]
+
+
 _BUILT: dict = {}
 
 
@@ -279,16 +352,9 @@ def _coder(shared, path: str, pattern: str) -> ByteBPE:
     return _BUILT[key]
 
 
-def _encoded(coder: ByteBPE, texts: Texts) -> list[np.ndarray]:
-    out = []
-    for _, _, part in texts.chunks():
-        out += coder.encode([part.text(i) for i in range(len(part))])
-    return out
-
-
-def _lists(made: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, made)])
-    flat = np.concatenate(made) if made else np.zeros(0, np.int32)
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts] or [np.zeros(0, np.int64)]))])
+    flat = np.concatenate([i for i, _ in parts] or [np.zeros(0, np.int32)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
@@ -303,7 +369,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep:
 
     def factory():
         coder = _coder(shared, path, pattern)
-        return lambda texts: [_lists(_encoded(coder, texts))]
+        return lambda texts: [_lists([coder.encoded(part) for _, _, part in texts.chunks()])]
 
     return add_columns(df, text_col, "ids array<int>", factory, keep)
 
@@ -318,27 +384,82 @@ def round_trip(
         coder = _coder(shared, path, pattern)
 
         def process(texts: Texts) -> list:
-            made = _encoded(coder, texts)
-            return [_lists(made), [coder.decode(x.tolist()) for x in made]]
+            made, decoded = [], []
+            for _, _, part in texts.chunks():
+                made.append(coder.encoded(part))
+                data, bounds = coder.decoder.spell(*made[-1])
+                decoded += [data[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+            return [_lists(made), decoded]
 
         return process
 
     return add_columns(df, text_col, "ids array<int>, decoded binary", factory, keep)
 
 
+def digests(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df with n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 (of the bytes decoded from them)."""
+    shared = ranks_of(df.sparkSession, path)
+
+    def factory():
+        coder = _coder(shared, path, pattern)
+
+        def process(texts: Texts) -> list:
+            counts, of_ids, of_bytes = [], [], []
+            for _, _, part in texts.chunks():
+                ids, bounds = coder.encoded(part)
+                counts += np.diff(bounds).tolist()
+                data, ends = coder.decimals.spell(ids, bounds)
+                of_ids += [_sha256(data[a : max(a, b - 1)]) for a, b in zip(ends, ends[1:], strict=False)]
+                data, ends = coder.decoder.spell(ids, bounds)
+                of_bytes += [_sha256(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            return [counts, of_ids, of_bytes]
+
+        return process
+
+    return add_columns(df, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", factory, keep)
+
+
+def _sha256(data: np.ndarray) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def verified(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df with n_tokens, `ids`, and `decodes`: whether the bytes decoded from the ids are the text's."""
+    shared = ranks_of(df.sparkSession, path)
+
+    def factory():
+        coder = _coder(shared, path, pattern)
+
+        def process(texts: Texts) -> list:
+            made, same = [], []
+            for _, _, part in texts.chunks():
+                made.append(coder.encoded(part))
+                data, ends = coder.decoder.spell(*made[-1])
+                equal = np.array_equal(ends, part.bounds) and np.array_equal(data, part.data)
+                same += [equal or data[ends[i] : ends[i + 1]].tobytes() == part.bytes(i) for i in range(len(part))]
+            return [np.concatenate([np.diff(b) for _, b in made] or [[]]).astype(np.int64), _lists(made), same]
+
+        return process
+
+    return add_columns(df, text_col, "n_tokens long, ids array<int>, decodes boolean", factory, keep)
+
+
 def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """df with `decoded`, the bytes that the ids stand for."""
     shared = ranks_of(df.sparkSession, path)
-    source = df.withColumn("__none", F.lit("")).drop("decoded")
+    fixed = {c.lower() for c in df.columns}
+    none = next(x for k in range(len(fixed) + 1) if (x := f"__none{k}") not in fixed)
+    kept = [c for c in df.columns if c.lower() != "decoded"]
 
     def factory():
         pieces = {i: t for t, i in shared.value.items()}
         return lambda _, ids: [[b"".join(map(pieces.__getitem__, x or ())) for x in ids.to_pylist()]]
 
-    return add_columns(source, "__none", "decoded binary", factory, source.columns[:-1], [ids_col])
+    return add_columns(df.withColumn(none, F.lit("")), none, "decoded binary", factory, kept, [ids_col])
 
 
 def digest(coded: DataFrame) -> DataFrame:
+    """The digests of round_trip()'s columns, made by SQL functions."""
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id",
