@@ -6,69 +6,91 @@ For each set the first m words of every window (m: the shortest length) fill a b
 words (one, where m is 1), and a block that no window has lets the search skip m - 1 words. Where the shift is 0,
 the block's hash selects the windows that end so at word m, and each is confirmed by comparing the words.
 
-Edge cases: a null or wordless text has no words and no hits; a null item text has no windows; the windows of an
-item without an id are searched, but name no item; repeated items count once; an empty benchmark hits nothing.
+A searcher keeps the items' bytes, hashes and places of words in flat arrays, less than ten times the items' bytes in all,
+and is built once in each worker; a benchmark of more than BLOCK_BYTES is searched in several passes.
+
+Edge cases: a null or wordless text has no words and no hits; an empty table gives no rows; a very long text is worked
+on alone; repeated rows are searched each; a null item text has no windows; the windows of an item without an id are
+searched, but name no item; repeated items count once, and windows that items share name all of them; an empty benchmark
+hits nothing; columns of the input named as an added one are replaced, others stay whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.batches import Texts, Words, add_columns
+from jobtide.llm.batches import Texts, Words, add_columns, mixed
 
 WINDOW = 10
 #: Bytes of benchmark texts that are searched for in one pass; larger benchmarks take more passes.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 _BITS = 20
 _ADDED = "n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>"
 
 
-def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
-    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
-
-
 def _blocks(hashes: np.ndarray, size: int) -> np.ndarray:
     """For each word the table slot of the block that ends there (of no use for the first word if size is 2)."""
     x = hashes.copy()
     if size == 2 and len(x):
         x[1:] += hashes[:-1] * np.uint64(0xD6E8FEB86659FD93)
-    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
+
+
+def _joined(words: Words | Packed, first: int, n: int) -> bytes:
+    """Consecutive words with a space between each two."""
+    low, starts, ends = words.low, words.starts, words.ends
+    return b" ".join(low[starts[k] : ends[k]].tobytes() for k in range(first, first + n))
+
+
+class Packed:
+    """The words of texts, as Words has them: bytes in lower case, where words begin and end, each text's first word."""
+
+    def __init__(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
+        self.low, self.starts, self.ends, self.first = low, starts, ends, first
+
+
+def _packed(texts: list[bytes]) -> tuple[Packed, np.ndarray]:
+    """The words of all texts and their hashes, made of some texts at a time."""
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    whole = Texts(np.frombuffer(b"".join(texts), np.uint8), bounds, np.ones(len(texts), bool))
+    low, starts, ends, hashes, counts = [], [], [], [], []
+    for at, _, part in whole.chunks(1 << 18):
+        words = Words(part)
+        low.append(words.low)
+        starts.append((words.starts + bounds[at]).astype(np.int32))
+        ends.append((words.ends + bounds[at]).astype(np.int32))
+        hashes.append(words.hashes())
+        counts.append(np.diff(words.first))
+    joined = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip((low, starts, ends, hashes, counts), (np.uint8, np.int32, np.int32, np.uint64, int), strict=True)]
+    return Packed(*joined[:3], np.concatenate([[0], np.cumsum(joined[4])])), joined[3]
 
 
 class WuManber:
-    """Searches texts, given as words, for sequences of words."""
+    """Searches texts, given as words, for windows: starts and lengths (in words) within the words of items."""
 
-    def __init__(self, patterns: list[tuple[bytes, ...]]):
-        self.patterns = patterns
-        self.m = m = min(map(len, patterns))
+    def __init__(self, items: Packed, hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+        self.items, self.starts, self.lengths = items, starts, lengths
+        self.m = m = int(lengths.min())
         self.block = min(2, m)
-        flat = [w for p in patterns for w in p]
-        joined = b" ".join(flat)
-        hashes = Words(Texts(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), np.ones(1, bool))).hashes()
+        slots = _blocks(hashes, self.block)
         self.shift = np.full(1 << _BITS, m - self.block + 1, np.uint8)
-        self.buckets: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        at = 0
-        for k, p in enumerate(patterns):
-            own = hashes[at : at + len(p)]
-            at += len(p)
-            slots = _blocks(own[:m], self.block)
-            for j in range(self.block - 1, m):
-                self.shift[slots[j]] = min(self.shift[slots[j]], m - 1 - j)
-            self.buckets[int(slots[m - 1])].append((int(own[0]), k))
+        for j in range(self.block - 1, m):  # falling shifts, so what is written last is least
+            self.shift[slots[starts + j]] = m - 1 - j
+        last = slots[starts + m - 1]
+        self.order = np.argsort(last, kind="stable").astype(np.int32)
+        self.first = np.searchsorted(last[self.order], np.arange((1 << _BITS) + 1)).astype(np.int32)
+        self.hashes = hashes
 
     def search(self, words: Words, hashes: np.ndarray):
-        """(text, first word within the text, words, pattern) of every occurrence, in order of text and place."""
-        m, low, starts, ends = self.m, words.low, words.starts, words.ends
+        """(text, first word within the text, words, window) of every occurrence, in order of text and place."""
+        m, first = self.m, words.first.tolist()
         slots = _blocks(hashes, self.block)
         skip = self.shift[slots].tobytes()
-        first = words.first.tolist()
         for doc in range(len(first) - 1):
             lo, hi = first[doc], first[doc + 1]
             i = lo + m - 1
@@ -76,13 +98,12 @@ class WuManber:
                 if step := skip[i]:
                     i += step
                     continue
-                a = i - m + 1
-                for head, k in self.buckets.get(int(slots[i]), ()):
-                    p = self.patterns[k]
-                    if head == int(hashes[a]) and a + len(p) <= hi and all(
-                        low[starts[a + j] : ends[a + j]].tobytes() == w for j, w in enumerate(p)
-                    ):
-                        yield doc, a - lo, len(p), k
+                a, slot = i - m + 1, slots[i]
+                for k in self.order[self.first[slot] : self.first[slot + 1]].tolist():
+                    if self.hashes[self.starts[k]] == hashes[a]:
+                        n = int(self.lengths[k])
+                        if a + n <= hi and _joined(words, a, n) == _joined(self.items, int(self.starts[k]), n):
+                            yield doc, a - lo, n, k
                 i += 1
 
 
@@ -90,16 +111,41 @@ class Searcher:
     """Both matchers over the windows of some items, and the items of each window."""
 
     def __init__(self, items: list[tuple[str | None, bytes]]):
-        owners: dict[tuple[bytes, ...], set] = defaultdict(set)
-        for item, text in items:
-            texts = Texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.ones(1, bool))
-            found = Words(texts)
-            for w in windows([found.word(i) for i in range(len(found))]):
-                owners[w] |= {item} - {None}
+        words, hashes = _packed([t for _, t in items])
+        counts = np.diff(words.first)
+        made = np.where(counts > WINDOW, counts - WINDOW + 1, (counts > 0).astype(np.int64))
+        ends = np.cumsum(made)
+        owner = np.repeat(np.arange(len(items), dtype=np.int32), made)
+        starts = np.repeat((words.first[:-1] - ends + made).astype(np.int32), made)
+        starts += np.arange(len(starts), dtype=np.int32)
+        lengths = np.minimum(counts, WINDOW).astype(np.uint8)[owner]
+        self.names = [name for name, _ in items]
         self.matchers = []
         for full in (True, False):
-            if chosen := [w for w in owners if (len(w) == WINDOW) == full]:
-                self.matchers.append((WuManber(chosen), [owners[w] for w in chosen]))
+            chosen = np.flatnonzero((lengths == WINDOW) == full).astype(np.int32)
+            if len(chosen):
+                kept, told, of = self._distinct(words, hashes, starts[chosen], lengths[chosen], owner[chosen])
+                self.matchers.append((WuManber(words, hashes, starts[chosen][kept], lengths[chosen][kept]), told, of))
+
+    @staticmethod
+    def _distinct(words: Packed, hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, owner: np.ndarray):
+        """Windows less those that repeat the words of another; the owners of each, and where each one's begin."""
+        keys = lengths.astype(np.uint64)
+        for lo in range(0, len(keys), 1 << 16):
+            part, first, n = keys[lo : lo + (1 << 16)], starts[lo : lo + (1 << 16)], lengths[lo : lo + (1 << 16)]
+            for j in range(int(n.max())):
+                inside = np.flatnonzero(j < n)
+                part[inside] = mixed(part[inside] * np.uint64(0x9E3779B97F4A7C15) + hashes[first[inside] + j])
+        order = np.argsort(keys).astype(np.int32)
+        keys = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        del keys
+        for k in np.flatnonzero(~new).tolist():  # equal hashes, so equal words but for the rarest chance
+            a, b = order[k - 1], order[k]
+            new[k] = lengths[a] != lengths[b] or _joined(words, starts[a], lengths[a]) != _joined(words, starts[b], lengths[b])
+        first = np.flatnonzero(new)
+        return order[first], owner[order], np.append(first, len(order)).astype(np.int32)
 
     def hits(self, texts: Texts) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
         """Words of each text, the spans of words within occurrences, and the items that occur."""
@@ -107,11 +153,22 @@ class Searcher:
         hashes = words.hashes()
         spans: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
         items: list[set] = [set() for _ in range(len(texts))]
-        for matcher, owners in self.matchers:
+        for matcher, told, of in self.matchers:
             for doc, at, n, k in matcher.search(words, hashes):
                 spans[doc].append((at, at + n))
-                items[doc] |= owners[k]
-        return np.diff(words.first), spans, items
+                items[doc].update(self.names[o] for o in told[of[k] : of[k + 1]].tolist())
+        return np.diff(words.first), spans, [x - {None} for x in items]
+
+
+_BUILT: dict = {}
+
+
+def _searcher(shared, token: str) -> Searcher:
+    """One for each worker process and block of items."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = Searcher(shared.value)
+    return _BUILT[token]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -127,8 +184,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _pass(df: DataFrame, text_col: str, items: list[tuple[str | None, bytes]], keep: list[str] | None, more: bool):
     shared = df.sparkSession.sparkContext.broadcast(items)
 
+    token = uuid.uuid4().hex
+
     def factory():
-        searcher = Searcher(shared.value)
+        searcher = _searcher(shared, token)
 
         def process(texts: Texts, before=None, named=None) -> list:
             counts, spans, items = [], [], []
