@@ -181,7 +181,11 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive a lost executor."""
+    """Tables written to the shared folder: they cut lineage and survive a lost executor.
+
+    What an operator returns reads them until clear(), which the end of a `with` block calls, or else the interpreter's
+    end; a long session gives its operators a Scratch of its own and clears it when the results are written.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.at = spark, f"{scratch_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
@@ -206,6 +210,12 @@ class Scratch:
         for df in tables:
             self._delete(df._scratch_path)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def clear(self) -> None:
         with contextlib.suppress(Exception):  # the session may have ended before the interpreter
             self._delete(self.at)

@@ -407,11 +407,10 @@ def _recall(truth: DataFrame, linked: DataFrame) -> float:
 
 def near_vectors(
     df: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id", cosine: float = COSINE, beam: int = BEAM,
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, scratch: Scratch | None = None,
 ) -> DataFrame:
     """df with n_links (other vectors linked directly), component_id (smallest id that links reach) and kept."""
-    spark = df.sparkSession
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(df.sparkSession)
     added = ("n_links", "component_id", "kept")
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in added]
     vector, own = F.col(quoted(vector_col)), F.col(quoted(id_col)).cast("long")

@@ -7,8 +7,12 @@ the sum of its trigrams' smoothed log probabilities; Viterbi finds the labelling
 SWITCH for each change of language, so runs of words become spans. A text's language has the most bytes of words;
 `score` is its share of them.
 
+The driver holds FEATURES counts for each distinct language, so labels are meant to be languages, not free text.
+
 Edge cases: null texts and texts without a letter are `und` with score 0; ties go to the language that sorts first;
-without any labelled text all texts are `und`.
+without any labelled text all texts are `und`; a very long text is worked on alone, whole; repeated rows are counted and
+judged each; an empty table gives no rows; columns of the input named as an added one are replaced, others stay whatever
+their names.
 """
 
 from __future__ import annotations

@@ -411,12 +411,14 @@ def classes(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str
     )
 
 
-def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, scratch: Scratch | None = None
+) -> DataFrame:
     """df with class_id (the smallest id of the row's class), class_rows and kept (whether the row has that id).
 
     A null text has its own id as class.
     """
-    found = classes(df, Scratch(df.sparkSession), text_col, id_col)
+    found = classes(df, scratch or Scratch(df.sparkSession), text_col, id_col)
     added = ("class_id", "class_rows", "kept")
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in added]
     text, doc = F.col(quoted(text_col)), F.col(quoted(id_col))
@@ -432,12 +434,12 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     )
 
 
-def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """The rows of df less near-duplicates: of each class one row with its smallest id; null texts all stay."""
     names = df.columns
     df = df.toDF(*(f"k{i}" for i in range(len(names))))  # no column of df can clash with those used here
     text_col, id_col = (df.columns[names.index(c)] for c in (text_col, id_col))
-    found = classes(df, Scratch(df.sparkSession), text_col, id_col)
+    found = classes(df, scratch or Scratch(df.sparkSession), text_col, id_col)
     text = F.col(text_col)
     rows = df.where(text.isNotNull()).select("*", *text_key(text), F.coalesce(id_col, F.lit((1 << 63) - 1)).alias("own"))
     joined = rows.join(found, ["h", "c"]).where("class_id = own")

@@ -10,8 +10,10 @@ those ranges that a greedy pass cuts, until every cut falls between two groups.
 anywhere, so each search gives a lower bound, which the last one reaches. Slots are gapless without a global sort: rows
 are dealt into cells by a hash of their id, and a cell's offset is the sum of the cells before it.
 
-Edge cases: null texts and ids have size 1 and form a group with empty texts; repeated rows each get a slot; fewer groups than
-shards leave shards empty; an empty table has no rows.
+Edge cases: null texts and ids have size 1 and form a group with empty texts; a very long text is a group like any other,
+and one larger than an even share makes its shard so large; ties need no rule, as the order of hashes is total; repeated
+rows each get a slot; fewer groups than shards leave shards empty; an empty table has no rows; columns of the input
+named as an added one are replaced, others stay whatever their names.
 """
 
 from __future__ import annotations
@@ -96,10 +98,11 @@ def cuts(groups: DataFrame, shards: int) -> list[int]:
     return []
 
 
-def assign_shards(df: DataFrame, shards: int = 8, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def assign_shards(
+    df: DataFrame, shards: int = 8, text_col: str = "text", keep: list[str] | None = None, scratch: Scratch | None = None
+) -> DataFrame:
     """df with size, text_crc32, shard and slot. keep: the columns of df to carry (all, if None)."""
-    spark = df.sparkSession
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(df.sparkSession)
     added = ("size", "text_crc32", "shard", "slot")
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in added]
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))

@@ -5,7 +5,10 @@ of what is left when greedy longest-match pieces are popped from the node's stri
 pieces that pops. A word is read once, byte by byte: its number of greedy pieces is the sum of the counts popped on
 the way, and no piece is ever built.
 
-Edge cases: a null, empty or blank text has no words and no tokens; a word that cannot be covered counts one token.
+Edge cases: a null, empty or blank text has no words and no tokens; a word that cannot be covered counts one token; a
+very long text or word is read once, symbol by symbol, and long words are not remembered; repeated rows are counted
+each; an empty table gives no rows; columns of the input named as an added one are replaced, others stay whatever their
+names.
 """
 
 from __future__ import annotations

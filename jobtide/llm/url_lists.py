@@ -6,12 +6,16 @@ time of listing. Per kind and value each entry is valid from its own time until
 and when it was fetched) is joined with the entries of its keys that are valid at its fetch time, and the most specific
 one decides: the longest prefix, else the host, else the longest domain.
 
-The validity intervals are broadcast if they are few (BROADCAST_ENTRIES, counted first); else captures and intervals
-meet by key, salted so that a host with a third of all captures is spread over SALTS tasks.
-
-Edge cases: a null or unparsable URL, and a capture without a fetch time, match nothing and are kept; entries with a
-null value, action or time, or an unknown kind or action, are ignored; of entries of one key and time `block` wins,
-then `allow`; repeated captures each get a row.
+A URL gives keys only as deep as the list's deepest domain and prefix, so a very long URL gives few and short ones. The
+validity intervals are broadcast if they are few (BROADCAST_ENTRIES, counted first). Else the keys that no entry has are
+left out where they arise, by the hashed SLOTS of the list's keys (at most SLOTS numbers, broadcast), and the rest meet
+the intervals by key, salted so that a host with a third of all captures is spread over SALTS tasks.
+
+Edge cases: a null or unparsable URL, and a capture without a fetch time, match nothing and are kept; a very long URL is
+matched by its whole host and the segments that prefixes reach; entries with a null value, action or time, or an unknown
+kind or action, are ignored; of entries of one key and time `block` wins, then `allow`; repeated captures each get a
+row; an empty list decides nothing, and no captures give no rows; columns of the captures named as an added one are
+replaced, others stay whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from jobtide.llm.batches import quoted
 KINDS = ("domain", "host", "prefix")
 BROADCAST_ENTRIES = 50_000
 SALTS = 16
+SLOTS = 1 << 20
 #: Scheme, user, host; then the path after it. Port, query and fragment are left out.
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)"
@@ -65,17 +70,17 @@ def intervals(entries: DataFrame) -> DataFrame:
     )
 
 
-def keys(url) -> F.Column:
-    """The keys of a URL: its host, the domains above it, and its path's prefixes."""
+def keys(url, labels_deep: int, segments_deep: int) -> F.Column:
+    """The keys of a URL: its host, the domains above it of at most so many labels, and its path's prefixes likewise."""
     host = F.regexp_replace(F.regexp_extract(F.lower(url), HOST, 1), r"\.+$", "")
     labels = F.split(host, r"\.")
+    deepest = F.least(F.size(labels), F.lit(max(1, labels_deep)))
     domains = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda k: F.concat(F.lit("domain|"), F.array_join(F.slice(labels, k, F.size(labels)), ".")),
+        F.sequence(F.lit(1), deepest), lambda k: F.concat(F.lit("domain|"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
     )
     segments = F.filter(F.split(F.lower(F.regexp_extract(url, PATH, 1)), "/"), lambda s: s != "")
     prefixes = F.transform(
-        F.sequence(F.lit(0), F.size(segments)),
+        F.sequence(F.lit(0), F.least(F.size(segments), F.lit(segments_deep))),
         lambda k: F.concat(F.lit("prefix|"), F.array_join(F.concat(F.array(host), F.slice(segments, F.lit(1), k)), "/")),
     )
     return F.when(
@@ -92,9 +97,13 @@ def filter_urls(
     kept = [c for c in (captures.columns if keep is None else keep) if c.lower() not in added]
     listed = intervals(entries)
     few = listed.limit(broadcast_entries + 1).count() <= broadcast_entries
+    deep = listed.agg(
+        F.max(F.when(F.col("kind") == "domain", F.size(F.split("value", r"\.")))).alias("labels"),
+        F.max(F.when(F.col("kind") == "prefix", F.size(F.split("value", "/")) - 1)).alias("segments"),
+    ).first()  # one row
     rows = captures.select(
         F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept))).alias("row"),
-        F.col(quoted(time_col)).alias("at"), keys(F.col(quoted(url_col))).alias("keys"),
+        F.col(quoted(time_col)).alias("at"), keys(F.col(quoted(url_col)), deep["labels"] or 0, deep["segments"] or 0).alias("keys"),
         F.monotonically_increasing_id().alias("id"),
     )
     spread = rows.select("id", "row", "at", F.explode_outer("keys").alias("key"))
@@ -102,6 +111,12 @@ def filter_urls(
     if few:
         met = spread.join(F.broadcast(listed), (spread["key"] == listed["key"]) & valid, "left")
     else:
+        slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int")
+        there = F.broadcast(listed.select(slot.alias("slot"), F.lit(True).alias("hit")).distinct())  # SLOTS numbers at most
+        # each capture also goes on once without a key
+        every = F.concat(F.coalesce("keys", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+        spread = rows.select("id", "row", "at", F.explode(every).alias("key")).withColumn("slot", slot)
+        spread = spread.join(there, "slot", "left").where("key IS NULL OR hit").select("id", "row", "at", "key")
         salted = listed.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
         spread = spread.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         met = spread.join(salted, (spread["key"] == salted["key"]) & (F.col("own") == F.col("salt")) & valid, "left")
