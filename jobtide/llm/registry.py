@@ -26,11 +26,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
-    scratch = Scratch(spark)
-    model, counts = lm.learn(documents.where(language.remainder("doc_id", 7) != 2), scratch)
-    held_out = (language.remainder("doc_id", 7) == 2).alias("held_out")
-    found = lm.score_texts(documents, model, counts, scratch, keep=["doc_id"])
-    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held_out = language.remainder("doc_id", 7) == 2
+    found = lm.learn_and_score(documents, ~held_out, Scratch(spark), id_col="doc_id", keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +40,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     path = public_tokenizers.path(BPE_RANKS)
-    return byte_bpe.digest(byte_bpe.round_trip(documents, path, public_tokenizers.PATTERN, keep=["doc_id"]))
+    return byte_bpe.digests(documents, path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
