@@ -11,10 +11,10 @@ def lost(monkeypatch):
     """Graphs that find pairs of the large group only, whatever the beam."""
     whole = hnsw._search
 
-    def search(nodes, shards, cosine, beam, *queries):
-        found = whole(nodes, shards, cosine, beam, *queries)
+    def search(nodes, shards, cosine, beam, scratch, *rest):
+        found = whole(nodes, shards, cosine, beam, scratch, *rest)
         large = nodes.where("abs(v[0]) > 50").selectExpr("id AS a")
-        return found if beam is None else found.join(large, "a", "left_semi").select("a", "b")
+        return found if beam is None else scratch.table(found.join(large, "a", "left_semi").select(*found.columns))
 
     monkeypatch.setattr(hnsw, "_search", search)  # in the driver: workers do not see patches
     monkeypatch.setattr(hnsw, "WIDEST", hnsw.BEAM)

@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from jobtide.llm import components, hnsw, language, lm, minhash, shards, url_lists
 from jobtide.llm.batches import Scratch, Texts
@@ -33,8 +35,32 @@ def texts():
     return out + [" ".join(words(pick, pick.randint(1, 80))) for _ in range(30)] + ["rep " * 300]
 
 
-def brute_classes(texts, idf):
-    found, weights, first = minhash.features(Texts.of(pa.array(texts)), idf)
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def shingles_of(text):
+    own = WORD.findall(text.translate(LOWER))
+    return Counter(tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))) if own else Counter()
+
+
+def brute_weights(texts):
+    """TF-IDF weights of the shingles of each text, by dictionaries of words."""
+    found = [shingles_of(t or "") for t in texts]
+    n = sum(bool(x) for x in found)
+    df = Counter(s for x in found for s in x)
+    idf = {s: 1 + math.log(1 / max(k / n, 1 / 512)) / math.log(512) for s, k in df.items()}
+    return [{s: (1 + math.log(k)) * idf[s] for s, k in x.items()} for x in found]
+
+
+def jaccard(x, y):
+    least = sum(min(w, y[s]) for s, w in x.items() if s in y)
+    total = sum(x.values()) + sum(y.values()) - least
+    return least / total if total else 0.0
+
+
+def brute_classes(texts):
+    weights = brute_weights(texts)
     parent = list(range(len(texts)))
 
     def root(x):
@@ -42,27 +68,52 @@ def brute_classes(texts, idf):
             x = parent[x]
         return x
 
-    part = lambda i: (found[first[i] : first[i + 1]], weights[first[i] : first[i + 1]])
     for i in range(len(texts)):
         for j in range(i):
             same = texts[i] is not None and texts[i] == texts[j]
-            if same or texts[i] and texts[j] and minhash.similarity(part(i), part(j)) >= minhash.SIMILARITY:
+            if same or texts[i] and texts[j] and jaccard(weights[i], weights[j]) >= 0.8:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("block", [1000, 7])
+@pytest.mark.parametrize("block", [8 << 20, 1500])
 def test_near_duplicates_are_brute_force(spark, texts, block, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block)
     docs = spark.createDataFrame([(i, t, "k", 0) for i, t in enumerate(texts)], "doc_id long, text string, h string, class_rows int")
-    n, frequencies = minhash.document_frequencies(docs, "text")
-    assert n == sum(bool(t) and t != "!!!" for t in texts)
-    want = brute_classes(texts, minhash.inverse(n, frequencies))
+    want = brute_classes(texts)
     found = {r["doc_id"]: r for r in minhash.near_duplicates(docs).collect()}
     assert [found[i]["class_id"] for i in range(len(texts))] == want
     assert all(found[i]["kept"] == (want[i] == i) for i in found)
     assert all(found[i]["class_rows"] == (want.count(want[i]) if texts[i] is not None else 1) for i in found)
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_inverse_frequencies_are_true(spark):
+    pick = random.Random(12)
+    shared = [" ".join(words(pick, 12, f"s{k}")) for k in range(6)]
+    texts = [" ".join([*words(pick, 8), *(s for k, s in enumerate(shared) if pick.random() < 2.0**-k)]) for _ in range(1500)] + ["", None]
+    idf = minhash.inverse_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7), "text")
+    df = Counter(s for t in texts for s in shingles_of(t or ""))
+    for s in pick.sample(list(df), 400) + [s for s, _ in df.most_common(60)]:
+        hashes, _ = minhash.shingles(Texts.of(pa.array([" ".join(s)])))
+        assert idf.of(hashes)[0] == pytest.approx(1 + math.log(1 / max(df[s] / 1500, 1 / 512)) / math.log(512), abs=1e-4)
+    assert len(idf.found) == sum(k > 1500 / 512 for k in df.values())
+
+
+def test_samples_agree_as_often_as_texts_are_similar():
+    draw = np.random.default_rng(4)
+    sampler = minhash.Sampler(2000)
+    for shared in (30, 80, 140):
+        ids = draw.integers(0, 1 << 63, 300 - shared, np.uint64)
+        a, b = ids[:150], np.concatenate([ids[:shared], ids[150:]])
+        weights = dict(zip(ids.tolist(), draw.uniform(0.5, 4, len(ids)), strict=True))
+        other = {k: w * (1.5 if i % 3 else 1) for i, (k, w) in enumerate(weights.items())}
+        x, y = np.array([weights[k] for k in a.tolist()]), np.array([other[k] for k in b.tolist()])
+        found, first = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+        samples = sampler.samples(found, np.concatenate([x, y]), first)
+        want = jaccard(dict(zip(a.tolist(), x, strict=True)), dict(zip(b.tolist(), y, strict=True)))
+        assert (samples[0] == samples[1]).mean() == pytest.approx(want, abs=0.04)
 
 
 def test_one_of_each_class_stays(spark, texts):
@@ -93,6 +144,52 @@ def test_components(spark):
     assert labels.count() == len(near)
 
 
+def test_ordered_path_takes_few_rounds(spark):
+    scratch = Scratch(spark)
+    labels = components.components(spark.range(10_000).selectExpr("id AS a", "id + 1 AS b"), scratch)
+    assert labels.count() == 10_001 and labels.where("label <> 0").count() == 0
+    assert scratch._n <= 25  # tables written, of which each doubling is one
+
+
+def test_forest_joins_what_is_linked():
+    draw = np.random.default_rng(5)
+    for n in (1, 30, 400):
+        forest = hnsw.Forest(n)
+        a, b = draw.integers(0, n, (2, n))
+        forest.add(a[: n // 2], b[: n // 2])
+        forest.add(a[n // 2 :], b[n // 2 :])
+        label = np.arange(n)
+        for _ in range(n):
+            np.minimum.at(label, a, label[b])
+            np.minimum.at(label, b, label[a])
+        root = forest._find(np.arange(n))
+        assert (root == label).all()
+        assert sum(len(x) for x, _ in forest.links) == n - len(np.unique(root))
+
+
+@pytest.mark.parametrize("few, splits", [(16, 50_000), (3, 60)])
+def test_near_vectors_by_graphs_are_brute_force(spark, few, splits, monkeypatch):
+    """Graphs, and not the audit, give the result; hot groups as counts and as pairs."""
+    monkeypatch.setattr(hnsw, "QUERY_ROWS", splits)
+    monkeypatch.setattr(hnsw, "AUDIT_ROWS", 100)
+    monkeypatch.setattr(hnsw, "AUDIT_LEAST", 5)
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(600, 16))
+    x[100:300] = x[0] + draw.normal(0, 0.1, (200, 16))
+    x[300:500:2] = x[301:500:2] + draw.normal(0, 0.05, (100, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r for r in hnsw.near_vectors(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    label = np.arange(len(x))
+    for _ in range(20):
+        label = np.array([label[near[i]].min() for i in range(len(x))])
+    right = [found[i]["n_links"] == near[i].sum() - 1 for i in range(len(x))]
+    assert np.mean(right) > 0.97
+    assert all(found[i]["n_links"] <= near[i].sum() - 1 for i in range(len(x)))
+    assert np.mean([found[i]["component_id"] == label[i] for i in range(len(x))]) > 0.97
+
+
 def test_near_vectors_are_brute_force(spark):
     draw = np.random.default_rng(8)
     x = draw.normal(size=(240, 12))
@@ -225,6 +322,68 @@ def test_backpropagation():
             assert -grad[at] == pytest.approx(numeric_gradient(network, inputs, begins, targets, key, at), rel=0.05, abs=0.02)
 
 
+def scalar_score(network, codes):
+    """Natural log probability of codes, token by token."""
+    w, v = {k: x.astype(float) for k, x in network.w.items()}, network.v
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h, before, total = np.zeros(lm.HIDDEN), v.begin, 0.0
+    for code in codes:
+        z = sigmoid(w["in_z"][before] + h @ w["state_z"])
+        r = sigmoid(w["in_r"][before] + h @ w["state_r"])
+        c = np.tanh(w["in_c"][before] + r * (h @ w["state_c"]))
+        h = z * h + (1 - z) * c
+        logits = h @ w["to_class"] + w["class_bias"]
+        k = v.class_of[code]
+        total += logits[k] - np.log(np.exp(logits).sum())
+        if k < lm.CLASSES:
+            a, b = v.starts[k], v.starts[k + 1]
+            logits = w["to_word"][a:b] @ h + w["word_bias"][a:b]
+            total += logits[code - a] - np.log(np.exp(logits).sum())
+        before = code
+    return total
+
+
+def test_scores_are_those_token_by_token():
+    draw = np.random.default_rng(6)
+    vocabulary = lm.Vocabulary([(b"w%d" % k, 300 - k) for k in range(200)] + [(lm.END, 40)], short=150)
+    network = lm.Network(vocabulary)
+    coded = [draw.integers(0, vocabulary.begin, n).tolist() for n in (1, 2, 700, 5, 90, 64, 65)]
+    lm.Trainer(network).train(*lm.flattened(coded))
+    assert lm.log_likelihoods(network, coded) == pytest.approx([scalar_score(network, c) for c in coded], rel=1e-5)
+    network.w["class_bias"] += 70  # the same probabilities by logits that exp alone could not take
+    assert lm.log_likelihoods(network, coded) == pytest.approx([scalar_score(network, c) for c in coded], rel=1e-4)
+
+
+def test_long_text_takes_memory_by_its_tokens():
+    import tracemalloc
+
+    vocabulary = lm.Vocabulary([(b"w%d" % k, 300 - k) for k in range(200)] + [(lm.END, 40)])
+    network = lm.Network(vocabulary)
+    codes = np.arange(60_000 + 300, dtype=np.int32) % vocabulary.begin
+    bounds = np.concatenate([np.arange(300), [60_300]])
+    tracemalloc.start()
+    scores = lm.scores_of(network, codes, bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and len(scores) == 300 and (scores < 0).all()
+
+
+def test_model_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 2500)
+    monkeypatch.setattr(lm, "WARM_TOKENS", 3000)
+    pick = random.Random(13)
+    rows = [(i, " ".join(words(pick, pick.randint(1, 60)))) for i in range(400)]
+    df = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string")
+    found = []
+    for parts in (1, 7):
+        training = F.col("doc_id") % 4 != 0
+        out = lm.learn_and_score(df.repartition(parts), training, Scratch(spark), id_col="doc_id", keep=["doc_id"])
+        found.append({r["doc_id"]: (r["score"], r["base_score"], r["n_tokens"]) for r in out.collect()})
+    assert all(found[0][i][0] / found[0][i][2] == pytest.approx(found[1][i][0] / found[1][i][2], abs=1e-6) for i in found[0])
+    assert all(found[0][i][1:] == pytest.approx(found[1][i][1:]) for i in found[0])
+    assert lm.learn_and_score(df.limit(0), training, Scratch(spark), id_col="doc_id").count() == 0
+
+
 def test_lm_scores(spark):
     pick = random.Random(2)
     chain = {"a": "bb", "bb": "c.", "c.": "a"}
