@@ -56,6 +56,7 @@ OTHER_SEGMENTS = (
     "login", "help", "support", "about", "privacy", "terms", "eeo",
     "how-we-hire", "legal", "saved jobs", "saved-jobs",
 )
+# Fixed values. Path segments of posting pages on the hosts above.
 JOB_SEGMENTS = ("j", "job", "jobs", "openings")
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 # Fixed values. Adapters in order of precedence: name, pattern of the host, pattern of the path.
@@ -107,7 +108,7 @@ def _decoded(x) -> Column:
     return F.coalesce(F.try_url_decode(x), x)
 
 
-def _quoted(x, space: str) -> Column:
+def quoted(x, space: str) -> Column:
     """Percent-encoding that leaves letters, digits and _.-~ bare."""
     encoded = F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     return encoded if space == "+" else F.replace(encoded, F.lit("+"), F.lit(space))
@@ -126,7 +127,7 @@ def pairs(url) -> Column:
 
 
 def _assembled(front, kept, url, space: str) -> Column:
-    text = F.array_join(F.transform(kept, lambda p: F.concat(_quoted(p["k"], space), F.lit("="), _quoted(p["v"], space))), "&")
+    text = F.array_join(F.transform(kept, lambda p: F.concat(quoted(p["k"], space), F.lit("="), quoted(p["v"], space))), "&")
     return F.concat(
         front,
         F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""),
@@ -155,7 +156,7 @@ def page_identity(url) -> Column:
 
 
 def with_param(url, key, value) -> Column:
-    """URL-5, URL-6: the key set (where it stood first, or last if it is new); of repeated keys the last value stays."""
+    """URL-5: the key set (where it stood first, or last if it is new); of repeated keys the last value stays."""
     found = pairs(url)
     key, value = (x if isinstance(x, Column) else F.lit(x) for x in (key, value))
     several = F.transform(found, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
@@ -173,6 +174,22 @@ def with_param(url, key, value) -> Column:
     return _assembled(head(url), kept, url, "+")
 
 
+def page_url(url, key: str, page) -> Column:
+    """URL-6: the key set to a page; other keys keep all their values, gathered where each key stood first; %20 for space."""
+    found = F.transform(pairs(url), lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
+    page = (page if isinstance(page, Column) else F.lit(page)).cast("string")
+
+    def place(p):
+        return F.array_min(F.transform(F.filter(found, lambda q: q["k"] == p["k"]), lambda q: q["i"]))
+
+    rows = F.transform(found, lambda p: F.struct(place(p).alias("at"), p["i"].alias("i"), p["k"].alias("k"), F.when(p["k"] == key, page).otherwise(p["v"]).alias("v")))
+    rows = F.array_sort(F.filter(rows, lambda p: (p["k"] != key) | (p["at"] == p["i"])))
+    own = F.transform(rows, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v")))
+    added = F.array(F.struct(F.lit(key).alias("k"), page.alias("v")))
+    kept = F.when(F.exists(own, lambda p: p["k"] == key), own).otherwise(F.concat(own, added))
+    return _assembled(head(url), kept, url, "%20")
+
+
 @F.pandas_udf(T.StringType())
 def _joined(base: pd.Series, ref: pd.Series) -> pd.Series:
     def one(b, r):
@@ -314,11 +331,12 @@ def job_item_id(label, others) -> Column:
 
 
 def microsoft_slug(title) -> Column:
-    """URL-13: spaces to -, everything outside A-Z a-z 0-9 - percent-encoded, nothing collapsed."""
-    quoted = F.url_encode(F.replace(F.trim(F.coalesce(title, F.lit(""))), F.lit(" "), F.lit("-")))
-    for bare, code in ((".", "%2E"), ("_", "%5F"), ("*", "%2A"), ("+", "%20")):
-        quoted = F.replace(quoted, F.lit(bare), F.lit(code))
-    return quoted
+    """URL-13: white space off both ends, spaces to -, everything outside A-Z a-z 0-9 - . _ ~ percent-encoded, nothing collapsed."""
+    bare = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)^\s+|\s+$", "")
+    encoded = F.url_encode(F.replace(bare, F.lit(" "), F.lit("-")))
+    for plain, code in (("*", "%2A"), ("+", "%20")):
+        encoded = F.replace(encoded, F.lit(plain), F.lit(code))
+    return F.replace(encoded, F.lit("%7E"), F.lit("~"))
 
 
 def proton_list(url) -> Column:

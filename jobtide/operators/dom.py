@@ -2,13 +2,14 @@
 
 Nodes are numbered in document order, and a node's descendants are those up to last_desc, so that `inside` is a range
 condition within a page. Text is that of text nodes, stripped and joined by spaces; the text of scripts and styles is
-their own only. Parsing is per page and Python's own parser; everything after it is in the JVM.
+their own only. Parsing is per page and Python's own parser; everything after it is in the JVM. A page is known by its
+page_id and URL together, so rows that share a URL stay apart.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
+import tempfile
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import types as T
 
 from jobtide.functions import texts
 
-SCHEMA = "url string, node_id int, parent_id int, last_desc int, tag string, attrs map<string,string>, own_text string, text string"
+PAGE = ["page_id", "url"]
+SCHEMA = "page_id long, url string, node_id int, parent_id int, last_desc int, tag string, attrs map<string,string>, own_text string, text string"
 # Fixed values of the HTML standard: elements without an end tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 # Signs of a page that scripts fill.
@@ -35,15 +37,15 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes: list[list] = []  # parent, last, tag, attrs, own text parts
+        self.nodes: list[list] = []  # parent, last, tag, attrs, own text parts, first and end of the texts inside
         self.open: list[int] = []
-        self.texts: list[tuple[int, str]] = []
+        self.texts: list[str] = []  # in document order, so those inside a node are neighbours
 
     def handle_starttag(self, tag, attrs):
         found = {}
         for k, v in attrs:
             found.setdefault(k, v or "")
-        self.nodes.append([self.open[-1] if self.open else -1, len(self.nodes), tag, found, []])
+        self.nodes.append([self.open[-1] if self.open else -1, len(self.nodes), tag, found, [], len(self.texts), len(self.texts)])
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 
@@ -54,7 +56,7 @@ class _Tree(HTMLParser):
 
     def _close(self, at):
         for k in self.open[at:]:
-            self.nodes[k][1] = len(self.nodes) - 1
+            self.nodes[k][1], self.nodes[k][6] = len(self.nodes) - 1, len(self.texts)
         del self.open[at:]
 
     def handle_endtag(self, tag):
@@ -66,43 +68,67 @@ class _Tree(HTMLParser):
         if self.open and (text := data.strip()):
             self.nodes[self.open[-1]][4].append(text)
             if self.nodes[self.open[-1]][2] not in ("script", "style"):
-                self.texts.append((self.open[-1], text))
+                self.texts.append(text)
 
 
-def parse(html: str) -> list[tuple]:
+def parse(html: str, tags: set[str] | None = None, text_of: set[str] | None = None) -> list[tuple]:
+    """Rows of the nodes with these tags (all, if None); the text of what lies inside only for the tags of text_of."""
     tree = _Tree()
     tree.feed(html)
     tree.close()
     tree._close(0)
     rows = []
-    own = [k for k, _ in tree.texts]
-    order = sorted(range(len(own)), key=own.__getitem__)
-
-
-    keys = [own[i] for i in order]
-    for k, (parent, last, tag, attrs, parts) in enumerate(tree.nodes):
-        lo, hi = bisect.bisect_left(keys, k), bisect.bisect_right(keys, last)
-        text = " ".join(tree.texts[i][1] for i in sorted(order[lo:hi]))
-        rows.append((k, parent, last, tag, attrs, " ".join(parts), text))
+    for k, (parent, last, tag, attrs, parts, first, end) in enumerate(tree.nodes):
+        if tags is None or tag in tags or "role" in attrs:
+            wanted = text_of is None or tag in text_of or "role" in attrs
+            text = " ".join(tree.texts[first:end]) if wanted else None
+            rows.append((k, parent, last, tag, attrs, " ".join(parts), text))
     return rows
 
 
-def nodes(pages: DataFrame) -> DataFrame:
-    """pages (url, html) as nodes; a page without HTML has none."""
+def nodes(pages: DataFrame, tags: tuple[str, ...] | None = None, text_of: tuple[str, ...] | None = None) -> DataFrame:
+    """pages (url, html, and page_id, if there) as nodes; a page without HTML has none.
+
+    tags: the elements wanted, those with a role besides (all, if None). text_of: those whose text is wanted.
+    """
+    names, named = (None if x is None else set(x) for x in (tags, text_of))
+    page_id = F.col("page_id").cast("long") if "page_id" in pages.columns else F.lit(0).cast("long")
 
     def run(batches):
         schema = pa.schema([
-            ("url", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("last_desc", pa.int32()), ("tag", pa.string()),
-            ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.string()), ("text", pa.string()),
+            ("page_id", pa.int64()), ("url", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("last_desc", pa.int32()),
+            ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.string()), ("text", pa.string()),
         ])
         for batch in batches:
-            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if rows := parse(html or ""):
+            for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows := parse(html or "", names, named):
                     columns = list(zip(*rows, strict=True))
                     columns[4] = [list(x.items()) for x in columns[4]]
-                    yield pa.RecordBatch.from_arrays([pa.array([url] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(columns, schema.types[1:], strict=True))], schema=schema)
+                    own = pa.array([page] * len(rows), pa.int64()), pa.array([url] * len(rows), pa.string())
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(columns, schema.types[2:], strict=True))], schema=schema)
+
+    return pages.select(F.coalesce(page_id, F.lit(-1).cast("long")).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), "html").mapInArrow(run, SCHEMA)
+
+
+def stored(found: DataFrame) -> DataFrame:
+    """found, computed once: what reads it several times does not parse again.
+
+    It is written to the folder in spark.checkpoint.dir, which driver and executors share; where that is unset, to one
+    of its own, if all runs on one machine.
+    """
+    context = found.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="jobtide-"))
+    return found.checkpoint()
+
 
-    return pages.select("url", "html").mapInArrow(run, SCHEMA)
+def once(found: DataFrame, is_container, heads) -> tuple[DataFrame, DataFrame]:
+    """Containers and headings of nodes, from one reading of them."""
+    read = stored(found)
+    return read.where(is_container).select(*PAGE, "node_id", "last_desc"), heads(read)
 
 
 def attr(name: str) -> Column:
@@ -116,21 +142,21 @@ def has_class(name: str) -> Column:
 def headings(found: DataFrame) -> DataFrame:
     """Headings with text."""
     level = F.substring("tag", 2, 1).cast("int")
-    return found.where(F.col("tag").isin(*HEADINGS)).select("url", F.col("node_id").alias("h"), level.alias("level"), F.regexp_replace("text", r"(?U)\s+", " ").alias("heading"))
+    return found.where(F.col("tag").isin(*HEADINGS)).select(*PAGE, F.col("node_id").alias("h"), level.alias("level"), F.regexp_replace("text", r"(?U)\s+", " ").alias("heading"))
 
 
 def heading_texts(containers: DataFrame, heads: DataFrame) -> DataFrame:
-    """STR-6, STR-7, AGG-10: for each container (url, node_id, last_desc) its longest and its highest heading's text.
+    """STR-6, STR-7, AGG-10: for each container (page, node_id, last_desc) its longest and its highest heading's text.
 
     Of each level only the first heading counts for the highest; ties in length go to the first.
     """
-    c = containers.select("url", "node_id", "last_desc").distinct()
-    inside = c.join(heads, "url").where((F.col("h") > F.col("node_id")) & (F.col("h") <= F.col("last_desc")))
-    first = inside.groupBy("url", "node_id", "level").agg(
+    c = containers.select(*PAGE, "node_id", "last_desc").distinct()
+    inside = c.join(heads, PAGE).where((F.col("h") > F.col("node_id")) & (F.col("h") <= F.col("last_desc")))
+    first = inside.groupBy(*PAGE, "node_id", "level").agg(
         F.min_by("heading", "h").alias("first"), F.max_by("heading", F.struct(F.length("heading"), -F.col("h"))).alias("longest"), F.min("h").alias("h")
     )
     filled = F.when(F.col("first") != "", F.col("first"))
-    return first.groupBy("url", "node_id").agg(
+    return first.groupBy(*PAGE, "node_id").agg(
         F.max_by("longest", F.struct(F.length("longest"), -F.col("h"))).alias("longest"),
         F.min_by(filled, F.when(filled.isNotNull(), F.col("level")).otherwise(9)).alias("highest"),
     )
@@ -144,7 +170,7 @@ def shell_features(found: DataFrame) -> DataFrame:
         F.min_by(F.when(F.col("tag") == "main", F.col("text")), F.when(F.col("tag") == "main", F.col("node_id"))),
         F.min_by(F.when(F.col("tag") == "body", F.col("text")), F.when(F.col("tag") == "body", F.col("node_id"))), F.lit(""),
     )
-    made = found.groupBy("url").agg(
+    made = found.groupBy(*PAGE).agg(
         F.count_if(~F.col("tag").isin("script", "style")).alias("nodes"), F.count_if(F.col("tag") == "script").alias("scripts"),
         F.length(content).alias("text_length"), F.coalesce(body.rlike("|".join(SCRIPT_HINTS)), F.lit(False)).alias("hint"),
         F.bool_or(F.coalesce(mount, F.lit(False))).alias("mount"), F.bool_or(has_class(SPINNER_CLASS)).alias("spinner"),
@@ -154,9 +180,19 @@ def shell_features(found: DataFrame) -> DataFrame:
     return made.withColumn("needs_script", small | thin | F.col("hint") | F.col("mount") | F.col("spinner"))
 
 
+SHELL_TEXT = ("body", "main")
+
+
+def keyed(pages: DataFrame) -> DataFrame:
+    """pages with page_id and url as nodes() has them."""
+    page_id = F.col("page_id").cast("long") if "page_id" in pages.columns else F.lit(0).cast("long")
+    return pages.withColumns({"page_id": F.coalesce(page_id, F.lit(-1).cast("long")), "url": F.coalesce("url", F.lit(""))})
+
+
 def shells(pages: DataFrame) -> DataFrame:
     """FLT-5 for every page (url, html and its other columns): one without HTML needs scripts, one without nodes has counts of 0."""
-    found = pages.join(shell_features(nodes(pages)), "url", "left")
+    features = shell_features(nodes(pages, text_of=SHELL_TEXT))
+    found = keyed(pages).join(features, PAGE, "left")
     counts = {c: F.coalesce(c, F.lit(0)) for c in ("nodes", "scripts", "text_length")}
     signs = {c: F.coalesce(c, F.lit(False)) for c in ("hint", "mount", "spinner")}
     needs = F.coalesce(F.col("html") == "", F.lit(True)) | F.coalesce("needs_script", F.lit(False))
@@ -177,6 +213,10 @@ def _jsonld_title(scripts):
     return None
 
 
+#: Elements that detail_titles() looks at, besides those with a role.
+TITLE_TAGS = ("div", "h1", "h2", "script", "meta", "title")
+
+
 def detail_titles(found: DataFrame) -> DataFrame:
     """DOM-4, DOM-6, JSN-4: a page's title from the first source that has one: marked div, role, h1, h2, JSON-LD, og:title, title.
 
@@ -190,11 +230,29 @@ def detail_titles(found: DataFrame) -> DataFrame:
 
     tag = F.col("tag")
     is_jsonld = (tag == "script") & (attr("type") == "application/ld+json")
-    sources = found.groupBy("url").agg(
+    sources = found.groupBy(*PAGE).agg(
         first((tag == "div") & attr("class").contains("_army")).alias("marked"), first(attr("role") == "heading").alias("role"),
         first(tag == "h1").alias("h1"), first(tag == "h2").alias("h2"),
         F.array_sort(F.collect_list(F.when(is_jsonld, F.struct("node_id", "own_text")))).alias("scripts"),
         first((tag == "meta") & (attr("property") == "og:title"), attr("content")).alias("og"), first(tag == "title").alias("document"),
     )
     sources = sources.withColumn("jsonld", _jsonld_title("scripts.own_text"))
-    return sources.select("url", F.coalesce(*map(cleaned, ("marked", "role", "h1", "h2", "jsonld", "og", "document"))).alias("title"))
+    return sources.select(*PAGE, F.coalesce(*map(cleaned, ("marked", "role", "h1", "h2", "jsonld", "og", "document"))).alias("title"))
+
+
+def without(found: DataFrame, class_name: str) -> DataFrame:
+    """DOM-5: nodes less those inside an element of a class, and that element; their texts are made anew of what is left.
+
+    found: all nodes of a page, with their texts.
+    """
+    removed = found.where(has_class(class_name)).select(*PAGE, F.col("node_id").alias("r"), F.col("last_desc").alias("r_last"))
+    gone = found.join(removed, PAGE).where("node_id >= r AND node_id <= r_last").select(*PAGE, "node_id").distinct()
+    left = found.join(gone, [*PAGE, "node_id"], "left_anti")
+    holders = found.join(removed, PAGE).where("node_id < r AND last_desc >= r_last").select(*PAGE, F.col("node_id").alias("k"), "last_desc").distinct()
+    parts = holders.join(left.where(~F.col("tag").isin("script", "style") & (F.col("own_text") != "")).select(*PAGE, "node_id", "own_text"), PAGE)
+    parts = parts.where("node_id >= k AND node_id <= last_desc")
+    made = parts.groupBy(*PAGE, F.col("k").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("node_id", "own_text"))).alias("p"))
+    made = made.select(*PAGE, "node_id", F.array_join("p.own_text", " ").alias("_text"))
+    held = holders.select(*PAGE, F.col("k").alias("node_id"), F.lit(True).alias("_held"))
+    out = left.join(held, [*PAGE, "node_id"], "left").join(made, [*PAGE, "node_id"], "left")
+    return out.withColumn("text", F.when(F.col("_held"), F.coalesce("_text", F.lit(""))).otherwise(F.col("text"))).drop("_held", "_text")

@@ -1,6 +1,6 @@
 """Postings from nodes of pages: four extractors, of which a page's first non-empty one wins (LIM-3, EXP-2).
 
-Each gives (url, priority, pos, title, link). Anchors are resolved and judged once, in the JVM; what lies inside a list,
+Each gives (page_id, url, priority, pos, title, link). Anchors are resolved and judged once, in the JVM; what lies inside a list,
 an item or an anchor is a range join within the page, and every choice of `the first` is an aggregate with an order.
 """
 
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobtide.functions import texts, urls
-from jobtide.operators.dom import attr, has_class, heading_texts, headings
+from jobtide.operators.dom import PAGE, attr, has_class, heading_texts, headings
 from jobtide.operators.history import first_wins
 
+# Fixed value. Words in the label of a list of postings.
 LIST_WORDS = "job|career|vacan|opening|position"
 LEAST_CHILDREN = 3
 
@@ -60,7 +61,7 @@ def anchors(nodes: DataFrame) -> DataFrame:
     """Anchors with a link: resolved, judged (URL-7), canonical (URL-3), with the titles of their attributes and text."""
     found = nodes.where((F.col("tag") == "a") & attr("href").isNotNull()).withColumn("ref", urls.absolute(attr("href"), F.col("url")))
     return found.where("ref IS NOT NULL").select(
-        "url", F.col("node_id").alias("a"), F.col("last_desc").alias("a_last"), urls.canonical(F.col("ref")).alias("link"), urls.is_detail(F.col("ref")).alias("detail"),
+        *PAGE, F.col("node_id").alias("a"), F.col("last_desc").alias("a_last"), urls.canonical(F.col("ref")).alias("link"), urls.is_detail(F.col("ref")).alias("detail"),
         F.coalesce(attr("data-automation-id") == "jobTitle", F.lit(False)).alias("marked"), has_class("jobTitle").alias("classed"),
         has_class("posting-title").alias("posting"), texts.label_title(attr("aria-label")).alias("label"),
         texts.anchor_title(F.col("text"), attr("title")).alias("words"),
@@ -74,72 +75,72 @@ def _filled(*columns):
 
 def from_jsonld(nodes: DataFrame) -> DataFrame:
     scripts = nodes.where((F.col("tag") == "script") & (attr("type") == "application/ld+json"))
-    found = scripts.select("url", "node_id", F.posexplode(_postings("own_text")).alias("i", "p")).withColumn("ref", urls.absolute(F.col("p.ref"), F.col("url")))
+    found = scripts.select(*PAGE, "node_id", F.posexplode(_postings("own_text")).alias("i", "p")).withColumn("ref", urls.absolute(F.col("p.ref"), F.col("url")))
     kept = found.where(urls.is_detail(F.col("ref")))
-    return kept.select("url", F.lit(1).alias("priority"), (F.col("node_id") * 1_000_000 + F.col("i")).cast("long").alias("pos"), "p.title", urls.canonical(F.col("ref")).alias("link"))
+    return kept.select(*PAGE, F.lit(1).alias("priority"), (F.col("node_id").cast("long") * 1_000_000 + F.col("i")).alias("pos"), "p.title", urls.canonical(F.col("ref")).alias("link"))
 
 
 def _inside(outer: DataFrame, inner: DataFrame, at: str) -> DataFrame:
-    return outer.join(inner, "url").where((F.col(at) > F.col("node_id")) & (F.col(at) <= F.col("last_desc")))
+    return outer.join(inner, PAGE).where((F.col(at) > F.col("node_id")) & (F.col(at) <= F.col("last_desc")))
 
 
 def from_lists(nodes: DataFrame, found: DataFrame, heads: DataFrame) -> DataFrame:
     lists = nodes.where(F.col("tag").isin("ul", "ol"))
-    labelled = lists.where(F.lower(attr("aria-label")).rlike(LIST_WORDS)).select("url", "node_id", "last_desc")
-    counted = _inside(lists.select("url", "node_id", "last_desc"), found, "a").groupBy("url", "node_id", "last_desc")
+    labelled = lists.where(F.lower(attr("aria-label")).rlike(LIST_WORDS)).select(*PAGE, "node_id", "last_desc")
+    counted = _inside(lists.select(*PAGE, "node_id", "last_desc"), found, "a").groupBy(*PAGE, "node_id", "last_desc")
     several = counted.agg(F.count_if("marked").alias("m"), F.count_if("detail").alias("d")).where("m >= 2 OR d >= 2")
-    chosen = labelled.unionByName(several.select("url", "node_id", "last_desc")).distinct()
-    items = nodes.where((F.col("tag") == "li") | ((F.col("tag") == "div") & (attr("role") == "listitem"))).select("url", "node_id", "last_desc")
-    within = chosen.toDF("url", "list", "list_last").join(items, "url").where("node_id > list AND node_id <= list_last")
-    others = items.join(chosen.select("url").distinct(), "url", "left_anti").withColumn("list", F.lit(0))
-    items = within.select("url", "list", "node_id", "last_desc").unionByName(others.select("url", "list", "node_id", "last_desc"))
+    chosen = labelled.unionByName(several.select(*PAGE, "node_id", "last_desc")).distinct()
+    items = nodes.where((F.col("tag") == "li") | ((F.col("tag") == "div") & (attr("role") == "listitem"))).select(*PAGE, "node_id", "last_desc")
+    within = chosen.toDF(*PAGE, "list", "list_last").join(items, PAGE).where("node_id > list AND node_id <= list_last")
+    others = items.join(chosen.select(*PAGE).distinct(), PAGE, "left_anti").withColumn("list", F.lit(0))
+    items = within.select(*PAGE, "list", "node_id", "last_desc").unionByName(others.select(*PAGE, "list", "node_id", "last_desc"))
     first = F.struct((~F.col("marked")).cast("int"), "a")
     usable = _inside(items, found, "a")
     other = F.when(_filled("label", "words").isNotNull(), F.col("a"))
-    picked = usable.groupBy("url", "list", "node_id", "last_desc").agg(
+    picked = usable.groupBy(*PAGE, "list", "node_id", "last_desc").agg(
         F.min_by(F.struct("link", "label", "words"), F.when(F.col("marked") | F.col("detail"), first)).alias("p"),
         F.max((F.col("marked") | F.col("detail"))).alias("has"), F.min_by(_filled("label", "words"), other).alias("other"),
     ).where("has")
-    titled = picked.join(heading_texts(items, heads), ["url", "node_id"], "left")
-    spans = nodes.where((F.col("tag") == "span") & attr("class").contains("title") & (F.trim("text") != "")).select("url", F.col("node_id").alias("s"), F.col("text").alias("span_text"))
-    spans = _inside(items.select("url", "node_id", "last_desc").distinct(), spans, "s").groupBy("url", "node_id").agg(F.min_by("span_text", "s").alias("span"))
-    titled = titled.join(spans, ["url", "node_id"], "left").withColumn("title", F.trim(F.coalesce(_filled("longest", "p.label", "p.words"), "span", "other")))
-    placed = titled.where("title <> ''").select("url", F.lit(2).alias("priority"), (F.col("list").cast("long") * 10_000_000 + F.col("node_id")).alias("pos"), "title", "p.link")
-    return first_wins(placed, ["url", "link"], ["pos"])
+    titled = picked.join(heading_texts(items, heads), [*PAGE, "node_id"], "left")
+    spans = nodes.where((F.col("tag") == "span") & attr("class").contains("title") & (F.trim("text") != "")).select(*PAGE, F.col("node_id").alias("s"), F.col("text").alias("span_text"))
+    spans = _inside(items.select(*PAGE, "node_id", "last_desc").distinct(), spans, "s").groupBy(*PAGE, "node_id").agg(F.min_by("span_text", "s").alias("span"))
+    titled = titled.join(spans, [*PAGE, "node_id"], "left").withColumn("title", F.trim(F.coalesce(_filled("longest", "p.label", "p.words"), "span", "other")))
+    placed = titled.where("title <> ''").select(*PAGE, F.lit(2).alias("priority"), (F.col("list").cast("long") * 10_000_000 + F.col("node_id")).alias("pos"), "title", "p.link")
+    return first_wins(placed, [*PAGE, "link"], ["pos"])
 
 
 def prototypes(nodes: DataFrame, least: int = LEAST_CHILDREN) -> DataFrame:
-    """AGG-8: (url, kind, key): tags and classes that several children of one container share."""
-    containers = nodes.where(F.col("tag").isin("div", "section", "main", "article")).select("url", F.col("node_id").alias("parent_id"))
-    children = nodes.withColumn("key", texts.class_key(attr("class"))).where(~texts.is_generic_class(F.col("key"))).join(containers, ["url", "parent_id"])
-    grouped = children.groupBy("url", "parent_id", F.col("tag").alias("kind"), "key").count()
-    return grouped.where(F.col("count") >= least).select("url", "kind", "key").distinct()
+    """AGG-8: (page_id, url, kind, key): tags and classes that several children of one container share."""
+    containers = nodes.where(F.col("tag").isin("div", "section", "main", "article")).select(*PAGE, F.col("node_id").alias("parent_id"))
+    children = nodes.withColumn("key", texts.class_key(attr("class"))).where(~texts.is_generic_class(F.col("key"))).join(containers, [*PAGE, "parent_id"])
+    grouped = children.groupBy(*PAGE, "parent_id", F.col("tag").alias("kind"), "key").count()
+    return grouped.where(F.col("count") >= least).select(*PAGE, "kind", "key").distinct()
 
 
 def from_repeated(nodes: DataFrame, found: DataFrame, heads: DataFrame, least: int = LEAST_CHILDREN) -> DataFrame:
     keyed = nodes.withColumn("classes", F.split(F.coalesce(attr("class"), F.lit("")), r"\s+"))
-    items = keyed.join(prototypes(nodes, least), "url").where((F.col("tag") == F.col("kind")) & (F.size(F.array_except(F.split("key", " "), "classes")) == 0))
-    items = items.select("url", "node_id", "last_desc").distinct()
+    items = keyed.join(prototypes(nodes, least), PAGE).where((F.col("tag") == F.col("kind")) & (F.size(F.array_except(F.split("key", " "), "classes")) == 0))
+    items = items.select(*PAGE, "node_id", "last_desc").distinct()
     first = F.struct((~F.col("marked")).cast("int"), (~F.col("posting")).cast("int"), "a")
-    picked = _inside(items, found, "a").groupBy("url", "node_id", "last_desc").agg(F.min_by(F.struct("a", "link", "detail", "named", "words"), first).alias("p"))
-    picked = picked.where("p.detail").join(heading_texts(items, heads).select("url", "node_id", "longest"), ["url", "node_id"], "left")
-    in_anchor = heading_texts(found.select("url", F.col("a").alias("node_id"), F.col("a_last").alias("last_desc")), heads).select("url", F.col("node_id").alias("a"), F.col("longest").alias("inner"))
-    titled = picked.withColumn("a", F.col("p.a")).join(in_anchor, ["url", "a"], "left").withColumn("title", _filled("longest", "p.named", "p.words", "inner"))
-    placed = titled.where("title IS NOT NULL").select("url", F.lit(3).alias("priority"), F.col("node_id").cast("long").alias("pos"), "title", "p.link")
-    return first_wins(placed, ["url", "link"], ["pos"])
+    picked = _inside(items, found, "a").groupBy(*PAGE, "node_id", "last_desc").agg(F.min_by(F.struct("a", "link", "detail", "named", "words"), first).alias("p"))
+    picked = picked.where("p.detail").join(heading_texts(items, heads).select(*PAGE, "node_id", "longest"), [*PAGE, "node_id"], "left")
+    in_anchor = heading_texts(found.select(*PAGE, F.col("a").alias("node_id"), F.col("a_last").alias("last_desc")), heads).select(*PAGE, F.col("node_id").alias("a"), F.col("longest").alias("inner"))
+    titled = picked.withColumn("a", F.col("p.a")).join(in_anchor, [*PAGE, "a"], "left").withColumn("title", _filled("longest", "p.named", "p.words", "inner"))
+    placed = titled.where("title IS NOT NULL").select(*PAGE, F.lit(3).alias("priority"), F.col("node_id").cast("long").alias("pos"), "title", "p.link")
+    return first_wins(placed, [*PAGE, "link"], ["pos"])
 
 
 def from_anchors(found: DataFrame, heads: DataFrame) -> DataFrame:
-    own = heading_texts(found.select("url", F.col("a").alias("node_id"), F.col("a_last").alias("last_desc")), heads).select("url", F.col("node_id").alias("a"), "highest")
-    judged = found.join(own, ["url", "a"], "left").where(F.col("marked") | F.col("classed") | F.col("detail") | texts.is_heading(F.col("highest")))
+    own = heading_texts(found.select(*PAGE, F.col("a").alias("node_id"), F.col("a_last").alias("last_desc")), heads).select(*PAGE, F.col("node_id").alias("a"), "highest")
+    judged = found.join(own, [*PAGE, "a"], "left").where(F.col("marked") | F.col("classed") | F.col("detail") | texts.is_heading(F.col("highest")))
     titled = judged.withColumn("title", _filled(F.trim("highest"), "label", "words")).where("title IS NOT NULL")
-    return first_wins(titled.select("url", F.lit(4).alias("priority"), F.col("a").cast("long").alias("pos"), "title", "link"), ["url", "link"], ["pos"])
+    return first_wins(titled.select(*PAGE, F.lit(4).alias("priority"), F.col("a").cast("long").alias("pos"), "title", "link"), [*PAGE, "link"], ["pos"])
 
 
 def first_filled(candidates: DataFrame) -> DataFrame:
     """LIM-3: of each page the candidates of its smallest priority; pages are joined to a minimum, not sorted."""
-    best = candidates.groupBy("url").agg(F.min("priority").alias("priority"))
-    return candidates.join(best, ["url", "priority"])
+    best = candidates.groupBy(*PAGE).agg(F.min("priority").alias("priority"))
+    return candidates.join(best, [*PAGE, "priority"])
 
 
 def postings(nodes: DataFrame) -> DataFrame:

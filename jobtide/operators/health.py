@@ -77,12 +77,34 @@ def next_scrape(last_scraped, now, base_minutes: int = 60, jitter_minutes: int =
     draw: a column in [-1, 1] (a hash of the board repeats its jitter; None: none).
     """
     draw = F.lit(0.0) if draw is None else draw
-    micros = F.unix_micros(F.coalesce(last_scraped, now)) + (F.lit(base_minutes * 60e6) + draw * F.lit(jitter_minutes * 60e6)).cast("long")
+    micros = F.unix_micros(F.coalesce(last_scraped, now)) + F.round(F.lit(base_minutes * 60e6) + draw * F.lit(jitter_minutes * 60e6)).cast("long")
     floor = F.unix_micros(now) + least_minutes * 60_000_000
-    later = floor + ((draw + 1) * F.lit(15e6)).cast("long") * F.when(draw == 0, 0).otherwise(1)
+    later = floor + F.round((draw + 1) * F.lit(15e6)).cast("long") * F.when(draw == 0, 0).otherwise(1)
     return F.timestamp_micros(F.when(micros < floor, later).otherwise(micros))
 
 
 def minutes_since(last, now):
     """DT-7, over whole days as well."""
     return F.floor((F.unix_micros(now) - F.unix_micros(last)) / 60_000_000)
+
+
+def next_after_error(now, draw=None, base_minutes: int = 20, jitter_minutes: int = 5, least_minutes: int = 5):
+    """STM-8: after an error now + base + draw * jitter, but not before now + least; draw: a column in [-1, 1] or None."""
+    draw = F.lit(0.0) if draw is None else draw
+    wait = F.round(F.lit(base_minutes * 60e6) + draw * F.lit(jitter_minutes * 60e6)).cast("long")
+    return F.timestamp_micros(F.unix_micros(now) + F.greatest(wait, F.lit(least_minutes * 60_000_000)))
+
+
+def summary(found: DataFrame, board: str = "board") -> DataFrame:
+    """H8: of states() the health of each board after its last attempt."""
+    log = Window.partitionBy(board).orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    good = F.col("ok") & (F.col("n") > 0)
+    told = found.withColumns({
+        "last_success_at": F.last(F.when(good, F.col("at")), True).over(log), "last_success_count": F.last(F.when(good, F.col("n")), True).over(log),
+    })
+    fields = (
+        "status", "reason", "first_zero_at", F.col("streak").alias("consecutive_zero_attempts"), "flagged_until", "last_nonzero_at",
+        "last_nonzero_count", F.col("baseline").alias("baseline_nonzero_count"), "last_success_at", "last_success_count",
+    )
+    rows = told.select(board, "at", "seq", F.struct(*fields).alias("h"))
+    return rows.groupBy(board).agg(F.max_by("h", F.struct("at", "seq")).alias("h")).select(board, "h.*")

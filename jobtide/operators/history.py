@@ -127,6 +127,16 @@ def metrics(history: DataFrame, key: list[str], as_of) -> DataFrame:
     )
 
 
+def listed(found: DataFrame, only_active: bool = True, only_new: bool = False) -> DataFrame:
+    """FLT-3: the rows of jobs() that pass both filters; the first is on by default."""
+    good = F.lit(True)
+    if only_active:
+        good = good & F.col("active")
+    if only_new:
+        good = good & F.col("is_new")
+    return found.where(good)
+
+
 def ranked(df: DataFrame, order: list, column: str = "place") -> DataFrame:
     """SRT-4: df with each row's place in a total order from 1 on; rows are dealt by ranges of it, so no task sees all."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"))

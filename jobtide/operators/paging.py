@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions import texts, urls
-from jobtide.operators.dom import attr, has_class
+from jobtide.operators.dom import PAGE, attr, has_class
 
 # Words on links to a next page, and the keys of page numbers and offsets.
 NEXT_WORDS = r"(?iU)\b(next|go to next page|weiter|suivant|siguiente)\b"
@@ -26,7 +26,7 @@ def page_facts(nodes: DataFrame) -> DataFrame:
     def first(x):
         return F.min_by(x, F.when(x.isNotNull(), F.col("node_id")))
 
-    return nodes.groupBy("url").agg(
+    return nodes.groupBy(*PAGE).agg(
         F.coalesce(first(F.when(pager, typed)), first(spoken)).alias("page"), first(total).alias("pages"), first(window).alias("window")
     )
 
@@ -37,32 +37,32 @@ def explicit_next(nodes: DataFrame, facts: DataFrame) -> DataFrame:
     label = F.lower(F.coalesce(attr("aria-label"), F.lit("")))
     off = F.lower(F.coalesce(attr("aria-disabled"), F.lit(""))).isin("true", "1") | has_class("disabled")
     pagers = nodes.where(((F.col("tag") == "nav") & F.lower(attr("aria-label")).contains("pagination")) | has_class("pagination"))
-    pagers = pagers.select("url", F.col("node_id").alias("p"), F.col("last_desc").alias("p_last"))
+    pagers = pagers.select(*PAGE, F.col("node_id").alias("p"), F.col("last_desc").alias("p_last"))
     wrapped = nodes.where((attr("data-analytics-pagination") == "next") | has_class("VfPpkd-wZVHld-gruSEe"))
-    wrapped = wrapped.select("url", F.col("node_id").alias("p"), F.col("last_desc").alias("p_last"), (attr("data-analytics-pagination") == "next").alias("sure"))
+    wrapped = wrapped.select(*PAGE, F.col("node_id").alias("p"), F.col("last_desc").alias("p_last"), (attr("data-analytics-pagination") == "next").alias("sure"))
     inner = "node_id > p AND node_id <= p_last"
-    tier = lambda df, k, order: df.select("url", F.lit(k).alias("tier"), order.alias("rank"), attr("href").alias("href"))
+    tier = lambda df, k, order: df.select(*PAGE, F.lit(k).alias("tier"), order.alias("rank"), attr("href").alias("href"))
     position = F.col("node_id").cast("long")
-    keyed = links.where(attr("aria-label").isNotNull()).join(pagers, "url").where(inner)
+    keyed = links.where(attr("aria-label").isNotNull()).join(pagers, PAGE).where(inner)
     number = F.coalesce(*(F.nullif(F.regexp_extract(attr("href"), rf"[?&]{k}=(\d+)\b", 1), F.lit("")) for k in PAGE_KEYS)).cast("long")
-    keyed = keyed.withColumn("n", number).join(facts.select("url", "page"), "url", "left").where("n IS NOT NULL AND (page IS NULL OR n > page)")
-    nav = links.join(pagers, "url").where(inner).where(F.lower(attr("rel")).contains("next") | label.contains("next"))
+    keyed = keyed.withColumn("n", number).join(facts.select(*PAGE, "page"), PAGE, "left").where("n IS NOT NULL AND (page IS NULL OR n > page)")
+    nav = links.join(pagers, PAGE).where(inner).where(F.lower(attr("rel")).contains("next") | label.contains("next"))
     found = (
         tier(links.where(F.lower(attr("rel")).contains("next")), 1, position)
         .unionByName(tier(links.where(label.rlike(NEXT_WORDS) & ~off), 2, position))
-        .unionByName(tier(links.join(wrapped, "url").where(inner).where(F.coalesce("sure", F.lit(False)) | label.contains("next")), 3, position))
+        .unionByName(tier(links.join(wrapped, PAGE).where(inner).where(F.coalesce("sure", F.lit(False)) | label.contains("next")), 3, position))
         .unionByName(tier(nav, 4, position))
         .unionByName(tier(keyed, 5, F.col("n")))
     )
-    return found.groupBy("url").agg(F.min_by("href", F.struct("tier", "rank", "href")).alias("href"))
+    return found.groupBy(*PAGE).agg(F.min_by("href", F.struct("tier", "rank", "href")).alias("href"))
 
 
 def next_pages(nodes: DataFrame) -> DataFrame:
-    """url, next_url: the explicit link, else a page key or offset raised within the known bounds, else a found key."""
+    """page_id, url, next_url: the explicit link, else a page key or offset raised within the known bounds, else a found key."""
     facts = page_facts(nodes)
     keyed = nodes.where((F.col("tag") == "a") & attr("href").rlike(r"[?&](\w+)=\d+\b"))
-    keyed = keyed.groupBy("url").agg(F.min_by(F.regexp_extract(attr("href"), r"[?&](\w+)=\d+\b", 1), "node_id").alias("key"))
-    rows = facts.join(explicit_next(nodes, facts), "url", "left").join(keyed, "url", "left")
+    keyed = keyed.groupBy(*PAGE).agg(F.min_by(F.regexp_extract(attr("href"), r"[?&](\w+)=\d+\b", 1), "node_id").alias("key"))
+    rows = facts.join(explicit_next(nodes, facts), PAGE, "left").join(keyed, PAGE, "left")
     rows = rows.withColumn("q", urls.pairs(F.col("url")))
     url, found = F.col("url"), F.col("q")
 
@@ -83,9 +83,8 @@ def next_pages(nodes: DataFrame) -> DataFrame:
     made = F.when(F.col("change").isNotNull(), urls.with_param(url, F.col("change.k"), F.col("change.v")))
     stop = F.coalesce("change.stop", F.lit(False))
     more = F.col("page").isNotNull() & (F.col("pages").isNull() | (F.col("page") < F.col("pages")))
-    appended = F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.col("key"), F.lit("="), (F.col("page") + 1).cast("string"))
-    last = F.when(more & F.col("key").isNotNull(), appended)
-    return rows.select("url", F.coalesce(urls.absolute(F.col("href"), url), F.when(~stop, F.coalesce(made, last))).alias("next_url"))
+    last = F.when(more & F.col("key").isNotNull(), urls.with_param(url, F.col("key"), F.col("page") + 1))
+    return rows.select(*PAGE, F.coalesce(urls.absolute(F.col("href"), url), F.when(~stop, F.coalesce(made, last))).alias("next_url"))
 
 
 def crawl(starts: DataFrame, following: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:

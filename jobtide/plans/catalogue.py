@@ -6,7 +6,6 @@ type active. Times are given as text in UTC.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +62,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SHOW = "'%Y-%m-%d %H:%M:%S.%f'"
 _HISTORY = """e AS (
   SELECT user_id % 10 AS board, user_id AS link, CASE WHEN event_type = 'error' THEN 'inactive' ELSE 'active' END AS status,
     ts AS tm, event_id AS seq FROM events),
@@ -74,7 +74,6 @@ h AS (SELECT board, link, status, tm, seq FROM m WHERE NOT coalesce(
   (status = 'inactive' AND a - tm <= INTERVAL 6 HOURS) OR (status = 'active' AND tm - b <= INTERVAL 6 HOURS), false)),
 p AS (SELECT *, lead(tm) OVER (PARTITION BY link ORDER BY tm, seq) AS e FROM h),
 i AS (SELECT board, link, tm AS s, coalesce(e, TIMESTAMP '2024-01-31 00:00:00') AS e FROM p WHERE status = 'active' AND (e IS NULL OR e > tm))"""
-_SHOW = "'%Y-%m-%d %H:%M:%S.%f'"
 
 
 @query(f"WITH {_HISTORY} SELECT board, link, status, strftime(tm, {_SHOW}) AS \"at\" FROM h")
@@ -82,7 +81,18 @@ def history_normalize(spark, sf_dir):
     return status_history(spark, sf_dir).select("board", "link", "status", shown("at").alias("at"))
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (
+  SELECT user_id % 10 AS board, user_id AS link, CASE WHEN event_type = 'error' THEN 'inactive' ELSE 'active' END AS status, ts AS tm,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (
+  SELECT board, link, k, [{{'tm': tm, 'status': status}}] AS h FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.board, n.link, n.k, CASE WHEN len(h) = 0 THEN [{{'tm': tm, 'status': status}}] WHEN h[-1].status = n.status THEN h
+    WHEN n.status = 'active' AND h[-1].status = 'inactive' AND tm - h[-1].tm <= INTERVAL 6 HOURS THEN h[:-2]
+    ELSE list_append(h, {{'tm': tm, 'status': n.status}}) END
+  FROM f JOIN n ON n.link = f.link AND n.k = f.k + 1),
+l AS (SELECT board, link, unnest(arg_max(h, k)) AS e FROM f GROUP BY board, link)
+SELECT board, link, e.status AS status, strftime(e.tm, {_SHOW}) AS "at" FROM l""")
 def history_fold(spark, sf_dir):
     """The event-by-event fold, which differs from the windows only for postings that start inactive."""
     grouped = observations(spark, sf_dir).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("at", "seq", "status"))).alias("h"))
@@ -148,7 +158,7 @@ def _snapshot(spark, sf_dir):
 
 _MERGE = """o AS (SELECT CAST(c_nationkey AS BIGINT) AS board, c_custkey AS link, c_name AS title, c_custkey % 4 <> 0 AS active FROM customer),
 n AS (SELECT CAST(c_nationkey AS BIGINT) AS board, CASE WHEN o_orderkey % 5 = 0 THEN -o_custkey ELSE o_custkey END AS link, arg_max('t' || (o_orderkey % 3), o_orderkey) AS title
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0 GROUP BY 1, 2)"""
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {_MERGE}
@@ -157,13 +167,13 @@ SELECT board, link, coalesce(n.title, o.title) AS title, n.link IS NOT NULL AS a
   o.link IS NULL AS is_new
 FROM o FULL JOIN n USING (board, link)""")
 def merge_snapshot(spark, sf_dir):
-    """Every order is a scrape row; the SQL still keeps one order in seven."""
+    """Every order is a scrape row."""
     return merge.merged(_content(spark, sf_dir), _snapshot(spark, sf_dir), KEY)
 
 
 @query(f"WITH {_MERGE} SELECT board, link, title FROM o ANTI JOIN n USING (board, link)")
 def missing_from_snapshot(spark, sf_dir):
-    """Customers without a row among all orders; the SQL still keeps one order in seven."""
+    """Customers without a row among all orders."""
     return merge.missing(_content(spark, sf_dir), _snapshot(spark, sf_dir), KEY).select("board", "link", "title")
 
 
@@ -222,17 +232,30 @@ def first_wins_dedupe(spark, sf_dir):
     return history.first_wins(keyed, ["h"], ["doc_id"]).select("doc_id", "source")
 
 
-_IGNORED = ", ".join(f"'{k}'" for k in urls.IGNORED_KEYS)
 _FRONT = r"regexp_extract(url, '^([^?#]*)', 1)"
 _PARTS = r"string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&')"
 _FRAGMENT = r"CASE WHEN regexp_extract(url, '#(.*)$', 1) <> '' THEN '#' || regexp_extract(url, '#(.*)$', 1) ELSE '' END"
+# a query, and what is left of it: keys that do not tell postings apart go, the others are sorted and encoded anew
+_QUERIES = (
+    ("locationCity=x&utm_source=y&Page=2&b=2&a=1", "a=1&b=2&locationCity=x"),
+    ("gh_src=q&id=7&ref=mail&id=4", "id=4&id=7"),
+    ("q=a%20b&q=a+a&_ga=1&lat=4&lng=5", "q=a+a&q=a+b"),
+    ("x=&y&utm_term=z", "x=&y="),
+)
 
 
-@query(f"""WITH q AS (SELECT page_id, url, array_to_string(list_sort(list_filter({_PARTS},
-  lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({_IGNORED}))), '&') AS kept FROM pages)
-SELECT page_id, regexp_replace({_FRONT}, '/jobs/results(/jobs/results)+', '/jobs/results') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END || {_FRAGMENT} AS link FROM q""")
+@query(rf"""WITH c AS (SELECT page_id, url, 0 AS k, regexp_replace(url, '\?(page=2&ref=x|utm_source=feed)', '') AS link FROM pages
+  UNION ALL SELECT page_id, {_FRONT} || '?' || q, k, {_FRONT} || CASE WHEN l = '' THEN '' ELSE '?' || l END
+  FROM pages, (VALUES {', '.join(f"({k}, '{q}', '{x}')" for k, (q, x) in enumerate(_QUERIES, 1))}) AS v(k, q, l)
+  UNION ALL SELECT page_id, replace(url, '/en/', '/jobs/results/jobs/results/jobs/results/'), 9, regexp_replace(replace(url, '/en/', '/jobs/results/'), '\?(page=2&ref=x|utm_source=feed)', '') FROM pages)
+SELECT page_id, k, link FROM c""")
 def canonical_url(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("link"))
+    """URL-3 on the URLs as they are, with other queries, and with a repeated path."""
+    url, front = F.col("url"), F.regexp_extract("url", r"^([^?#]*)", 1)
+    cases = [(0, url), *((k, F.concat(front, F.lit("?" + q))) for k, (q, _) in enumerate(_QUERIES, 1))]
+    cases.append((9, F.replace(url, F.lit("/en/"), F.lit("/jobs/results/jobs/results/jobs/results/"))))
+    made = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), x.alias("u")) for k, x in cases))).alias("c"))
+    return made.select("page_id", "c.k", urls.canonical(F.col("c.u")).alias("link"))
 
 
 @query(f"""WITH q AS (SELECT page_id, url, array_to_string(list_sort(list_filter({_PARTS},
@@ -243,96 +266,172 @@ def page_identity(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.page_identity(F.col("url")).alias("page"))
 
 
-_DETAIL = "|".join(f"(?:{p})" for p in urls.DETAIL_PATHS)
-_OTHERS = ", ".join(f"'{s}'" for s in urls.OTHER_SEGMENTS)
-_DETAIL_CASES = """(SELECT page_id, url FROM pages UNION ALL SELECT page_id, replace(url, '/en/', '/job/posting-') FROM pages
-  UNION ALL SELECT page_id, replace(url, '/en/', '/careers/team/') FROM pages UNION ALL SELECT page_id, replace(url, '/en/', '/about/jobs/x') FROM pages)"""
-
+# hosts (empty: the page's own) and paths with what they are; a literal list, so that no pattern is on both sides
+_UUID = "0a1b2c3d-0000-1111-2222-333344445555"
+_DETAIL_CASES = (
+    ("", "/careers/eng/123", True), ("", "/en-us/details/200500123", True), ("", "/details/200500", True), ("", "/details/20050", False),
+    ("", "/job/data-engineer", True), ("", "/job/data", True), ("", "/job/abc", False), ("", "/jobs/results/9", True), ("", "/positions/12", True),
+    ("", "/vacancy/5", True), ("", "/vacancies/x", False), ("", "/about/jobs/data", False), ("", "/jobs/data?page=2", False), ("", "/jobs/data", True),
+    ("", "/help/job/x1", False), ("", "/team", False), ("", "/job/Zurich/Lead_JR-12345", True), ("", "/en-us/apply/200500-1", True), ("", "/en-us/apply/20050-1", False),
+    ("jobs.lever.co", "/acme/" + _UUID, True), ("jobs.lever.co", "/acme", False), ("boards.greenhouse.io", "/acme/jobs/12", True),
+    ("boards.greenhouse.io", "/acme/about", False), ("acme.wd5.myworkdayjobs.com", "/x/job/y", True), ("jobs.ashbyhq.com", "/acme/" + _UUID, True),
+    ("careers.smartrecruiters.com", "/acme/123", True), ("smartrecruiters.com.evil.org", "/acme/123", False),
+)
 
-def _detail_cases(spark, sf_dir):
-    url = F.col("url")
-    cases = F.array(url, *(F.replace(url, F.lit("/en/"), F.lit(x)) for x in ("/job/posting-", "/careers/team/", "/about/jobs/x")))
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(cases).alias("url"))
 
-
-@query(rf"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM {_DETAIL_CASES})
-SELECT page_id, url, url ~ 'https?://.*' AND (regexp_matches(CASE WHEN path = '' THEN '/' ELSE path END, '(?i){_DETAIL}')
-  OR (contains(path, 'job') AND NOT contains(lower(url), 'page=') AND NOT list_has_any(string_split(path, '/'), [{_OTHERS}])
-      AND regexp_matches(path, '/job[s]?/[\w-]{{4,}}(/|$)'))) AS detail FROM u""")
+@query(rf"""WITH c AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{h}', '{p}', {str(d).lower()})" for k, (h, p, d) in enumerate(_DETAIL_CASES))}) AS v(k, host, path, detail))
+SELECT page_id, k, detail FROM pages, c""")
 def detail_url_flags(spark, sf_dir):
-    return _detail_cases(spark, sf_dir).select("page_id", "url", urls.is_detail(F.col("url")).alias("detail"))
+    """URL-7, URL-8 for each page's host and hosts of applicant-tracking systems."""
+    own = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+    cases = F.array(*(F.struct(F.lit(k).alias("k"), F.concat(F.lit("https://"), F.lit(h) if h else own, F.lit(p)).alias("u")) for k, (h, p, _) in enumerate(_DETAIL_CASES)))
+    made = table(spark, sf_dir, "pages").select("page_id", F.explode(cases).alias("c"))
+    return made.select("page_id", "c.k", urls.is_detail(F.col("c.u")).alias("detail"))
 
 
-_BOARD_HOSTS = ("jobs.lever.co", "jobs.eu.lever.co", "acme.wd5.myworkdayjobs.com", "boards.greenhouse.io", "job-boards.eu.greenhouse.io", "jobs.ashbyhq.com", "join.com", "example.com")
-_CASES = " ".join(
-    f"WHEN regexp_matches(host, '(?i){h}')" + (f" AND regexp_matches(path, '{p}')" if p else "") + f" THEN '{n}'" for n, h, p in urls.ADAPTERS
-)
+# hosts and the names of their adapters, below /proton and elsewhere
+_BOARD_HOSTS = (
+    ("jobs.lever.co", "lever", "lever"), ("JOBS.eu.lever.co", "lever", "lever"), ("acme.wd5.myworkdayjobs.com", "workday", "workday"),
+    ("boards.greenhouse.io", "greenhouse", "greenhouse"), ("job-boards.eu.greenhouse.io", "proton", "generic"), ("jobs.ashbyhq.com", "ashby", "ashby"),
+    ("www.join.com", "join", "join"), ("join.com.example.net", "generic", "generic"), ("www.metacareers.com", "meta", "meta"),
+    ("jobs.careers.microsoft.com", "microsoft", "microsoft"), ("wd3.myworkdaysite.com", "workday", "workday"), ("", "generic", "generic"),
+)
 
 
-@query(rf"""WITH u AS (SELECT page_id, [{', '.join(f"'{h}'" for h in _BOARD_HOSTS)}][CAST(page_id % 8 AS INTEGER) + 1] AS host,
-  CASE WHEN page_id % 3 = 0 THEN '/proton/jobs/' ELSE '/acme/' END || page_id AS path FROM pages)
-SELECT page_id, CASE {_CASES} ELSE 'generic' END AS adapter FROM u""")
+@query(rf"""WITH h AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{p}', '{o}')" for k, (_, p, o) in enumerate(_BOARD_HOSTS))}) AS v(k, proton, other))
+SELECT page_id, k, CASE WHEN page_id % 3 = 0 THEN proton ELSE other END AS adapter FROM pages, h""")
 def adapter_dispatch(spark, sf_dir):
-    url_host = F.element_at(F.array(*map(F.lit, _BOARD_HOSTS)), (F.col("page_id") % 8).cast("int") + 1)
-    url = F.concat(F.lit("https://"), url_host, F.when(F.col("page_id") % 3 == 0, "/proton/jobs/").otherwise("/acme/"), F.col("page_id"))
-    return table(spark, sf_dir, "pages").select("page_id", urls.adapter(url).alias("adapter"))
+    """JOIN-4 for the pages' URLs with the hosts of boards, every third one below /proton."""
+    own = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+    rest = F.concat(F.when(F.col("page_id") % 3 == 0, "/proton").otherwise("/acme"), F.regexp_extract("url", r"^https?://[^/?#]+(.*)$", 1))
+    cases = F.array(*(F.struct(F.lit(k).alias("k"), F.concat(F.lit("https://"), F.lit(h) if h else own, rest).alias("u")) for k, (h, _, _) in enumerate(_BOARD_HOSTS)))
+    made = table(spark, sf_dir, "pages").select("page_id", F.explode(cases).alias("c"))
+    return made.select("page_id", "c.k", urls.adapter(F.col("c.u")).alias("adapter"))
 
 
 @query(r"""SELECT page_id, CAST(count(*) AS BIGINT) AS anchors, CAST(count(DISTINCT href) AS BIGINT) AS links FROM (
   SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""")
 def page_anchors(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    found = dom.nodes(pages).where((F.col("tag") == "a") & dom.attr("href").isNotNull())
-    found = found.withColumn("ref", urls.absolute(dom.attr("href"), F.col("url"))).groupBy("url").agg(F.count("*").alias("anchors"), F.count_distinct("ref").alias("links"))
-    return pages.select("page_id", "url").join(found, "url").select("page_id", "anchors", "links")
+    found = dom.nodes(table(spark, sf_dir, "pages"), tags=("a",), text_of=()).where((F.col("tag") == "a") & dom.attr("href").isNotNull())
+    found = found.withColumn("ref", urls.absolute(dom.attr("href"), F.col("url"))).groupBy(*dom.PAGE)
+    return found.agg(F.count("*").alias("anchors"), F.count_distinct("ref").alias("links")).select("page_id", "anchors", "links")
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
 def page_headings(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    found = dom.nodes(pages)
-    whole = found.where("tag = 'body'").select("url", "node_id", "last_desc")
-    titles = dom.heading_texts(whole, dom.headings(found))
-    return pages.select("page_id", "url").join(titles, "url", "left").select("page_id", F.coalesce("highest", F.lit("")).alias("title"))
+    found = dom.nodes(pages, tags=("body", *dom.HEADINGS), text_of=dom.HEADINGS)
+    whole, heads = dom.once(found, F.col("tag") == "body", dom.headings)
+    titles = dom.heading_texts(whole, heads)
+    return pages.select("page_id", "url").join(titles, dom.PAGE, "left").select("page_id", F.coalesce("highest", F.lit("")).alias("title"))
+
+
+def _shell_pages(spark, sf_dir):
+    """Some pages without HTML, with a mount, a spinner, a hint for scripts, or a few nodes only."""
+    html = F.replace("html", F.lit("<article>"), F.lit('<div id="root">'))
+    small = F.lit("<body><p>x</p>" + "<script>y</script>" * 3 + "</body>")
+    k = F.col("page_id") % 8
+    made = (
+        F.when(k == 1, None).when(k == 2, "").when(k == 3, html).when(k == 4, F.replace("html", F.lit("<article>"), F.lit('<div class="a app-loading-spinner">')))
+        .when(k == 5, F.replace("html", F.lit("<article>"), F.lit("<article>Please Enable JavaScript now."))).when(k == 6, small).otherwise(F.col("html"))
+    )
+    return table(spark, sf_dir, "pages").withColumn("html", made)
+
 
+_SHELL = r"""q AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '<\1>', 'gs'), '<!DOCTYPE[^>]*>', '') AS bare FROM p),
+t AS (SELECT *, len(regexp_extract_all(bare, '<[a-z][^>]*>')) - len(regexp_extract_all(bare, '<(script|style)>')) AS nodes, len(regexp_extract_all(bare, '<script>')) AS scripts,
+  array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(regexp_extract(bare, '<body>(.*)$', 1, 's'), '&[a-z]+;', 'x', 'g'), '<[^>]*>'),
+    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' ') AS body FROM q),
+v AS (SELECT page_id, CAST(nodes AS BIGINT) AS nodes, CAST(scripts AS BIGINT) AS scripts, len(body) AS text_length, k = 5 AS hint, k = 3 AS mount, k = 4 AS spinner,
+  coalesce(html, '') = '' OR k IN (3, 4, 5) OR (nodes < 15 AND scripts >= 3) OR (nodes > 200 AND len(body) < 800 AND scripts >= 3) AS needs_script FROM t)"""
+_PLAIN = "p AS (SELECT page_id, 0 AS k, html FROM pages)"
 
-@query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<script[ >]')) AS BIGINT) AS scripts, false AS mount FROM pages""")
+
+def _features(pages: DataFrame) -> DataFrame:
+    counts = (F.col(c).cast("long").alias(c) for c in ("nodes", "scripts", "text_length"))
+    return dom.shells(pages).select("page_id", *counts, "hint", "mount", "spinner", "needs_script")
+
+
+@query(f"WITH {_PLAIN}, {_SHELL} SELECT * EXCLUDE needs_script FROM v")
 def js_shell_features(spark, sf_dir):
-    return dom.shells(table(spark, sf_dir, "pages")).select("page_id", "scripts", "mount")
+    return _features(table(spark, sf_dir, "pages")).drop("needs_script")
 
 
-@query()
+@query(f"WITH {_PLAIN}, {_SHELL} SELECT page_id, needs_script FROM v")
 def js_shell_verdicts(spark, sf_dir):
-    """FLT-5 itself, which the SQL of js_shell_features does not return."""
-    return dom.shells(table(spark, sf_dir, "pages")).select("page_id", "needs_script")
+    """FLT-5 of the pages as they are."""
+    return _features(table(spark, sf_dir, "pages")).select("page_id", "needs_script")
 
 
-@query("""SELECT url, 'p' AS kind, 'card item' AS key FROM pages WHERE len(regexp_extract_all(html, '<li>')) >= 3""")
-def repeated_blocks(spark, sf_dir):
-    """List items of the pages made to look like cards, which the table has none of."""
-    pages = table(spark, sf_dir, "pages")
-    for plain, card in (("<ul>", "<div>"), ("</ul>", "</div>"), ("<li>", '<p class="item card">'), ("</li>", "</p>")):
-        pages = pages.withColumn("html", F.replace("html", F.lit(plain), F.lit(card)))
-    return extract.prototypes(dom.nodes(pages))
+@query(f"""WITH p AS (SELECT page_id, page_id % 8 AS k, CASE page_id % 8 WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN replace(html, '<article>', '<div id="root">')
+    WHEN 4 THEN replace(html, '<article>', '<div class="a app-loading-spinner">') WHEN 5 THEN replace(html, '<article>', '<article>Please Enable JavaScript now.')
+    WHEN 6 THEN '<body><p>x</p>' || repeat('<script>y</script>', 3) || '</body>' ELSE html END AS html FROM pages), {_SHELL} SELECT * FROM v""")
+def js_shell_kinds(spark, sf_dir):
+    """FLT-5 with one page in eight of each kind of sign."""
+    return _features(_shell_pages(spark, sf_dir))
 
 
-@query()
+def _items(html) -> list:
+    """The links of a page's list, as (href, text)."""
+    return F.zip_with(
+        F.regexp_extract_all(html, F.lit(r'<li><a href="([^"]*)">[^<]*</a></li>'), 1), F.regexp_extract_all(html, F.lit(r'<li><a href="[^"]*">([^<]*)</a></li>'), 1),
+        lambda a, b: F.struct(a.alias("href"), b.alias("text")),
+    )
+
+
+@query(r"""SELECT url, 'p' AS kind, 'card item' AS key FROM pages WHERE least(len(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')), page_id % 6) >= 3""")
+def repeated_blocks(spark, sf_dir):
+    """AGG-8: up to five of a page's links as cards, beside others with a class of layout."""
+    pages = table(spark, sf_dir, "pages").withColumn("items", _items(F.col("html")))
+    cards = F.transform(F.slice("items", F.lit(1), (F.col("page_id") % 6).cast("int")), lambda x: F.concat(F.lit('<p class="item card">'), x["text"], F.lit("</p>")))
+    rows = F.transform("items", lambda x: F.concat(F.lit('<span class="row x">'), x["text"], F.lit("</span>")))
+    html = F.concat(F.lit("<div>"), F.array_join(cards, ""), F.lit("</div><section>"), F.array_join(rows, ""), F.lit("</section>"))
+    return extract.prototypes(dom.nodes(pages.withColumn("html", html), text_of=())).select("url", "kind", "key")
+
+
+@query(r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_replace(html, 'href="/([A-Za-z])', 'href="/job/posting-\1', 'g') AS html FROM pages),
+i AS (SELECT page_id, host, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a></li>', 1)) AS href, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) AS t,
+  generate_subscripts(regexp_extract_all(html, '<li>'), 1) AS k FROM p),
+d AS (SELECT * FROM i WHERE regexp_matches(href, '^/job/[\p{L}\p{N}_-]{4,}$') QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY k) = 1)
+SELECT page_id, 2 AS priority, trim(t) AS title, host || href AS link FROM d WHERE t <> ''""")
 def first_nonempty_extractor(spark, sf_dir):
     """Postings of the pages; their links made to look like posting pages, which the table has none of."""
     pages = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", r'href="/([A-Za-z])', 'href="/job/posting-$1'))
     # every extractor reads the nodes: they are parsed once
-    return extract.postings(dom.nodes(pages).persist(StorageLevel.MEMORY_AND_DISK)).select("url", "priority", "title", "link")
+    return extract.postings(dom.stored(dom.nodes(pages))).select("page_id", "priority", "title", "link")
+
+
+_PAGERS = (
+    ('<a href="/a">x</a><a rel="next nofollow" href="/b?page=2">n</a>', "'/b?page=2'"),
+    ('<a aria-label="Weiter" aria-disabled="true" href="/no">x</a><a aria-label="Weiter" href="/yes">x</a>', "'/yes'"),
+    ('<span data-analytics-pagination="next"><a href="/w">n</a></span>', "'/w'"),
+    ('<nav aria-label="Job pagination"><a href="/1">1</a><a aria-label="Next page" href="/nav">2</a></nav>', "'/nav'"),
+    ('<input class="rc-pagination-pageinput" value="2"><div class="pagination"><a aria-label="1" href="?page=1">1</a><a aria-label="4" href="/l?page=4">4</a><a aria-label="3" href="/l?page=3">3</a></div>', "'/l?page=3'"),
+    ('<div aria-live="polite">Page 3</div><a href="/l?seite=9#x">9</a><span class="rc-pagination-total-pages">1,200</span>', None),
+    ('<div aria-live="polite">Page 7</div><a href="/l?seite=9">9</a><span class="rc-pagination-total-pages">7</span>', None),
+    ("<p>nothing</p>", None),
+)
 
 
-@query("""SELECT url, CASE WHEN contains(url, '?page=2') THEN replace(url, '?page=2', '?page=3') END AS next_url FROM pages""")
+@query(rf"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_extract(url, '^([^?#]*)', 1) AS front, contains(url, '?page=2') AS paged FROM pages)
+SELECT page_id, CASE page_id % 8 {' '.join(f"WHEN {k} THEN host || {x}" for k, (_, x) in enumerate(_PAGERS) if x)}
+  WHEN 5 THEN CASE WHEN paged THEN front || '?page=3&ref=x' ELSE front || regexp_replace('?seite=4', '', '') END
+  WHEN 6 THEN CASE WHEN paged THEN front || '?page=3&ref=x' END WHEN 7 THEN CASE WHEN paged THEN front || '?page=3&ref=x' END END AS next_url FROM p""")
 def next_page_urls(spark, sf_dir):
-    return paging.next_pages(dom.nodes(table(spark, sf_dir, "pages")))
+    """PAG-1 in all its tiers, PAG-2 and PAG-4: the pages with one of eight pagers, some below a URL with a page."""
+    made = F.element_at(F.array(*(F.lit(x) for x, _ in _PAGERS)), (F.col("page_id") % 8).cast("int") + 1)
+    bare = F.regexp_replace("url", "#.*$", "")
+    cleaned = F.when(bare.contains("?page=2"), bare).otherwise(F.regexp_extract(bare, r"^([^?]*)", 1))
+    pages = table(spark, sf_dir, "pages").withColumns({"html": made, "url": cleaned})
+    found = dom.stored(dom.nodes(pages))
+    return pages.select("page_id").join(paging.next_pages(found).select("page_id", "next_url"), "page_id", "left")
 
 
 @query(r"""SELECT url, nullif(trim(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&amp;', '&')), '') AS title FROM pages""")
 def page_titles(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return pages.select("url").join(dom.detail_titles(dom.nodes(pages)), "url", "left")
+    found = dom.detail_titles(dom.nodes(pages, tags=dom.TITLE_TAGS, text_of=dom.TITLE_TAGS))
+    return dom.keyed(pages).select(*dom.PAGE).join(found, dom.PAGE, "left").select("url", "title")
 
 
 @query("""SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type""")
@@ -372,9 +471,9 @@ def fuzzy_match(spark, sf_dir):
 
 @query(f"""WITH {_HISTORY}, j AS (SELECT link, arg_max(status, seq) AS status, min(CASE WHEN status = 'active' THEN tm END) AS fa FROM h GROUP BY link)
 SELECT link, CAST(row_number() OVER (ORDER BY fa DESC, link) AS INTEGER) AS place FROM j
-WHERE status = 'active' AND TIMESTAMP '2024-01-04 00:00:00' - fa <= INTERVAL 72 HOURS QUALIFY place <= 100""")
+WHERE status = 'active' AND TIMESTAMP '2024-01-04 00:00:00' - fa <= INTERVAL 72 HOURS""")
 def newest_feed(spark, sf_dir):
-    """FLT-4, SRT-4: every active posting of the last 72 hours, newest first; the SQL still stops at place 100."""
+    """FLT-4, SRT-4: every active posting of the last 72 hours, newest first."""
     found = history.jobs(status_history(spark, sf_dir), KEY, F.lit("2024-01-04 00:00:00").cast("timestamp"))
     fresh = found.where(F.col("active") & (F.col("age_seconds") <= 72 * 3600))
     ranked = history.ranked(fresh, [F.col("first_active").desc(), F.col("link").asc()])
@@ -414,11 +513,17 @@ def unpivot_counts(spark, sf_dir):
     return wide.unpivot(["user_id"], kinds, "kind", "n")
 
 
-@query("""SELECT o_orderkey, strftime(CASE WHEN o_orderdate + INTERVAL 60 MINUTES < TIMESTAMP '1996-01-01 00:05:00' THEN TIMESTAMP '1996-01-01 00:05:00'
-  ELSE o_orderdate + INTERVAL 60 MINUTES END, '%Y-%m-%d %H:%M:%S.%f') AS next_at, o_orderdate <= TIMESTAMP '1996-01-01' AS due FROM orders""")
+@query("""WITH d AS (SELECT o_orderkey, o_orderdate, (o_orderkey % 201 - 100) / 100.0 AS draw, epoch_us(TIMESTAMP '1996-01-01') AS now FROM orders),
+m AS (SELECT *, epoch_us(o_orderdate) + 3600000000 + CAST(round(draw * 1800) AS BIGINT) * 1000000 AS planned, now + 300000000 AS least FROM d)
+SELECT o_orderkey, strftime(make_timestamp(CASE WHEN planned < least THEN least + CASE WHEN draw = 0 THEN 0 ELSE CAST(round((draw + 1) * 15000000) AS BIGINT) END ELSE planned END), '%Y-%m-%d %H:%M:%S.%f') AS next_at,
+  strftime(make_timestamp(now + greatest(CAST(round(1200000000 + draw * 300000000) AS BIGINT), 300000000)), '%Y-%m-%d %H:%M:%S.%f') AS after_error, o_orderdate <= TIMESTAMP '1996-01-01' AS due FROM m""")
 def next_scrape(spark, sf_dir):
+    """DT-8, STM-8 with a draw for each order, and FLT-2 without a limit."""
     now, last = F.lit("1996-01-01 00:00:00").cast("timestamp"), F.col("o_orderdate").cast("timestamp")
-    return table(spark, sf_dir, "orders").select("o_orderkey", shown(health.next_scrape(last, now)).alias("next_at"), (last <= now).alias("due"))
+    draw = ((F.col("o_orderkey") % 201 - 100) / 100.0).cast("double")
+    boards = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("file"), last.alias("next_scrape_at"), shown(health.next_scrape(last, now, draw=draw)).alias("next_at"), shown(health.next_after_error(now, draw)).alias("after_error"))
+    due = health.due(boards, now, None).select("o_orderkey", F.lit(True).alias("due"))
+    return boards.join(due, "o_orderkey", "left").select("o_orderkey", "next_at", "after_error", F.coalesce("due", F.lit(False)).alias("due"))
 
 
 @query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from jobtide.operators.health import BASELINE_WINDOW, DOWN_AFTER, FLAG_SECONDS, LEAST_BASELINE, LOG_LENGTH
+from jobtide.operators.health import BASELINE_WINDOW, DOWN_AFTER, FLAG_SECONDS, LEAST_BASELINE, LOG_LENGTH, due
 from jobtide.operators.history import FLAP_SECONDS
 
 _HEALTH_OUT = "board string, at timestamp, ok boolean, n long, status string, reason string, streak long, baseline long, last_nonzero_count long"
 _HEALTH_STATE = "log array<long>, streak long, first_zero long, last_nonzero long, baseline long, was_spike boolean"
 _FLAP_OUT = "board string, link string, status string, at timestamp"
-_FLAP_STATE = "last string, pending long"
+_FLAP_STATE = "last string, pending long, given struct<status:string,at:long>, times array<long>, kinds array<string>"
 
 
 def health(attempts: DataFrame) -> DataFrame:
@@ -53,41 +53,81 @@ def health(attempts: DataFrame) -> DataFrame:
 
 
 def changes(events: DataFrame, late: str = "6 hours") -> DataFrame:
-    """events (board, link, status, at), a stream: status changes that last, flaps left out.
+    """STM-4 to STM-7: events (board, link, status, at), a stream: status changes that last, flaps left out.
 
-    An inactive event waits until the watermark is past the flap window; an active one in time cancels it. An event with
-    the status that the key has already is dropped, as is one that comes later than the watermark.
+    Events that the watermark has not passed are kept in state in the order of their times, and each batch folds them
+    anew from what is settled, so an event that comes late, but before the watermark, counts as if it had come in time. An
+    inactive event is given when the watermark is past its flap window; an active one as soon as what is before it is
+    settled. What was given stays: an active event that comes later with an earlier time does not give another one. Events
+    later than the watermark are left to late_events().
     """
     gap = FLAP_SECONDS * 1_000_000_000
 
-    def step(key, groups, state: GroupState):
-        last, pending = state.get if state.exists else (None, None)
+    def fold(status, pending, rows):
+        """Changes in order, and the settled status and undecided inactive time after them."""
         out = []
-        if state.hasTimedOut:
-            out.append((*key, "inactive", pd.Timestamp(pending)))
-            last, pending = "inactive", None
-        else:
-            for r in pd.concat(list(groups)).sort_values("at", kind="stable").itertuples():
-                at = r.at.value
-                if pending is not None and at - pending > gap:
-                    out.append((*key, "inactive", pd.Timestamp(pending)))
-                    last, pending = "inactive", None
-                if r.status == "active":
-                    if pending is None and last != "active":
-                        out.append((*key, "active", r.at))
-                    last, pending = "active", None
-                elif last == "active" and pending is None:
-                    pending = at
-        state.update((last, pending))
-        if pending is not None:
-            due = (pending + gap) // 1_000_000 + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        for at, now in rows:
+            if pending is not None and at - pending > gap:
+                out.append(("inactive", pending))
+                status, pending = "inactive", None
+            if now == "active":
+                if pending is None and status != "active":
+                    out.append(("active", at))
+                status, pending = "active", None
+            elif status == "active" and pending is None:
+                pending = at
+        return out, status, pending
+
+    def step(key, groups, state: GroupState):
+        last, pending, given, times, kinds = state.get if state.exists else (None, None, None, [], [])
+        rows = list(zip(times, kinds, strict=True))
+        if not state.hasTimedOut:
+            rows += [(r.at.value, r.status) for r in pd.concat(list(groups)).itertuples()]
+        rows.sort(key=lambda r: r[0])
+        mark = state.getCurrentWatermarkMs() * 1_000_000
+        found, _, waiting = fold(last, pending, rows)
+        if waiting is not None:
+            found.append(("inactive", waiting))
+        out, due = [], None
+        for status, at in found:
+            if status == "inactive" and mark <= at + gap:
+                due = at + gap
+                break
+            if given is None or (status != given[0] and at > given[1]):
+                out.append((*key, status, pd.Timestamp(at)))
+                given = (status, at)
+        settled = [r for r in rows if r[0] <= mark]
+        _, last, pending = fold(last, pending, settled)
+        left = rows[len(settled) :]
+        state.update((last, pending, given, [r[0] for r in left], [r[1] for r in left]))
+        if due is not None:
+            state.setTimeoutTimestamp(max(due // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["board", "link", "status", "at"])
 
     marked = events.select("board", "link", "status", "at").withWatermark("at", late).groupBy("board", "link")
     return marked.applyInPandasWithState(step, _FLAP_OUT, _FLAP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def late_events(batch: DataFrame, seen_until, time_col: str = "at") -> tuple[DataFrame, DataFrame]:
+    """STM-10: a micro-batch as (in time, late): late rows are those before seen_until, the watermark that the caller keeps."""
+    late = F.coalesce(F.col(time_col) < seen_until, F.lit(False))
+    return batch.where(~late), batch.where(late)
+
+
+def schedule(ticks: DataFrame, boards, each_due, checkpoint: str, once: bool = False, seconds: int = 1):
+    """STM-1, STM-2, STM-8: for each micro-batch of ticks (at) the boards that are due at its last one go to each_due(df, now).
+
+    boards(): the table (file, next_scrape_at and others) as it is; boards that were never scraped are due at once.
+    """
+
+    def run(batch, number):
+        now = batch.agg(F.max("at")).first()[0]  # one row
+        if now is not None:
+            each_due(due(boards(), F.lit(now), None), now)
+
+    return poll(ticks, run, checkpoint, once, seconds)
+
+
 def tumbling(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts by window and type; a slide makes the windows overlap."""
     source = events.withWatermark("ts", late) if events.isStreaming else events

@@ -75,7 +75,8 @@ def test_adapters_and_links(apply):
     assert apply(urls.details_url, "https://h/en/app/job/Zurich/T_R1?x", "https://h/details/job/x", "https://h/job") == ["https://h/en/app/details/T_R1?x", "https://h/details/job/x", "https://h/job"]
     assert apply(urls.requisition_id, "Engineer JR-12345-1 x", "none") == ["JR-12345-1", None]
     assert apply(urls.api_host, "JOBS.eu.lever.co", "jobs.lever.co") == ["api.eu.lever.co", "api.lever.co"]
-    assert apply(urls.microsoft_slug, " Staff Eng. (C++) é") == ["Staff-Eng%2E-%28C%2B%2B%29-%C3%A9"]
+    assert apply(urls.microsoft_slug, " Staff Eng. (C++) é") == ["Staff-Eng.-%28C%2B%2B%29-%C3%A9"]
+    assert apply(urls.microsoft_slug, "\t A~b_c *\n", None) == ["A~b_c-%2A", ""]
     assert apply(urls.is_http, "mailto:a", None, "/x", "http://a", "ftp://a") == [False, False, True, True, False]
     assert apply(lambda a, b: urls.job_item_id(a, F.split(b, ",")), ("Job item 1854316", ""), ("", "123456789,1234567,x654321")) == ["1854316", "654321"]
 

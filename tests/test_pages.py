@@ -74,6 +74,53 @@ def test_next_pages(spark):
     assert got == {"/rel": "/b?page=2", "/label": "/yes", "/nav": "/nav?page=2", "/l?page=4": "/l?page=5", "/l?page=5": None, "/l?start=0": "/l?start=20", "/l?start=40": None, "/l": "/l?seite=2", "/end": None}
 
 
+def test_rows_that_share_a_url_stay_apart(spark):
+    pages = spark.createDataFrame([(1, "http://h/", "<a href='/job/lead-one'>Lead</a>"), (2, "http://h/", "<a href='/job/lead-two'>Other</a><p><a rel=next href='/n'>n</a>"), (3, "http://h/", "")], "page_id long, url string, html string")
+    nodes = dom.nodes(pages)
+    assert sorted((r["page_id"], r["link"]) for r in extract.postings(nodes).collect()) == [(1, "http://h/job/lead-one"), (2, "http://h/job/lead-two")]
+    assert sorted((r["page_id"], r["next_url"]) for r in paging.next_pages(nodes).collect()) == [(1, None), (2, "http://h/n")]
+    assert sorted((r["page_id"], r["needs_script"]) for r in dom.shells(pages).collect()) == [(1, False), (2, False), (3, True)]
+
+
+def test_key_of_an_anchor_is_set_before_the_fragment(spark):
+    pages = spark.createDataFrame([("http://h/l?seite=1#x", "<div aria-live='polite'>Page 1</div><a href='/l?seite=9'>9</a>")], "url string, html string")
+    assert paging.next_pages(dom.nodes(pages)).first()["next_url"] == "http://h/l?seite=2#x"
+
+
+def test_without_badges(spark):
+    html = "<div>a<p>b<span class='x tag-container'>New<b>!</b></span></p>c</div><i>d</i>"
+    found = dom.without(dom.nodes(spark.createDataFrame([("u", html)], "url string, html string")), "tag-container")
+    assert sorted((r["tag"], sorted(r["text"].split())) for r in found.collect()) == [("div", ["a", "b", "c"]), ("i", ["d"]), ("p", ["b"])]
+
+
+def test_fetch_json(spark):
+    def client():
+        def get(url, plain, headers, body):
+            if "bad" in url:
+                return "{no"
+            if "gone" in url:
+                raise fetch.Refused(404)
+            return json.dumps({"url": url, "accept": headers["Accept"], "x": headers.get("X"), "body": body})
+
+        return get
+
+    rows = [("http://a/?k=1#f", {"q": "a b"}, {"X": "y"}, None), ("http://b", None, None, '{"z": 1}'), ("http://bad", None, None, None), ("http://gone", None, None, None)]
+    asked = spark.createDataFrame(rows, "url string, params map<string,string>, headers map<string,string>, body string")
+    got = {r["url"]: r for r in fetch.fetched_json(asked, client).selectExpr("url", "to_json(json) AS json", "status", "fetch_error").collect()}
+    assert json.loads(got["http://a/?k=1#f"]["json"]) == {"url": "http://a/?k=1&q=a+b#f", "accept": "application/json", "x": "y", "body": None} or "body" not in json.loads(got["http://a/?k=1#f"]["json"])
+    assert json.loads(got["http://b"]["json"])["body"] == '{"z": 1}' and got["http://bad"]["fetch_error"] == "ValueError" and got["http://gone"]["status"] == 404
+
+
+def test_cached_table(spark):
+    now, reads = [0.0], []
+    held = boards.Cached(lambda: reads.append(1) or spark.range(len(reads)), 30, lambda: now[0])
+    assert held.get().count() == 1
+    now[0] = 29.0
+    assert held.get().count() == 1
+    now[0] = 30.0
+    assert held.get().count() == 2
+
+
 def test_crawl(spark):
     links = spark.createDataFrame([("http://h/1", "http://h/2"), ("http://h/2", "http://h/1?page=1"), ("http://h/x", "http://other/")], "url string, next_url string")
     starts = spark.createDataFrame([("http://h/1",), ("http://h/x",)], "url string")
@@ -140,6 +187,32 @@ def test_streaming_flaps(spark, tmp_path):
     assert [(r["status"], (r["at"] - T0).total_seconds() / 3600) for r in got] == [("active", 0), ("inactive", 30), ("active", 50)]
 
 
+def test_streaming_takes_late_events_in_order(spark, tmp_path):
+    """A late active event before the pending inactive one does not cancel it; a late inactive one inside a flap is none."""
+    hours = [("active", 0), ("inactive", 10), ("active", 8), ("inactive", 40), ("active", 60), ("active", 70), ("inactive", 67), ("active", 200)]
+    rows = [("b", "l", s, T0 + timedelta(hours=h)) for s, h in hours]
+    df = spark.createDataFrame(rows, "board string, link string, status string, at timestamp")
+    for k in range(len(rows)):  # a micro-batch each
+        df.where(F.col("at") == F.lit(rows[k][3])).coalesce(1).write.mode("append").parquet(f"{tmp_path}/late")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/late")
+    got = []
+    live.poll(live.changes(stream, "30 hours"), lambda batch, _: got.extend(batch.collect()), f"{tmp_path}/late-state", once=True).awaitTermination(180)
+    assert [(r["status"], (r["at"] - T0).total_seconds() / 3600) for r in got] == [("active", 0), ("inactive", 10), ("active", 60)]
+
+
+def test_schedule(spark, tmp_path):
+    table = spark.createDataFrame([("a", None), ("b", T0), ("c", T0 + timedelta(days=9))], "file string, next_scrape_at timestamp")
+    ticks = spark.createDataFrame([(T0 + timedelta(hours=1),)], "at timestamp")
+    ticks.write.parquet(f"{tmp_path}/ticks")
+    seen = []
+    query = live.schedule(spark.readStream.schema(ticks.schema).parquet(f"{tmp_path}/ticks"), lambda: table, lambda due, now: seen.append(([r["file"] for r in due.collect()], now)), f"{tmp_path}/ticks-state", once=True)
+    query.awaitTermination(120)
+    assert [x for x, _ in seen] == [["a", "b"]]
+    batch = spark.createDataFrame([(T0,), (T0 + timedelta(hours=2),)], "at timestamp")
+    in_time, late = live.late_events(batch, F.lit(T0 + timedelta(hours=1)))
+    assert (in_time.count(), late.count()) == (1, 1)
+
+
 def test_streaming_windows(spark, tmp_path):
     df = spark.createDataFrame([(T0 + timedelta(minutes=m), "view", 1.0, 1) for m in (0, 20, 61, 500)], "ts timestamp, event_type string, value double, user_id long")
     got = streamed(spark, tmp_path, df, lambda s: live.tumbling(s), "windows")
