@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtide.llm import byte_bpe, decontaminate, hnsw, language, lm, minhash, secrets, shards, token_counts, url_lists
+from jobtide.llm import byte_bpe, decontaminate, hnsw, language, lm, minhash, oracles, secrets, shards, token_counts, url_lists
 from jobtide.llm.batches import Scratch
 
 #: Production parameters.
@@ -82,7 +82,10 @@ QUERIES = {
     for f in (op1_token_counts, op2_lm_scores, op3_decontaminate, op4_byte_bpe, op5_hnsw, op6_minhash, op7_shards, op8_secrets, op9_language, op10_url_lists)
 }
 
-ORACLES = {
+QUERIES |= oracles.projections(QUERIES)
+
+ORACLES = oracles.ORACLES | {
+    "op1_token_counts": oracles.token_counts(public_tokenizers.path(TOKEN_VOCABULARY)),
     "op10_url_lists": url_lists.ORACLE,
     "op3_decontaminate": r"""
 WITH d AS (
