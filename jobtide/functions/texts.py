@@ -9,13 +9,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values. Calls to action that are no titles, in the places where titles are sought.
+# Fixed values. Calls to action that are no titles, in labels.
 LABEL_CALLS = ("learn more", "help", "sign in", "bookmark", "share", "apply", "view job", "apply now", "connect")
+# Fixed values. The same in texts of anchors.
 ANCHOR_CALLS = ("learn more", "help", "sign in", "bookmark", "share", "apply")
+# Fixed values. The same in headings.
 HEADING_CALLS = ("view job", "learn more", "read more", "apply now", "connect")
+# Fixed value. What stands before the title in a label.
 LABEL_PREFIX = r"(?i)^(?:learn more about|view details for)\s+(.+)"
+# Fixed values. Names of classes that say only layout.
 GENERIC_CLASSES = ("row", "rows", "col", "cols", "container", "grid", "section", "wrapper", "content")
+# Fixed values. Titles of list pages, which no posting has.
 BOILERPLATE_TITLES = ("find your role", "job openings at meta | meta careers")
+# Fixed value. The text that tells which of all results a page shows.
 RESULTS_WINDOW = r"(?i)(\d+)\s*[‐‑‒–\-]\s*(\d+)\s*of\s*(\d+)"
 
 
@@ -53,35 +59,64 @@ def split_locations(x) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
+def _edits(a: str, b: str, most: int) -> int:
+    """The fewest insertions, deletions, replacements and swaps of neighbours from a to b, or more than `most`.
+
+    Equal beginnings cost nothing and are skipped; where the texts part, each kind of edit is tried with one edit less
+    to spend, so the search is as deep as `most`, however long the texts are.
+    """
+    k = 0
+    while k < len(a) and k < len(b) and a[k] == b[k]:
+        k += 1
+    a, b = a[k:], b[k:]
+    if not a or not b:
+        return len(a) + len(b)
+    if most == 0:
+        return 1
+    rests = [(a[1:], b[1:]), (a[1:], b), (a, b[1:])]
+    if a[1:2] == b[0] and b[1:2] == a[0]:
+        rests.append((a[2:], b[2:]))
+    return 1 + min(_edits(x, y, most - 1) for x, y in rests)
+
+
+def _compatible_edits(a: str, b: str, most: int) -> int:
+    """What a table of edits gives whose first row is all 0: the start of the longer text is free (quirk Q8).
+
+    Cells further than `most` from the diagonal count as most + 1.
+    """
+    a, b = sorted((a, b), key=len)
+    table = {(0, j): 0 for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        table[i, 0] = i
+        for j in range(1, len(b) + 1):
+            if abs(i - j) > most:
+                table[i, j] = most + 1
+                continue
+            ways = [table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (a[i - 1] != b[j - 1])]
+            if i > 1 and j > 1 and a[i - 2 : i] == b[j - 1] + b[j - 2]:
+                ways.append(table[i - 2, j - 2] + 1)
+            table[i, j] = min(ways)
+    return table[len(a), len(b)]
+
+
 def osa_distance(a: str, b: str, most: int, compat: bool = False) -> int:
-    """Edit distance with adjacent swaps, most + 1 if it is greater. compat: the start of the longer text is free."""
+    """Edit distance with swaps of neighbours, most + 1 if it is greater. compat: the start of the longer text is free."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    if len(a) > len(b):
-        a, b = b, a
-    older, old = None, [0] * (len(b) + 1) if compat else list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            n = min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y))
-            if compat and not i - most <= j <= i + most:
-                n = most + 1
-            elif i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                n = min(n, (older[j - 2] if older else j - 2) + 1)
-            row.append(n)
-        older, old = old, row
-    return min(old[-1], most + 1)
+    return min((_compatible_edits if compat else _edits)(a, b, most), most + 1)
 
 
 def within_distance(a, b, most: int = 2, compat: bool = False) -> Column:
-    """STR-5 as a predicate; lengths are compared in the JVM before Python sees a pair."""
+    """STR-5 as a predicate; Python sees only pairs that lengths and the JVM's own distance do not rule out."""
 
     @F.pandas_udf(T.BooleanType())
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([p is not None and q is not None and osa_distance(p, q, most, compat) <= most for p, q in zip(x, y, strict=True)])
 
-    short = F.abs(F.length(a) - F.length(b)) <= most
-    return F.when(short, close(F.when(short, a), F.when(short, b))).otherwise(False)
+    near = F.abs(F.length(a) - F.length(b)) <= most
+    if not compat:
+        near = near & (F.levenshtein(a, b, 2 * most) >= 0)  # a swap is two of its edits
+    return F.when(near, close(F.when(near, a), F.when(near, b))).otherwise(False)
 
 
 def collapsed(x) -> Column:
@@ -180,3 +215,51 @@ def svg_view_box(text) -> Column:
     w, h = (F.regexp_extract(text, rf"""(?i)<svg\b[^>]*\b{k}\s*=\s*["']\s*([0-9.]+)(?:px)?\s*["']""", 1).try_cast("double") for k in ("width", "height"))
     sized = F.when(w.isNotNull() & h.isNotNull(), F.array(F.lit(0.0), F.lit(0.0), w, h))
     return F.when((F.size(box) == 4) & ~F.exists(box, lambda x: x.isNull()), box).otherwise(sized)
+
+
+def svg_pixels(text, name: str) -> Column:
+    """STR-20: an attribute's number, plain or in px; null for other units."""
+    return F.regexp_extract(text, rf"""(?i)\b{name}\s*=\s*"\s*(\d+(?:\.\d+)?)(?:px)?\s*\"""", 1).try_cast("double")
+
+
+def _number(x) -> Column:
+    """Up to six decimals, none that are zero."""
+    return F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")
+
+
+def svg_with_view_box(text) -> Column:
+    """STR-20: text with a viewBox, made of its width and height if it has none; as it is if it lacks them."""
+    w, h = svg_pixels(text, "width"), svg_pixels(text, "height")
+    has = text.rlike(r"""(?i)viewBox\s*=\s*["']""")
+    made = F.concat(F.lit('<svg viewBox="0 0 '), _number(w), F.lit(" "), _number(h), F.lit('"'))
+    first = F.regexp_extract(text, r"(?is)^(.*?)<svg\b", 1)
+    rest = F.regexp_extract(text, r"(?is)^.*?<svg\b(.*)$", 1)
+    return F.when(~has & (w > 0) & (h > 0) & text.rlike(r"(?i)<svg\b"), F.concat(first, made, rest)).otherwise(text)
+
+
+def svg_expanded(text, percent: float) -> Column:
+    """STR-20: the viewBox grown on each side by a share of its longer side."""
+    whole = svg_with_view_box(text)
+    box = svg_view_box(whole)
+    pad = F.greatest(box[2], box[3]) * (percent / 100)
+    numbers = (box[0] - pad, box[1] - pad, box[2] + 2 * pad, box[3] + 2 * pad)
+    made = F.concat(F.lit('viewBox="'), F.concat_ws(" ", *map(_number, numbers)), F.lit('"'))
+    at = r"""(?i)viewBox\s*=\s*(?:"[^"]+"|'[^']+')"""
+    return F.when(box.isNotNull() & (F.lit(percent) > 0), F.regexp_replace(whole, F.lit(at), made)).otherwise(whole)
+
+
+def svg_outlined(text, units: float, name: str = "outline") -> Column:
+    """STR-20: the drawing in a group with a white outline of so many units."""
+    steps = (
+        f'<feMorphology in="SourceAlpha" operator="dilate" radius="{units:g}" result="wide"/><feFlood flood-color="white"/>'
+        '<feComposite in2="wide" operator="in" result="edge"/><feMerge><feMergeNode in="edge"/><feMergeNode in="SourceGraphic"/></feMerge>'
+    )
+    head = f'$1<defs><filter id="{name}" x="-20%" y="-20%" width="140%" height="140%">{steps}</filter></defs><g filter="url(#{name})">'
+    opened = F.regexp_replace(text, r"(?is)^(.*?<svg\b[^>]*>)", head)
+    return F.when(text.rlike(r"(?is)<svg\b[^>]*>.*</svg>"), F.regexp_replace(opened, r"(?is)</svg>", "</g></svg>")).otherwise(text)
+
+
+def ensure_utc(x) -> Column:
+    """DT-2: an ISO time as text; without a zone it is in UTC. Null if it is no time."""
+    zoned = x.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})\s*$")
+    return F.try_to_timestamp(F.when(zoned, x).otherwise(F.concat(x, F.lit("Z"))))

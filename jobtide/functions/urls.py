@@ -6,6 +6,7 @@ browser accepts. Only RFC 3986 resolution of odd relative references needs Pytho
 
 from __future__ import annotations
 
+import html
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -294,11 +295,18 @@ def join_link(ref, base) -> Column:
     return posting_link(ref, base, ADAPTERS[5][1], JOIN_PATH)
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: None if s is None else html.unescape(s))
+
+
 def unescaped(x) -> Column:
-    """STR-18 for the entities that occur in links."""
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(plain))
-    return x
+    """STR-18; the entities that occur in links stay in the JVM."""
+    plain = x
+    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(character))
+    other = x.rlike(r"&(?!(?:lt|gt|quot|#39|#x27|amp);)[#A-Za-z]\w*;")
+    return F.when(other, _unescaped(F.when(other, x))).otherwise(plain)
 
 
 def _extracted(x, pattern: str) -> Column:

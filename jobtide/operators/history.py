@@ -89,11 +89,20 @@ def step_counts(spans: DataFrame, board: str, minutes: int = 30, until=None) ->
     return counted.select(board, at.alias("time"), F.col("n").cast("long").alias("active"))
 
 
-def active_at(spans: DataFrame, moments: DataFrame, key: list[str]) -> DataFrame:
-    """JOIN-8: (moment, key) with some span start <= moment < end. moments: one column, few rows (they are broadcast)."""
+def active_at(spans: DataFrame, moments: DataFrame, key: list[str], few: int = 10_000) -> DataFrame:
+    """JOIN-8: (moment, key) with some span start <= moment < end. moments: one column.
+
+    Few moments (counted first) are broadcast; more meet the spans by day, a span in each of its days that has any.
+    """
     at = moments.columns[0]
     within = (F.col("start") <= F.col(at)) & (F.col(at) < F.col("end"))
-    return spans.join(F.broadcast(moments), within).select(at, *key).distinct()
+    if moments.limit(few + 1).count() <= few:
+        return spans.join(F.broadcast(moments), within).select(at, *key).distinct()
+    dated = moments.withColumn("_day", F.to_date(at))
+    days = F.sequence(F.to_date("start"), F.to_date("end"))
+    spread = spans.where(F.col("end") > F.col("start")).withColumn("_day", F.explode(days))
+    spread = spread.join(dated.select("_day").distinct(), "_day", "left_semi")
+    return spread.join(dated, "_day").where(within).select(at, *key).distinct()
 
 
 def jobs(history: DataFrame, key: list[str], as_of) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobtide.functions import texts, urls
-from jobtide.operators import dom, extract, health, history, merge, paging
+from jobtide.operators import dom, extract, health, history, merge, paging, places
 from jobtide.streaming import live
 
 AS_OF = "2024-01-31 00:00:00"
@@ -462,10 +462,7 @@ _TERMS = ("blue", "green", "steel", "large")
 WHERE contains(lower(x), t) OR contains(t, lower(x)) OR damerau_levenshtein(lower(x), t) <= 2""")
 def fuzzy_match(spark, sf_dir):
     words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("w")).select("p_partkey", texts.norm(F.col("w")).alias("w"))
-    distinct = words.select("w").distinct()  # words, not rows, are compared
-    pairs = distinct.select("w", F.explode(F.array(*map(F.lit, _TERMS))).alias("term"))
-    same = F.col("w").contains(F.col("term")) | F.col("term").contains(F.col("w"))
-    close = pairs.where((F.col("w") != "") & (same | texts.within_distance(F.col("w"), F.col("term"))))
+    close = places.matching(words, "w", list(_TERMS)).withColumnRenamed("place", "w")
     return words.join(close, "w").select("p_partkey", "term").distinct()
 
 

@@ -99,12 +99,43 @@ def test_texts(apply):
     assert apply(texts.svg_view_box, '<svg viewBox="0 0 10,5">', '<svg width="4px" height="3">', "<svg>") == [[0, 0, 10, 5], [0, 0, 4, 3], None]
 
 
+def test_svg(apply):
+    sized = '<?xml?><svg width="40px" height="20"><g/></svg>'
+    assert apply(texts.svg_with_view_box, sized, '<svg viewBox="1 2 3 4"/>', '<svg width="2em" height="3"/>') == [
+        '<?xml?><svg viewBox="0 0 40 20" width="40px" height="20"><g/></svg>', '<svg viewBox="1 2 3 4"/>', '<svg width="2em" height="3"/>'
+    ]
+    assert apply(lambda x: texts.svg_expanded(x, 5), sized, "<svg/>") == ['<?xml?><svg viewBox="-2 -2 44 24" width="40px" height="20"><g/></svg>', "<svg/>"]
+    out = apply(lambda x: texts.svg_outlined(x, 1.5), sized, "none")
+    assert out[0].count("<g filter=") == 1 and out[0].endswith("<g/></g></svg>") and 'radius="1.5"' in out[0] and out[1] == "none"
+    assert apply(urls.unescaped, "a&amp;b&lt;", "&eacute;&nbsp;&amp;lt;", "&x", None) == ["a&b<", "é\xa0&lt;", "&x", None]
+    assert apply(lambda x: F.date_format(texts.ensure_utc(x), "HH:mm"), "2024-01-01T10:00:00", "2024-01-01T10:00:00+02:00", "2024-01-01 10:00:00Z", "x", None) == ["10:00", "08:00", "10:00", None, None]
+
+
 def test_distance():
     assert texts.osa_distance("abcd", "xyzbcd", 3) == 3 and texts.osa_distance("abcd", "xyzbcd", 2, compat=True) == 1
     assert texts.osa_distance("ab", "ba", 2) == 1 and texts.osa_distance("geneva", "geneve", 2) == 1
     assert texts.osa_distance("abc", "xyz", 2) == 3
 
 
+def test_distance_is_the_recurrence():
+    import random
+    from functools import cache
+
+    pick = random.Random(3)
+    for _ in range(4000):
+        a, b = ("".join(pick.choices("abc", k=pick.randint(0, 7))) for _ in range(2))
+
+        @cache
+        def d(i, j, a=a, b=b):
+            if not i or not j:
+                return i + j
+            n = min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
+            return min(n, d(i - 2, j - 2) + 1) if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] else n
+
+        for most in (0, 1, 2, 3):
+            assert texts.osa_distance(a, b, most) == min(d(len(a), len(b)), most + 1)
+
+
 def test_ages(spark):
     rows = spark.createDataFrame([(True, 3600.0), (True, 49 * 3600.0), (True, 8 * 86400.0), (False, 1.0)], "a boolean, s double")
     out = rows.select(texts.age_text(F.col("s")), texts.age_class(F.col("a"), F.col("s"))).collect()
