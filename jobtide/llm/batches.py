@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -130,18 +131,37 @@ class Words:
         return mixed(np.add.reduceat(letters, firsts))
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What make() gives, kept in the worker for its next tasks; a worker keeps one such thing at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: the worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def add_columns(
     df: DataFrame,
     text_col: str,
     added: str | T.StructType,
-    factory: Callable[[], Callable[[Texts], list]],
+    factory: Callable[[Callable], Callable[[Texts], list]],
     keep: list[str] | None = None,
     also: list[str] | None = None,
 ) -> DataFrame:
     """The columns `keep` of df (all, if None) and those that a processor makes of each batch of texts.
 
-    An input column named as an added one is replaced. `factory()` runs once per task; the processor gets a
-    batch's texts (and the Arrow columns `also`, if named) and returns one array for each added column.
+    An input column named as an added one is replaced. `factory(held)` runs once per task, where held(key, make) keeps
+    things for the worker's next tasks; the processor gets a batch's texts (and the Arrow columns `also`, if named) and
+    returns one array for each added column.
     """
     fields = T._parse_datatype_string(added) if isinstance(added, str) else added
     taken = {f.name.lower() for f in fields}
@@ -155,14 +175,17 @@ def add_columns(
     out = T.StructType([*(df.schema[c] for c in kept), *fields])
 
     def run(batches):
-        process = factory()
+        before = dict(_HELD)
+        _HELD.clear()
+        process = factory(lambda key, make: held(key, lambda: before.get(key) or make()))
+        before.clear()  # what another operator has kept goes
         for batch in batches:
             for lo, hi, texts in Texts.of(batch.column(position[text_col])).chunks(BATCH_BYTES):
                 columns = batch.slice(lo, hi - lo).columns
                 made = process(texts, *(columns[position[c]] for c in also or []))
                 made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns[: len(kept)], *made], [*kept, *(f.name for f in fields)])
-        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
+        trim()
 
     return source.mapInArrow(run, out)
 

@@ -33,7 +33,7 @@ from jobtide.llm.batches import Texts, add_columns
 
 _NONE = 1 << 60
 #: Matches that a worker remembers; then it starts anew. Long ones are forgotten at once.
-CACHED, CACHED_BYTES = 400_000, 64
+CACHED, CACHED_BYTES = 250_000, 64
 #: The public pattern, which is cut without a regular expression.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LETTER, _DIGIT, _OTHER, _SPACE = range(4)
@@ -340,16 +340,9 @@ class Spelling:
         return self.data[at], np.concatenate([[0], ends])[bounds]
 
 
-_BUILT: dict = {}
-
-
-def _coder(shared, path: str, pattern: str) -> ByteBPE:
+def _coder(held, shared, path: str, pattern: str) -> ByteBPE:
     """One for each worker process, as building it and filling its memory take time."""
-    key = (path, pattern)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = ByteBPE(shared.value, pattern)
-    return _BUILT[key]
+    return held((path, pattern), lambda: ByteBPE(shared.value, pattern))
 
 
 def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
@@ -367,8 +360,8 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep:
     """df with `ids`, the token ids of each whole text. keep: the columns of df to carry (all, if None)."""
     shared = ranks_of(df.sparkSession, path)
 
-    def factory():
-        coder = _coder(shared, path, pattern)
+    def factory(held):
+        coder = _coder(held, shared, path, pattern)
         return lambda texts: [_lists([coder.encoded(part) for _, _, part in texts.chunks()])]
 
     return add_columns(df, text_col, "ids array<int>", factory, keep)
@@ -380,8 +373,8 @@ def round_trip(
     """df with `ids` and, decoded from them in the same pass, `decoded` bytes."""
     shared = ranks_of(df.sparkSession, path)
 
-    def factory():
-        coder = _coder(shared, path, pattern)
+    def factory(held):
+        coder = _coder(held, shared, path, pattern)
 
         def process(texts: Texts) -> list:
             made, decoded = [], []
@@ -400,8 +393,8 @@ def digests(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep
     """df with n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 (of the bytes decoded from them)."""
     shared = ranks_of(df.sparkSession, path)
 
-    def factory():
-        coder = _coder(shared, path, pattern)
+    def factory(held):
+        coder = _coder(held, shared, path, pattern)
 
         def process(texts: Texts) -> list:
             counts, of_ids, of_bytes = [], [], []
@@ -427,8 +420,8 @@ def verified(df: DataFrame, path: str, pattern: str, text_col: str = "text", kee
     """df with n_tokens, `ids`, and `decodes`: whether the bytes decoded from the ids are the text's."""
     shared = ranks_of(df.sparkSession, path)
 
-    def factory():
-        coder = _coder(shared, path, pattern)
+    def factory(held):
+        coder = _coder(held, shared, path, pattern)
 
         def process(texts: Texts) -> list:
             made, same = [], []
@@ -451,7 +444,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     none = next(x for k in range(len(fixed) + 1) if (x := f"__none{k}") not in fixed)
     kept = [c for c in df.columns if c.lower() != "decoded"]
 
-    def factory():
+    def factory(_):
         pieces = {i: t for t, i in shared.value.items()}
         return lambda _, ids: [[b"".join(map(pieces.__getitem__, x or ())) for x in ids.to_pylist()]]
 

@@ -160,17 +160,6 @@ class Searcher:
         return np.diff(words.first), spans, [x - {None} for x in items]
 
 
-_BUILT: dict = {}
-
-
-def _searcher(shared, token: str) -> Searcher:
-    """One for each worker process and block of items."""
-    if token not in _BUILT:
-        _BUILT.clear()
-        _BUILT[token] = Searcher(shared.value)
-    return _BUILT[token]
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
@@ -186,8 +175,8 @@ def _pass(df: DataFrame, text_col: str, items: list[tuple[str | None, bytes]], k
 
     token = uuid.uuid4().hex
 
-    def factory():
-        searcher = _searcher(shared, token)
+    def factory(held):
+        searcher = held(token, lambda: Searcher(shared.value))
 
         def process(texts: Texts, before=None, named=None) -> list:
             counts, spans, items = [], [], []

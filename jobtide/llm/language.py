@@ -33,7 +33,7 @@ SWITCH = 12.0
 #: Texts with a lower score are rejected: less than this share of the text is in the language.
 LEAST_SCORE = 0.3
 #: Bytes worked on at once, divided by the number of languages.
-_WORK_BYTES = 16 << 20
+_WORK_BYTES = 8 << 20
 
 #: First code points of the ranges of scripts (fixed values of the Unicode standard's blocks); 0: no letters.
 SCRIPT_RANGES = (
@@ -230,7 +230,7 @@ def identify(
     """df with lang_pred and score of each whole text, and lang_spans (code points) if asked for."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def factory():
+    def factory(_):
         def process(texts: Texts) -> list:
             predicted, scores, marked = judge(shared.value, texts, spans)
             return [predicted, scores, *([marked] if spans else [])]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm.batches import Scratch, Texts, partitions, quoted
+from jobtide.llm.batches import Scratch, Texts, partitions, quoted, trim
 
 END = b""  # no token is empty
 SHORT, CLASSES, TAILS, HIDDEN = 4096, 48, 48, 16
@@ -396,6 +396,8 @@ def _count(batches):
                 yield passed()
                 held.clear()
     yield passed()
+    held.clear()
+    trim()
 
 
 class Coding:
@@ -471,6 +473,7 @@ def _encoder(shared):
                     ],
                     ["train", "h", "row", "n", "known", "base", "tail", "codes", "rare"],
                 )
+        trim()
 
     return run
 
@@ -600,6 +603,7 @@ def _trained(spark: SparkSession, coded: DataFrame, start: tuple, passes: int, m
         if trainer:
             flush()
             yield finished(current, trainer, total)
+        trim()
 
     return coded.select("g", "codes").mapInArrow(run, _WEIGHTS)
 
@@ -673,6 +677,7 @@ def score_coded(coded: DataFrame, model: Model, counts: DataFrame, scratch: Scra
             scores = [scores_of(network, codes, bounds) for _, _, codes, bounds in _coded(batch.column(0), 1 << 22)]
             scores = np.concatenate(scores) / _LOG10 if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], "net"])
+        trim()
 
     rows = coded.select("codes", "id", "row", "n", "known", "base", "tail")
     kind = rows.schema["row"].dataType.simpleString()

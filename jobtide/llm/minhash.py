@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.batches import Scratch, Texts, Words, add_columns, mixed, quoted
+from jobtide.llm.batches import Scratch, Texts, Words, add_columns, mixed, quoted, trim
 from jobtide.llm.components import components
 
 SHINGLE = 5
@@ -230,6 +230,7 @@ def inverse_frequencies(df: DataFrame, text_col: str) -> Idf:
                     yield passed()
                     held, n = held[:0], n[:0]
         yield passed()
+        trim()
 
     counted = df.select(quoted(text_col)).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") > LEAST_SHARE * texts_n).toPandas()  # mean shingles of a text / LEAST_SHARE at most
@@ -258,6 +259,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> D
                     s, s2 = slice(first[j], first[j + 1]), slice(first2[i], first2[i + 1])
                     good[lo + i] = similarity((f[s], w[s]), (f2[s2], w2[s2])) >= threshold
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+        trim()
 
     return both.select("a", "b", "left", "right").mapInArrow(judge, "a long, b long")
 
@@ -328,6 +330,7 @@ def _across(members: DataFrame, shared, threshold: float) -> DataFrame:
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             rest = table.slice(end)
+        trim()
 
     dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return dealt.mapInArrow(compare, "a long, b long")
@@ -353,7 +356,7 @@ def classes(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str
 
     shared = spark.sparkContext.broadcast(inverse_frequencies(docs, "text"))
 
-    def factory():
+    def factory(_):
         sampler = Sampler()
 
         def process(texts: Texts) -> list:

@@ -100,23 +100,13 @@ class Automaton:
         return n
 
 
-_BUILT: dict = {}
-
-
-def _automaton(shared, path: str) -> tuple[Automaton, dict[bytes, int]]:
-    """One for each worker process, with the word counts that it remembers."""
-    if path not in _BUILT:
-        _BUILT.clear()
-        _BUILT[path] = Automaton(shared.value), {}
-    return _BUILT[path]
-
-
 def count_tokens(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df with n_words (runs of other than white space, A-Z lower-cased) and n_tokens, their greedy pieces."""
     shared = df.sparkSession.sparkContext.broadcast(read_pieces(path))
 
-    def factory():
-        automaton, known = _automaton(shared, path)
+    def factory(held):
+        # one for each worker process, with the word counts that it remembers
+        automaton, known = held(path, lambda: (Automaton(shared.value), {}))
 
         def process(texts: Texts) -> list:
             words = np.zeros(len(texts), np.int64)
