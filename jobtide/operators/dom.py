@@ -9,7 +9,6 @@ page_id and URL together, so rows that share a URL stay apart.
 from __future__ import annotations
 
 import json
-import tempfile
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobtide.functions import texts
+from jobtide.operators.stored import stored
 
 PAGE = ["page_id", "url"]
 SCHEMA = "page_id long, url string, node_id int, parent_id int, last_desc int, tag string, attrs map<string,string>, own_text string, text string"
@@ -110,21 +110,6 @@ def nodes(pages: DataFrame, tags: tuple[str, ...] | None = None, text_of: tuple[
     return pages.select(F.coalesce(page_id, F.lit(-1).cast("long")).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), "html").mapInArrow(run, SCHEMA)
 
 
-def stored(found: DataFrame) -> DataFrame:
-    """found, computed once: what reads it several times does not parse again.
-
-    It is written to the folder in spark.checkpoint.dir, which driver and executors share; where that is unset, to one
-    of its own, if all runs on one machine.
-    """
-    context = found.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="jobtide-"))
-    return found.checkpoint()
-
-
 def once(found: DataFrame, is_container, heads) -> tuple[DataFrame, DataFrame]:
     """Containers and headings of nodes, from one reading of them."""
     read = stored(found)

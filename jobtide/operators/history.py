@@ -6,10 +6,11 @@ so one posting's events are all that a task needs together, and counts over time
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobtide.operators.stored import stored
+
 FLAP_SECONDS = 6 * 3600
 NEW_HOURS = 24
 NEW_BEFORE_HOURS = 48
@@ -150,7 +151,7 @@ def ranked(df: DataFrame, order: list, column: str = "place") -> DataFrame:
     """SRT-4: df with each row's place in a total order from 1 on; rows are dealt by ranges of it, so no task sees all."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"))
     # one dealing serves the places and the counts
-    dealt = dealt.withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = stored(dealt.withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row a range
     placed = dealt.join(F.broadcast(counts), "_part")

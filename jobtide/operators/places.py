@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions import texts
+from jobtide.operators.stored import stored
 
 
 def matching(places: DataFrame, place: str, terms: list[str], most: int = 2) -> DataFrame:
@@ -26,8 +27,7 @@ def at_places(df: DataFrame, locations: str, terms: list[str], most: int = 2) ->
     """FLT-9: the rows of df of whose locations (an array) any matches any term; without terms all rows."""
     if not any(t and t.strip(" -_/.,;") for t in terms):
         return df
-    each = df.select(F.explode(locations).alias("place"))
-    good = matching(each, "place", terms, most).select("place").distinct()
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()))  # both readings must see the same numbers
+    good = matching(rows.select(F.explode(locations).alias("place")), "place", terms, most).select("place").distinct()
     kept = rows.select("_row", F.explode(locations).alias("place")).join(good, "place").select("_row").distinct()
     return rows.join(kept, "_row", "left_semi").drop("_row")

@@ -6,13 +6,17 @@ result from the links' numbers alone and shares no pattern with the operators.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions import texts, urls
 from jobtide.operators import adapters, dom, extract, health, history, merge, paging
-from jobtide.plans.catalogue import _HISTORY, _SHOW, KEY, _items, attempts, observations, query, shown, status_history, table
+from jobtide.operators.stored import folder
+from jobtide.plans.catalogue import _HEALTH, _HISTORY, _SHOW, KEY, _items, attempts, observations, query, shown, status_history, table
 from jobtide.sources import boards
+from jobtide.streaming import live
 
 # number of links of each page, and their numbers; id repeats every fourth
 _LINKS = r"""n AS (SELECT page_id, url, len(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS n FROM pages),
@@ -299,6 +303,55 @@ def board_contents(spark, sf_dir):
     return found.select(F.col("board").cast("long"), F.col("link").cast("long"), "active", "events", "place", "board_title")
 
 
+def _streamed(spark, sf_dir, build) -> DataFrame:
+    """What a stream of the events gives until all of them are read, by way of a written table."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    root = f"{folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    # a file, as the tables are, is found by a pattern of its name
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").parquet(path.replace("events.parquet", "events.parquet*"))
+    made = build(source)
+    writer = made.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    writer.start(f"{root}/out").awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{root}/out")
+
+
+@query(f"""WITH {_HEALTH} SELECT board, seq, CAST(streak AS BIGINT) AS streak, CAST(last_nonzero_count AS BIGINT) AS last_nonzero_count, CAST(baseline AS BIGINT) AS baseline,
+  CASE WHEN good THEN 'normal' WHEN coalesce(last_nonzero_count, 0) >= 3 THEN CASE WHEN tm - first_zero <= INTERVAL 24 HOURS AND streak >= 5 THEN 'down' ELSE 'suspect' END WHEN streak >= 2 THEN 'suspect' ELSE 'normal' END AS status FROM v""")
+def streamed_health(spark, sf_dir):
+    """STM-1, STM-3, STM-6: the health after each attempt, as state of a stream."""
+    def build(events):
+        failed = (F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)
+        n = F.when(F.col("event_type") == "error", 0).otherwise(F.floor(F.col("value") / 10)).cast("long")
+        # the time of an attempt tells it apart
+        return live.health(events.select((F.col("user_id") % 10).cast("string").alias("board"), F.col("ts").cast("timestamp").alias("at"), (~failed).alias("ok"), n.alias("n")))
+
+    ids = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("board"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
+    found = _streamed(spark, sf_dir, build).withColumn("board", F.col("board").cast("long"))
+    return found.join(ids, ["board", "at"]).select("board", "seq", "streak", "last_nonzero_count", "baseline", "status")
+
+
+@query(f"""WITH {_HISTORY}, k AS (SELECT max(ts) - INTERVAL 6 HOURS AS mark FROM events),
+x AS (SELECT h.*, status = 'inactive' AND tm + INTERVAL 6 HOURS >= mark AS waits FROM h, k)
+SELECT CAST(board AS VARCHAR) AS board, CAST(link AS VARCHAR) AS link, status, strftime(tm, {_SHOW}) AS "at" FROM x
+QUALIFY NOT bool_or(waits) OVER (PARTITION BY link ORDER BY tm ROWS UNBOUNDED PRECEDING)""")
+def streamed_changes(spark, sf_dir):
+    """STM-4 to STM-7: status changes that last, as far as the watermark has settled them."""
+    def build(events):
+        status = F.when(F.col("event_type") == "error", "inactive").otherwise("active")
+        return live.changes(events.select((F.col("user_id") % 10).cast("string").alias("board"), F.col("user_id").cast("string").alias("link"), status.alias("status"), F.col("ts").cast("timestamp").alias("at")))
+
+    return _streamed(spark, sf_dir, build).select("board", "link", "status", shown("at").alias("at"))
+
+
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTES AS mark FROM events)
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total
+FROM events, m WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2""")
+def streamed_counts(spark, sf_dir):
+    """STM-10: windows that the watermark has closed."""
+    found = _streamed(spark, sf_dir, lambda events: live.tumbling(events.withColumn("ts", F.col("ts").cast("timestamp"))))
+    return found.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 @query("""SELECT list_sort(list_distinct(list('b' || (user_id % 10)))) AS boards, CAST(count(*) AS BIGINT) AS attempted, CAST(count_if(event_type = 'view') AS BIGINT) AS rendered,
   CAST(sum(CAST(floor(value / 10) AS BIGINT)) AS BIGINT) AS found FROM events""")
 def run_totals(spark, sf_dir):

@@ -91,15 +91,28 @@ def _answers(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def fetched(urls: DataFrame, client: Callable[[], Callable[[str, bool], str]] = http_client) -> DataFrame:
-    """SRC-5: the pages of URLs."""
+def _wanted(requests: DataFrame) -> DataFrame:
+    """url, params, headers, body of requests; what is not there is null."""
+    none = F.lit(None).cast("map<string,string>")
+    return requests.select(
+        "url", *(F.col(c) if c in requests.columns else none.alias(c) for c in ("params", "headers")),
+        F.col("body") if "body" in requests.columns else F.lit(None).cast("string").alias("body"),
+    )
+
+
+def fetched(urls: DataFrame, client: Callable[[], Callable[..., str]] = http_client) -> DataFrame:
+    """SRC-5: the pages of URLs; params and headers (maps of strings) are added, if those columns are there."""
 
     def run(batches):
         fetch = client()
         for batch in batches:
-            yield _answers([(url, *_asked(lambda plain, u=url: fetch(u, plain))) for url in batch.column(0).to_pylist()])
+            rows = []
+            for url, params, headers, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole, more = with_params(url, dict(params or ())), dict(headers or ())
+                rows.append((url, *_asked(lambda plain, w=whole, m=more: fetch(w, plain, *([headers_of(w, plain, m)] if m else [])))))
+            yield _answers(rows)
 
-    return urls.select("url").mapInArrow(run, SCHEMA)
+    return _wanted(urls).mapInArrow(run, SCHEMA)
 
 
 def fetched_json(requests: DataFrame, client: Callable[[], Callable[..., str]] = http_client) -> DataFrame:
@@ -108,12 +121,6 @@ def fetched_json(requests: DataFrame, client: Callable[[], Callable[..., str]] =
     requests: url, and if there params and headers (maps of strings) and body (a string: the request is a POST). An
     answer that is no JSON has the error `ValueError`.
     """
-    none = F.lit(None).cast("map<string,string>")
-    wanted = requests.select(
-        "url", *(F.col(c) if c in requests.columns else none.alias(c) for c in ("params", "headers")),
-        F.col("body") if "body" in requests.columns else F.lit(None).cast("string").alias("body"),
-    )
-
     def run(batches):
         fetch = client()
         for batch in batches:
@@ -124,7 +131,7 @@ def fetched_json(requests: DataFrame, client: Callable[[], Callable[..., str]] =
                 rows.append((url, *_asked(lambda plain, w=whole, m=more, b=body: fetch(w, plain, headers_of(w, plain, m, True), b))))
             yield _answers(rows)
 
-    found = wanted.mapInArrow(run, SCHEMA).withColumn("json", F.try_parse_json("html"))
+    found = _wanted(requests).mapInArrow(run, SCHEMA).withColumn("json", F.try_parse_json("html"))
     bad = F.col("json").isNull() & F.col("html").isNotNull()
     return found.select("url", "json", "status", F.when(bad, "ValueError").otherwise(F.col("fetch_error")).alias("fetch_error"), "duration_ms")
 
