@@ -42,6 +42,8 @@ SLOTS = 1 << 20
 LEAST_SHARE = 1 / 512
 #: Bytes of text of a bucket's members that are compared at once with as many others.
 BLOCK_BYTES = 8 << 20
+#: Tasks that the members of one bucket are dealt to where rows meet by bucket.
+SALTS = 8
 _PART = 4096
 #: Distinct shingles that a task counts before it passes their counts on.
 _HELD = 1 << 20
@@ -336,6 +338,13 @@ def _across(members: DataFrame, shared, threshold: float) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def _of_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """members (bucket, id, ...) joined with what is known of their buckets; a bucket's members are dealt to SALTS tasks."""
+    salted = buckets.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    own = F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int")
+    return members.withColumn("salt", own).join(salted, ["bucket", "salt"]).drop("salt")
+
+
 def text_key(column) -> list:
     """96 bits of a text."""
     return [F.xxhash64(column).alias("h"), F.crc32(column.cast("binary")).alias("c")]
@@ -378,7 +387,7 @@ def classes(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str
     met = sampled.select("id", band.alias("band")).select("id", F.xxhash64("band.k", "band.s").alias("bucket"))
     full = met.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     full = scratch.table(full)
-    met = scratch.table(met.join(full, "bucket"))
+    met = scratch.table(_of_bucket(met, full))
     scratch.drop(full)
     side = sampled.select("id", "total")
     pairs = met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
@@ -396,10 +405,10 @@ def classes(df: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str
 
     labelled = met.join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     several = labelled.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q")
-    mixed_up = scratch.table(labelled.join(several.select("bucket"), "bucket").select("bucket", "id", "label"))
+    mixed_up = scratch.table(_of_bucket(labelled, several.select("bucket")).select("bucket", "id", "label"))
     sizes = mixed_up.join(texts.select("id", "size"), "id").groupBy("bucket").agg(F.sum("size").alias("size"))
     blocks = scratch.table(sizes.select("bucket", F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("blocks")).where("blocks > 0"))
-    members = mixed_up.join(blocks, "bucket").join(texts.select("id", "text"), "id")
+    members = _of_bucket(mixed_up, blocks).join(texts.select("id", "text"), "id")
     links = scratch.table(links.unionByName(_across(members, shared, threshold)))
     labels = components(links, scratch)
     scratch.drop(met, texts, pairs, sampled, links, mixed_up, blocks)
