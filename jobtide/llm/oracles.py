@@ -50,14 +50,17 @@ def projections(queries: dict) -> dict:
     return {f.__name__: f for f in made}
 
 
-def _spans(kind: str, pattern: str, least: int, group: int) -> str:
-    """Rows doc_id, kind, s, e of the leftmost non-overlapping matches: places are sums of what is between them."""
+def _spans(kind: str, pattern: str, least: int, group: int, some: str) -> str:
+    """Rows doc_id, kind, s, e of the leftmost non-overlapping matches: places are sums of what is between them.
+
+    some: a pattern that every text with a match has, so that other texts are not taken apart.
+    """
     quoted = pattern.replace("'", "''")
     return f"""SELECT doc_id, '{kind}' AS kind, s, s + len(m) AS e FROM (
   SELECT doc_id, unnest(ms) AS m, unnest(gs) AS g, unnest(list_transform(range(1, len(ms) + 1), lambda i:
     CAST(list_sum(list_transform(ps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0) AS BIGINT))) AS s FROM (
     SELECT doc_id, regexp_extract_all(x, '{quoted}') AS ms, regexp_extract_all(x, '{quoted}', {group}) AS gs, string_split_regex(x, '{quoted}') AS ps
-    FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents))) WHERE len(g) >= {least}"""
+    FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents) WHERE regexp_matches(x, '{some}'))) WHERE len(g) >= {least}"""
 
 
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -74,7 +77,7 @@ e AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'AB
 u AS (SELECT w, array_to_string(list_transform(range(octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS INTEGER))
   .list_transform(lambda b: chr(CASE WHEN b < 33 THEN 256 + b WHEN b BETWEEN 127 AND 160 THEN b + 162 WHEN b = 173 THEN 323 ELSE b END)), '') AS m FROM (SELECT DISTINCT w FROM e)),
 s AS (SELECT w, len(m) AS n, i, unnest(range(i, least(len(m) + 1, i + longest) + 1)) AS j, m FROM u, z, unnest(range(1, len(m) + 2)) AS t(i)),
-b AS (SELECT w, n, i, max(j) AS j FROM s JOIN p ON piece = CASE WHEN j > n THEN m[i:n] || '</w>' ELSE m[i:j] END GROUP BY ALL),
+b AS MATERIALIZED (SELECT w, n, i, max(j) AS j FROM s JOIN p ON piece = CASE WHEN j > n THEN m[i:n] || '</w>' ELSE m[i:j] END GROUP BY ALL),
 r(w, i, k) AS (SELECT w, 1, 0 FROM u UNION ALL SELECT r.w, b.j + 1, r.k + 1 FROM r JOIN b ON r.w = b.w AND r.i = b.i),
 c AS (SELECT u.w, coalesce(max(k) FILTER (i = len(m) + 2), 1) AS k FROM u JOIN r USING (w) GROUP BY u.w)
 SELECT doc_id, CAST(count(e.w) AS BIGINT) AS n_words, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_tokens FROM documents LEFT JOIN e USING (doc_id) LEFT JOIN c ON c.w = e.w GROUP BY doc_id"""
@@ -109,7 +112,7 @@ m AS (SELECT a, min(b) AS least FROM r GROUP BY a),
 k AS (SELECT doc_id, text IS NULL AS none, least(doc_id, coalesce(least, doc_id)) AS class_id FROM documents LEFT JOIN m ON m.a = doc_id)
 SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_rows, doc_id = class_id AS kept FROM k""",
     "shard_rows": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, 'bytes' AS law, true AS together, true AS gapless, true AS placed FROM documents",
-    "secret_base_spans": f"""WITH m AS ({_spans("assign", _ASSIGN, 8, 2)} UNION ALL {_spans("access", "AKIA[A-Z0-9]+", 16, 0)} UNION ALL {_spans("hex", "[0-9a-f]+", 32, 0)}),
+    "secret_base_spans": f"""WITH m AS ({_spans("assign", _ASSIGN, 8, 2, "[:=]")} UNION ALL {_spans("access", "AKIA[A-Z0-9]+", 16, 0, "AKIA")} UNION ALL {_spans("hex", "[0-9a-f]+", 32, 0, "[0-9a-f]{32}")}),
 g AS (SELECT doc_id, count_if(kind = 'assign') AS a, count_if(kind = 'access') AS b, count_if(kind = 'hex') AS c,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, list_position(['assign', 'access', 'hex'], kind)) AS t FROM m GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access, CAST(coalesce(c, 0) AS BIGINT) AS n_hex, sha256(coalesce(t, '')) AS base_sha256
