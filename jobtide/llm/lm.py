@@ -13,8 +13,8 @@ backpropagation over WINDOW steps (up to WIDEST where few texts are left) with t
 the groups. Groups and orders depend on the texts (and ids, if given) alone, so another layout of files or number of
 tasks gives the same model. Scoring carries the state through each whole text.
 
-The KNOWN commonest counts are broadcast (those above a threshold that a histogram of counts gives); rarer tokens of a
-text are joined with the table of counts, which stays distributed. The driver holds weights and KNOWN counts only.
+The KNOWN commonest counts are broadcast (those above a threshold that a histogram of counts gives, and a share by hash
+of those at it); other tokens of a text are joined with the table of counts, which stays distributed. The driver holds weights and KNOWN counts only.
 
 Edge cases: null and empty texts have the end token only; without training texts N and V are 0 and the model is what
 its starting weights give; an empty table gives no rows; repeated rows are scored each, and trained on each; a very
@@ -511,12 +511,14 @@ def coding_of(counts: DataFrame) -> tuple[Coding, np.ndarray]:
     spark = counts.sparkSession
     octave = F.floor(F.log2("c") * _OCTAVE + 1e-9).cast("int")
     steps = counts.groupBy(octave.alias("k")).agg(F.min("c").alias("c"), F.count("*").alias("n")).orderBy(F.desc("k")).collect()
-    least, total = 1 << 62, 0
+    chosen, total = F.lit(False), 0
     for r in steps:  # some hundred rows
-        if (total := total + r["n"]) > KNOWN:
+        chosen = F.col("c") >= r["c"]
+        if (total := total + r["n"]) > KNOWN:  # of the last step that has room, a share by hash
+            share = int(0.9 * (KNOWN - total + r["n"]) / r["n"] * (1 << 30))
+            chosen = (octave > r["k"]) | (octave == r["k"]) & (F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < share)
             break
-        least = r["c"]
-    common = counts.where(F.col("c") >= least).toArrow()  # KNOWN rows at most
+    common = counts.where(chosen).toArrow()  # KNOWN rows at most, or but for chance
     vocabulary = Vocabulary(list(zip(common["token"].to_pylist(), common["c"].to_pylist(), strict=True)))
     short = spark.createDataFrame([(bytearray(t),) for t in vocabulary.short], "token binary")
     tail = F.pmod(F.crc32(F.expr("substring(token, greatest(octet_length(token) - 2, 1), 3)")), F.lit(TAILS)).cast("int")

@@ -354,6 +354,17 @@ def test_scores_are_those_token_by_token():
     assert lm.log_likelihoods(network, coded) == pytest.approx([scalar_score(network, c) for c in coded], rel=1e-4)
 
 
+def test_tokens_of_one_count(spark, monkeypatch):
+    """More tokens of the greatest count than are kept: scores stay what the counts say."""
+    monkeypatch.setattr(lm, "KNOWN", 60)
+    df = spark.createDataFrame([(i, " ".join(f"t{i}_{k}" for k in range(20))) for i in range(20)], "doc_id long, text string")
+    scratch = Scratch(spark)
+    model, counts = lm.learn(df, scratch, id_col="doc_id")
+    assert 20 < len(model.coding.tokens) <= 100 and (model.n, model.v) == (420, 401)
+    for r in lm.score_texts(df, model, counts, scratch).collect():
+        assert r["n_known"] == 21 and r["base_score"] == pytest.approx(20 * math.log10(2 / 822) + math.log10(21 / 822)) and r["score"] < 0
+
+
 def test_long_text_takes_memory_by_its_tokens():
     import tracemalloc
 
