@@ -342,7 +342,8 @@ def _of_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
     """members (bucket, id, ...) joined with what is known of their buckets; a bucket's members are dealt to SALTS tasks."""
     salted = buckets.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     own = F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int")
-    return members.withColumn("salt", own).join(salted, ["bucket", "salt"]).drop("salt")
+    # merged, as the buckets grow with the table and a broadcast would be of their size before they are salted
+    return members.withColumn("salt", own).join(salted.hint("merge"), ["bucket", "salt"]).drop("salt")
 
 
 def text_key(column) -> list:
