@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: Bytes of text that numpy works on at once; a longer text is worked on alone.
 CHUNK_BYTES = 2 << 20
 #: Bytes of text that a processor gets, and gives results for, at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def quoted(name: str) -> str:

@@ -33,7 +33,7 @@ from jobtide.llm.batches import Texts, add_columns
 
 _NONE = 1 << 60
 #: Matches that a worker remembers; then it starts anew. Long ones are forgotten at once.
-CACHED, CACHED_BYTES = 250_000, 64
+CACHED, CACHED_BYTES = 150_000, 64
 #: The public pattern, which is cut without a regular expression.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LETTER, _DIGIT, _OTHER, _SPACE = range(4)
