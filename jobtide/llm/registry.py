@@ -5,13 +5,30 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtide.llm import byte_bpe, decontaminate, hnsw, language, lm, minhash, oracles, secrets, shards, token_counts, url_lists
+from jobtide.llm import (
+    byte_bpe,
+    decontaminate,
+    hnsw,
+    language,
+    lm,
+    minhash,
+    oracles,
+    packing,
+    prefixes,
+    secrets,
+    shards,
+    token_counts,
+    url_lists,
+    variants,
+)
 from jobtide.llm.batches import Scratch
 
 #: Production parameters.
 TOKEN_VOCABULARY = "word_bpe_49k.json"
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 8
+PACKED_VOCABULARY = "byte_bpe_50k.json"
+WINDOW = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -77,9 +94,22 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.digest(found)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.digest(packing.pack(documents, public_tokenizers.path(PACKED_VOCABULARY), WINDOW, keep=["doc_id"]))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_lm_scores, op3_decontaminate, op4_byte_bpe, op5_hnsw, op6_minhash, op7_shards, op8_secrets, op9_language, op10_url_lists)
+    for f in (op1_token_counts, op2_lm_scores, op3_decontaminate, op4_byte_bpe, op5_hnsw, op6_minhash, op7_shards, op8_secrets, op9_language, op10_url_lists, op11_packing, op12_variants, op13_prefix_trie)
 }
 
 QUERIES |= oracles.projections(QUERIES)
