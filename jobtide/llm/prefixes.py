@@ -8,8 +8,8 @@ itself saves are map-side sums by node, so that copies of a conversation are fol
 
 Sums over subtrees are made in shards. A node's weight is the number of turns at and below it in all conversations that pass
 through it, which bounds the nodes of its subtree; nodes of weight up to LIGHT are light, heavier ones lie in higher tiers, each
-tier LIGHT / (longest conversation) times as heavy (the root always on top). The part of a tier below one topmost node is a tree;
-such trees are dealt by hash into shards of about LIGHT nodes. A shard's forest becomes a LOUDS bit vector (level order, a 1 for each child and a 0 after
+tier STEP times as heavy (the root always on top). The part of a tier below one topmost node is a tree of at most LIGHT nodes, or STEP
+a level; such trees are dealt by hash into shards of about SHARD_NODES nodes. A shard's forest becomes a LOUDS bit vector (level order, a 1 for each child and a 0 after
 them) with label arrays, built by numpy; parents are read off the bits, and one pass from the last level to the first adds children to
 their parents. What the topmost nodes of a tier's trees hold is summed by parent before the next tier takes it over, so a node with
 many children never meets them in one task. There are as many tiers as the logarithm of the heaviest weight.
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from jobtide.llm.batches import Scratch, partitions
 
 FAMILY, BORROWED = 5, 9
-#: Nodes of a shard, about; nodes over this weight are merged apart.
-LIGHT = 50_000
+#: Weight over which nodes are merged apart, how many times as heavy the next tier is, and nodes of a shard, about.
+LIGHT, STEP, SHARD_NODES = 2_000, 64, 50_000
 #: Heavy nodes up to this number are broadcast (counted first), more are joined by an exchange.
 FEW_HEAVY = 100_000
 ID_RANGE = 4096
@@ -61,7 +61,7 @@ def rebuilt(turns: DataFrame) -> DataFrame:
     placed = marked.repartition("g").withColumn("r", F.row_number().over(own).cast("long")).drop("role", "text", "turn")
     head = F.col("c") == F.col("g")
     placed = placed.withColumns({
-        "mine": F.max("r").over(Window.partitionBy("g", "c")), "head": F.coalesce(F.max(F.when(head, F.col("r"))).over(family), F.lit(0)),
+        "head": F.coalesce(F.max(F.when(head, F.col("r"))).over(family), F.lit(0)),
         "there": F.array_sort(F.collect_set((F.col("c") - F.col("g")).cast("int")).over(family)),  # five at most
     })
     h = borrowed(F.col("c"))
@@ -106,7 +106,7 @@ def level_order(depth: np.ndarray, keys: np.ndarray, above: np.ndarray) -> tuple
     parent = by_key[spot] if len(keys) else spot
     parent = np.where(keys[parent] == above, parent, -1)
     level = np.full(len(keys), -1)
-    rounds, waiting = 0, np.flatnonzero(parent < 0)
+    waiting = np.flatnonzero(parent < 0)
     children = np.argsort(parent, kind="stable")
     bounds = np.searchsorted(parent[children], np.arange(len(keys) + 1))
     order, parents, levels, placed = [], [], [0], 0
@@ -119,7 +119,6 @@ def level_order(depth: np.ndarray, keys: np.ndarray, above: np.ndarray) -> tuple
         n = bounds[waiting + 1] - bounds[waiting]
         firsts = np.repeat(bounds[waiting] - np.cumsum(n) + n, n)
         waiting = children[firsts + np.arange(len(firsts))]
-        rounds += 1
     return np.concatenate(order) if order else np.zeros(0, int), np.concatenate(parents) if parents else np.zeros(0, int), np.array(levels)
 
 
@@ -192,13 +191,12 @@ def prefix_trie(turns: DataFrame, light: int = LIGHT, scratch: Scratch | None =
     below = F.col("turns") - F.col("depth") + 1
     weights = rows.groupBy(*NODE).agg(F.sum(below).alias("weight"))
     heavy = scratch.table(weights.where((F.col("weight") > light) | (F.col("depth") == 0)))
-    n_heavy, longest = heavy.count(), rows.agg(F.max("turns")).first()[0]
-    step, top, bound = max(2, light // max(longest or 1, 1)), 1, light
+    n_heavy, top, bound = heavy.count(), 1, light
     most = heavy.agg(F.max("weight")).first()[0] or 0
     tier = F.lit(0)
     while bound < most:  # tiers are few: their bounds grow by a factor
         tier = F.when(F.col("weight") > bound, top).otherwise(tier)
-        top, bound = top + 1, bound * step
+        top, bound = top + 1, bound * STEP
     tier = F.when(F.col("depth") == 0, top).when(F.col("weight").isNull(), 0).otherwise(tier)
     marked = _beside(rows, heavy, n_heavy, NODE).withColumn("tier", tier).drop("weight")
     topmost = Window.partitionBy("g", "c", "tier").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
@@ -227,7 +225,7 @@ def prefix_trie(turns: DataFrame, light: int = LIGHT, scratch: Scratch | None =
             mine = mine.join(risen, NODE, "left").withColumns({
                 "n_children": F.col("n_children") + F.coalesce("more", zero), "n_leaves": F.col("n_leaves") + F.coalesce("more_leaves", zero), "saved": F.col("saved") + F.coalesce("more_saved", zero),
             })
-        shards = max(partitions(spark), -(-counts[t] // light)) if t == 0 else -(-counts[t] // light)
+        shards = max(partitions(spark), -(-counts[t] // SHARD_NODES))
         mine = mine.withColumn("shard", F.pmod("tree", F.lit(shards)).cast("int")).drop("tier", "tree", "more", "more_leaves", "more_saved")
         tiers.append(scratch.table(mine.groupBy("shard").applyInPandas(rolled_up, schema)))
     if not tiers:

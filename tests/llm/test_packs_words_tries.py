@@ -241,6 +241,7 @@ def test_trie_of_odd_conversations(spark, monkeypatch, light, few):
     """Copies in a third of all conversations, shared heads, gaps in ids, repeated and null turns, and a long conversation."""
     monkeypatch.setattr(prefixes, "FEW_HEAVY", few)
     monkeypatch.setattr(prefixes, "ID_RANGE", 7)
+    monkeypatch.setattr(prefixes, "STEP", 3)
     draw = random.Random(3)
     rows = []
     for c in draw.sample(range(-20, 400), 260):
