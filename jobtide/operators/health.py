@@ -96,15 +96,13 @@ def next_after_error(now, draw=None, base_minutes: int = 20, jitter_minutes: int
 
 
 def summary(found: DataFrame, board: str = "board") -> DataFrame:
-    """H8: of states() the health of each board after its last attempt."""
-    log = Window.partitionBy(board).orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    good = F.col("ok") & (F.col("n") > 0)
-    told = found.withColumns({
-        "last_success_at": F.last(F.when(good, F.col("at")), True).over(log), "last_success_count": F.last(F.when(good, F.col("n")), True).over(log),
-    })
+    """H8: of states() the health of each board after its last attempt; all of it sums on the map side, no window over a board."""
+    good, order = F.col("ok") & (F.col("n") > 0), F.struct("at", "seq")
     fields = (
         "status", "reason", "first_zero_at", F.col("streak").alias("consecutive_zero_attempts"), "flagged_until", "last_nonzero_at",
-        "last_nonzero_count", F.col("baseline").alias("baseline_nonzero_count"), "last_success_at", "last_success_count",
+        "last_nonzero_count", F.col("baseline").alias("baseline_nonzero_count"),
     )
-    rows = told.select(board, "at", "seq", F.struct(*fields).alias("h"))
-    return rows.groupBy(board).agg(F.max_by("h", F.struct("at", "seq")).alias("h")).select(board, "h.*")
+    told = found.groupBy(board).agg(
+        F.max_by(F.struct(*fields), order).alias("h"), F.max_by(F.when(good, F.struct("at", "n")), F.when(good, order)).alias("s")
+    )
+    return told.select(board, "h.*", F.col("s.at").alias("last_success_at"), F.col("s.n").alias("last_success_count"))

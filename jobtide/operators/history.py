@@ -90,20 +90,40 @@ def step_counts(spans: DataFrame, board: str, minutes: int = 30, until=None) ->
     return counted.select(board, at.alias("time"), F.col("n").cast("long").alias("active"))
 
 
-def active_at(spans: DataFrame, moments: DataFrame, key: list[str], few: int = 10_000) -> DataFrame:
+def cover(lo: Column, hi: Column, levels: list[int]) -> Column:
+    """(level, bin) of the aligned stretches of 2^level units that make up [lo, hi) exactly; at most two of a level.
+
+    levels: those looked at, from 0 on without a gap, up to one whose stretches are longer than hi - lo.
+    """
+    def of(level):
+        unit = F.lit(1 << level)
+        first, end = F.ceil(lo / unit).cast("long"), F.floor(hi / unit).cast("long")
+        some = first < end
+        at = lambda x: F.struct(F.lit(level).alias("level"), x.alias("bin"))
+        return [F.when(some & (first % 2 != 0), at(first)), F.when(some & (end % 2 != 0), at(end - 1))]
+
+    return F.filter(F.array(*(x for level in levels for x in of(level))), lambda x: x.isNotNull())
+
+
+def active_at(spans: DataFrame, moments: DataFrame, key: list[str], unit_seconds: int = 3600) -> DataFrame:
     """JOIN-8: (moment, key) with some span start <= moment < end. moments: one column.
 
-    Few moments (counted first) are broadcast; more meet the spans by day, a span in each of its days that has any.
+    A span is cut into aligned stretches of 2^level units, at most two of a level, and a moment looks for the stretch that
+    it is in on each level that the spans have: a join by equality, as many rows a span as the logarithm of its length.
+    Units at the edges are tested.
     """
     at = moments.columns[0]
+    micros = unit_seconds * 1_000_000
+    unit = lambda x: F.floor(_micros(x) / F.lit(micros)).cast("long")
+    moving = spans.where(F.col("end") > F.col("start")).withColumns({"_lo": unit(F.col("start")), "_hi": unit(F.col("end")) + 1})
+    longest = moving.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 1
+    levels = list(range(longest.bit_length() + 1))
+    cut = moving.withColumn("_e", F.explode(cover(F.col("_lo"), F.col("_hi"), levels))).drop("_lo", "_hi")
+    cut = cut.withColumns({"_level": F.col("_e.level"), "_bin": F.col("_e.bin")}).drop("_e")
+    bins = F.array(*(F.struct(F.lit(n).alias("level"), F.floor(unit(F.col(at)) / F.lit(1 << n)).cast("long").alias("bin")) for n in levels))
+    asked = moments.where(F.col(at).isNotNull()).distinct().select(at, F.explode(bins).alias("_e")).select(at, F.col("_e.level").alias("_level"), F.col("_e.bin").alias("_bin"))
     within = (F.col("start") <= F.col(at)) & (F.col(at) < F.col("end"))
-    if moments.limit(few + 1).count() <= few:
-        return spans.join(F.broadcast(moments), within).select(at, *key).distinct()
-    dated = moments.withColumn("_day", F.to_date(at))
-    days = F.sequence(F.to_date("start"), F.to_date("end"))
-    spread = spans.where(F.col("end") > F.col("start")).withColumn("_day", F.explode(days))
-    spread = spread.join(dated.select("_day").distinct(), "_day", "left_semi")
-    return spread.join(dated, "_day").where(within).select(at, *key).distinct()
+    return cut.join(asked, ["_level", "_bin"]).where(within).select(at, *key).distinct()
 
 
 def jobs(history: DataFrame, key: list[str], as_of) -> DataFrame:

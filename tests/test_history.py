@@ -64,13 +64,15 @@ def test_intervals_counts_and_metrics(spark):
     assert (m["active_now"], m["new_now"], m["active_before"]) == (1, 1, 0)
 
 
-def test_many_moments_by_day(spark):
+@pytest.mark.parametrize("unit", [1, 3600, 10**7])
+def test_moments_in_spans(spark, unit):
     pick = random.Random(4)
     rows = [(k, T0 + timedelta(hours=h), T0 + timedelta(hours=h + pick.choice([0, 3, 60]))) for k in range(40) for h in [pick.randint(0, 300)]]
     spans = spark.createDataFrame(rows, "k int, start timestamp, end timestamp")
-    moments = spark.createDataFrame([(T0 + timedelta(hours=h, minutes=30 * (h % 2)),) for h in range(0, 320, 7)], "moment timestamp")
-    found = [sorted(map(tuple, history.active_at(spans, moments, ["k"], few).collect())) for few in (10_000, 0)]
-    assert found[0] == found[1] and found[0]
+    times = [T0 + timedelta(hours=h, minutes=30 * (h % 2)) for h in range(0, 320, 7)]
+    moments = spark.createDataFrame([(t,) for t in [*times, times[0], None]], "moment timestamp")
+    found = sorted(map(tuple, history.active_at(spans, moments, ["k"], unit).collect()))
+    assert found == sorted((t, k) for k, a, b in rows for t in times if a <= t < b) and found
 
 
 def machine(attempts):
