@@ -14,6 +14,7 @@ from jobtide.functions import texts, urls
 from jobtide.operators import places
 from jobtide.operators.dom import PAGE, attr, has_class, without
 from jobtide.operators.history import first_wins
+from jobtide.operators.selectors import contained, within
 
 # The parameters of a list that the postings service filters by, and the rows of one of its pages.
 LEVER_FILTERS = ("location", "department", "team", "commitment", "level")
@@ -23,15 +24,10 @@ MICROSOFT_LINK = "https://jobs.careers.microsoft.com/global/en/job/"
 
 def inside(inner: DataFrame, *outer: DataFrame) -> DataFrame:
     """Nodes of `inner` that lie in a node of the last of `outer`, which lies in one of the one before it, and so on."""
-    area = outer[0].select(*PAGE, F.col("node_id").alias("s"), F.col("last_desc").alias("e"))
+    area = outer[0]
     for nodes in outer[1:]:
-        area = _within(nodes, area).select(*PAGE, F.col("node_id").alias("s"), F.col("last_desc").alias("e"))
-    return _within(inner, area)
-
-
-def _within(nodes: DataFrame, area: DataFrame) -> DataFrame:
-    found = nodes.join(area, PAGE).where("node_id > s AND node_id <= e").select(*PAGE, "node_id").distinct()
-    return nodes.join(found, [*PAGE, "node_id"], "left_semi")
+        area = within(nodes, area)
+    return within(inner, area)
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -124,12 +120,12 @@ def from_proton(nodes: DataFrame, terms: list[str] | None = None, most: int = 2)
     tables = nodes.where(has_class("job-posts--table--department"))
     rows = nodes.where((F.col("tag") == "tr") & has_class("job-post"))
     found = inside(links(clean), tables, rows)
-    area = found.select(*PAGE, F.col("node_id").alias("a"), F.col("last_desc").alias("e"))
-    parts = area.join(clean.where(has_class("body")), PAGE).where("node_id > a AND node_id <= e")
+    bodies = clean.where(has_class("body")).select(*PAGE, F.col("node_id").alias("b"), "attrs", "text")
+    parts = contained(found.select(*PAGE, "node_id", "last_desc"), bodies, "b").withColumnRenamed("node_id", "a")
     body = has_class("body--medium")
     place = has_class("body__secondary") & has_class("body--metadata")
     told = parts.groupBy(*PAGE, "a").agg(
-        F.min_by("text", F.when(body, F.col("node_id"))).alias("medium"), F.min_by("text", F.when(place, F.col("node_id"))).alias("place"),
+        F.min_by("text", F.when(body, F.col("b"))).alias("medium"), F.min_by("text", F.when(place, F.col("b"))).alias("place"),
     )
     # an anchor's own text stands for a title that is not marked
     plain = nodes.select(*PAGE, F.col("node_id").alias("a"), F.col("text").alias("whole"))

@@ -1,5 +1,9 @@
 """HTML pages as tables of nodes (DOM-1, DOM-2), and questions about single pages (FLT-5, DOM-4 to DOM-7, STR-6/7).
 
+No page ends a job: markup that the parser does not know is a comment, as it is in browsers, and what nests deeper than
+Python's JSON reader goes, or holds half a character, is skipped or replaced. A page's texts are kept once while it is read; nodes
+are handed on in batches of bounded text, so memory is linear in the page however deep it nests.
+
 Nodes are numbered in document order, and a node's descendants are those up to last_desc, so that `inside` is a range
 condition within a page. Text is that of text nodes, stripped and joined by spaces; the text of scripts and styles is
 their own only. Parsing is per page and Python's own parser; everything after it is in the JVM. A page is known by its
@@ -17,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobtide.functions import texts
+from jobtide.operators.selectors import PAGE, contained, within
 from jobtide.operators.stored import stored
 
-PAGE = ["page_id", "url"]
 SCHEMA = "page_id long, url string, node_id int, parent_id int, last_desc int, tag string, attrs map<string,string>, own_text string, text string"
 # Fixed values of the HTML standard: elements without an end tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
@@ -31,6 +35,8 @@ SCRIPT_HINTS = (
     "enable javascript", "turn on javascript", "requires javascript",
     "needs javascript", "please enable cookies", "disabled scripts",
 )
+#: Characters of text that are handed on at once.
+BATCH_TEXT = 4_000_000
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
@@ -64,6 +70,12 @@ class _Tree(HTMLParser):
             if self.nodes[self.open[at]][2] == tag:
                 return self._close(at)
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # an unknown keyword
+            return self.parse_bogus_comment(i)
+
     def handle_data(self, data):
         if self.open and (text := data.strip()):
             self.nodes[self.open[-1]][4].append(text)
@@ -71,19 +83,16 @@ class _Tree(HTMLParser):
                 self.texts.append(text)
 
 
-def parse(html: str, tags: set[str] | None = None, text_of: set[str] | None = None) -> list[tuple]:
-    """Rows of the nodes with these tags (all, if None); the text of what lies inside only for the tags of text_of."""
+def parse(html: str, tags: set[str] | None = None, text_of: set[str] | None = None):
+    """Rows of the nodes with these tags (all, if None), one by one; the text of what lies inside only for the tags of text_of."""
     tree = _Tree()
     tree.feed(html)
     tree.close()
     tree._close(0)
-    rows = []
     for k, (parent, last, tag, attrs, parts, first, end) in enumerate(tree.nodes):
         if tags is None or tag in tags or "role" in attrs:
             wanted = text_of is None or tag in text_of or "role" in attrs
-            text = " ".join(tree.texts[first:end]) if wanted else None
-            rows.append((k, parent, last, tag, attrs, " ".join(parts), text))
-    return rows
+            yield k, parent, last, tag, list(attrs.items()), " ".join(parts), " ".join(tree.texts[first:end]) if wanted else None
 
 
 def nodes(pages: DataFrame, tags: tuple[str, ...] | None = None, text_of: tuple[str, ...] | None = None) -> DataFrame:
@@ -99,13 +108,22 @@ def nodes(pages: DataFrame, tags: tuple[str, ...] | None = None, text_of: tuple[
             ("page_id", pa.int64()), ("url", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("last_desc", pa.int32()),
             ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.string()), ("text", pa.string()),
         ])
+        def table(page, url, rows):
+            columns = list(zip(*rows, strict=True))
+            own = pa.array([page] * len(rows), pa.int64()), pa.array([url] * len(rows), pa.string())
+            return pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(columns, schema.types[2:], strict=True))], schema=schema)
+
         for batch in batches:
             for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows := parse(html or "", names, named):
-                    columns = list(zip(*rows, strict=True))
-                    columns[4] = [list(x.items()) for x in columns[4]]
-                    own = pa.array([page] * len(rows), pa.int64()), pa.array([url] * len(rows), pa.string())
-                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(columns, schema.types[2:], strict=True))], schema=schema)
+                rows, size = [], 0
+                for row in parse(html or "", names, named):
+                    rows.append(row)
+                    size += len(row[-1] or "") + len(row[-2])
+                    if size > BATCH_TEXT:
+                        yield table(page, url, rows)
+                        rows, size = [], 0
+                if rows:
+                    yield table(page, url, rows)
 
     return pages.select(F.coalesce(page_id, F.lit(-1).cast("long")).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), "html").mapInArrow(run, SCHEMA)
 
@@ -136,7 +154,7 @@ def heading_texts(containers: DataFrame, heads: DataFrame) -> DataFrame:
     Of each level only the first heading counts for the highest; ties in length go to the first.
     """
     c = containers.select(*PAGE, "node_id", "last_desc").distinct()
-    inside = c.join(heads, PAGE).where((F.col("h") > F.col("node_id")) & (F.col("h") <= F.col("last_desc")))
+    inside = contained(c, heads, "h")
     first = inside.groupBy(*PAGE, "node_id", "level").agg(
         F.min_by("heading", "h").alias("first"), F.max_by("heading", F.struct(F.length("heading"), -F.col("h"))).alias("longest"), F.min("h").alias("h")
     )
@@ -184,6 +202,11 @@ def shells(pages: DataFrame) -> DataFrame:
     return found.withColumns({**counts, **signs, "needs_script": needs})
 
 
+def whole_characters(text: str) -> str:
+    """text with ? for halves of surrogate pairs, which no column can hold."""
+    return text.encode("utf-8", "replace").decode()
+
+
 @F.udf(T.StringType(), useArrow=True)
 def _jsonld_title(scripts):
     """JSN-4: of the scripts' items the first one's title or name; a script that cannot be read ends the search."""
@@ -192,7 +215,7 @@ def _jsonld_title(scripts):
             data = json.loads(script)
             for item in data if isinstance(data, list) else [data]:
                 if isinstance(item, dict) and (title := (item.get("title") or item.get("name") or "").strip()):
-                    return title
+                    return whole_characters(title)
     except (AttributeError, RecursionError, ValueError):
         pass
     return None
@@ -230,14 +253,14 @@ def without(found: DataFrame, class_name: str) -> DataFrame:
 
     found: all nodes of a page, with their texts.
     """
-    removed = found.where(has_class(class_name)).select(*PAGE, F.col("node_id").alias("r"), F.col("last_desc").alias("r_last"))
-    gone = found.join(removed, PAGE).where("node_id >= r AND node_id <= r_last").select(*PAGE, "node_id").distinct()
+    removed = found.where(has_class(class_name)).select(*PAGE, "node_id", "last_desc")
+    gone = within(found, removed).select(*PAGE, "node_id").unionByName(removed.select(*PAGE, "node_id")).distinct()
     left = found.join(gone, [*PAGE, "node_id"], "left_anti")
-    holders = found.join(removed, PAGE).where("node_id < r AND last_desc >= r_last").select(*PAGE, F.col("node_id").alias("k"), "last_desc").distinct()
-    parts = holders.join(left.where(~F.col("tag").isin("script", "style") & (F.col("own_text") != "")).select(*PAGE, "node_id", "own_text"), PAGE)
-    parts = parts.where("node_id >= k AND node_id <= last_desc")
-    made = parts.groupBy(*PAGE, F.col("k").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("node_id", "own_text"))).alias("p"))
+    holders = contained(left.select(*PAGE, "node_id", "last_desc"), removed.select(*PAGE, F.col("node_id").alias("r")), "r").drop("r").distinct()
+    said = left.where(~F.col("tag").isin("script", "style") & (F.col("own_text") != "")).select(*PAGE, F.col("node_id").alias("t"), "own_text")
+    parts = contained(holders, said, "t").unionByName(holders.join(said.withColumn("node_id", F.col("t")), [*PAGE, "node_id"]))
+    made = parts.groupBy(*PAGE, "node_id").agg(F.array_sort(F.collect_list(F.struct("t", "own_text"))).alias("p"))
     made = made.select(*PAGE, "node_id", F.array_join("p.own_text", " ").alias("_text"))
-    held = holders.select(*PAGE, F.col("k").alias("node_id"), F.lit(True).alias("_held"))
+    held = holders.select(*PAGE, "node_id", F.lit(True).alias("_held"))
     out = left.join(held, [*PAGE, "node_id"], "left").join(made, [*PAGE, "node_id"], "left")
     return out.withColumn("text", F.when(F.col("_held"), F.coalesce("_text", F.lit(""))).otherwise(F.col("text"))).drop("_held", "_text")

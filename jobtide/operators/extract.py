@@ -1,7 +1,7 @@
 """Postings from nodes of pages: four extractors, of which a page's first non-empty one wins (LIM-3, EXP-2).
 
 Each gives (page_id, url, priority, pos, title, link). Anchors are resolved and judged once, in the JVM; what lies inside a list,
-an item or an anchor is a range join within the page, and every choice of `the first` is an aggregate with an order.
+an item or an anchor is joined by aligned stretches of the page, and every choice of `the first` is an aggregate with an order.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobtide.functions import texts, urls
-from jobtide.operators.dom import PAGE, attr, has_class, heading_texts, headings
+from jobtide.operators.dom import PAGE, attr, has_class, heading_texts, headings, whole_characters
 from jobtide.operators.history import first_wins
+from jobtide.operators.selectors import contained
 
 # Fixed value. Words in the label of a list of postings.
 LIST_WORDS = "job|career|vacan|opening|position"
@@ -40,7 +41,7 @@ def postings_in(raw: str | None) -> list[dict]:
     """JSN-2, JSN-3: title and url of the postings of a JSON-LD script; malformed JSON and odd types give none."""
     try:
         found = flattened(json.loads((raw or "").strip()))
-    except ValueError:
+    except (RecursionError, ValueError):
         return []
     out = []
     for x in found:
@@ -48,7 +49,7 @@ def postings_in(raw: str | None) -> list[dict]:
         if kind == "JobPosting" or isinstance(kind, list) and "JobPosting" in kind:
             title, link = x.get("title") or x.get("name"), x.get("url") or x.get("applicationUrl")
             if isinstance(title, str) and isinstance(link, str) and title.strip() and link.strip():
-                out.append({"title": title.strip(), "ref": link.strip()})
+                out.append({"title": whole_characters(title.strip()), "ref": whole_characters(link.strip())})
     return out
 
 
@@ -80,22 +81,18 @@ def from_jsonld(nodes: DataFrame) -> DataFrame:
     return kept.select(*PAGE, F.lit(1).alias("priority"), (F.col("node_id").cast("long") * 1_000_000 + F.col("i")).alias("pos"), "p.title", urls.canonical(F.col("ref")).alias("link"))
 
 
-def _inside(outer: DataFrame, inner: DataFrame, at: str) -> DataFrame:
-    return outer.join(inner, PAGE).where((F.col(at) > F.col("node_id")) & (F.col(at) <= F.col("last_desc")))
-
-
 def from_lists(nodes: DataFrame, found: DataFrame, heads: DataFrame) -> DataFrame:
     lists = nodes.where(F.col("tag").isin("ul", "ol"))
     labelled = lists.where(F.lower(attr("aria-label")).rlike(LIST_WORDS)).select(*PAGE, "node_id", "last_desc")
-    counted = _inside(lists.select(*PAGE, "node_id", "last_desc"), found, "a").groupBy(*PAGE, "node_id", "last_desc")
+    counted = contained(lists.select(*PAGE, "node_id", "last_desc"), found, "a").groupBy(*PAGE, "node_id", "last_desc")
     several = counted.agg(F.count_if("marked").alias("m"), F.count_if("detail").alias("d")).where("m >= 2 OR d >= 2")
     chosen = labelled.unionByName(several.select(*PAGE, "node_id", "last_desc")).distinct()
     items = nodes.where((F.col("tag") == "li") | ((F.col("tag") == "div") & (attr("role") == "listitem"))).select(*PAGE, "node_id", "last_desc")
-    within = chosen.toDF(*PAGE, "list", "list_last").join(items, PAGE).where("node_id > list AND node_id <= list_last")
+    within = contained(chosen, items.toDF(*PAGE, "item", "item_last"), "item").select(*PAGE, F.col("node_id").alias("list"), F.col("item").alias("node_id"), F.col("item_last").alias("last_desc"))
     others = items.join(chosen.select(*PAGE).distinct(), PAGE, "left_anti").withColumn("list", F.lit(0))
     items = within.select(*PAGE, "list", "node_id", "last_desc").unionByName(others.select(*PAGE, "list", "node_id", "last_desc"))
     first = F.struct((~F.col("marked")).cast("int"), "a")
-    usable = _inside(items, found, "a")
+    usable = contained(items, found, "a")
     other = F.when(_filled("label", "words").isNotNull(), F.col("a"))
     picked = usable.groupBy(*PAGE, "list", "node_id", "last_desc").agg(
         F.min_by(F.struct("link", "label", "words"), F.when(F.col("marked") | F.col("detail"), first)).alias("p"),
@@ -103,7 +100,7 @@ def from_lists(nodes: DataFrame, found: DataFrame, heads: DataFrame) -> DataFram
     ).where("has")
     titled = picked.join(heading_texts(items, heads), [*PAGE, "node_id"], "left")
     spans = nodes.where((F.col("tag") == "span") & attr("class").contains("title") & (F.trim("text") != "")).select(*PAGE, F.col("node_id").alias("s"), F.col("text").alias("span_text"))
-    spans = _inside(items.select(*PAGE, "node_id", "last_desc").distinct(), spans, "s").groupBy(*PAGE, "node_id").agg(F.min_by("span_text", "s").alias("span"))
+    spans = contained(items.select(*PAGE, "node_id", "last_desc").distinct(), spans, "s").groupBy(*PAGE, "node_id").agg(F.min_by("span_text", "s").alias("span"))
     titled = titled.join(spans, [*PAGE, "node_id"], "left").withColumn("title", F.trim(F.coalesce(_filled("longest", "p.label", "p.words"), "span", "other")))
     placed = titled.where("title <> ''").select(*PAGE, F.lit(2).alias("priority"), (F.col("list").cast("long") * 10_000_000 + F.col("node_id")).alias("pos"), "title", "p.link")
     return first_wins(placed, [*PAGE, "link"], ["pos"])
@@ -122,7 +119,7 @@ def from_repeated(nodes: DataFrame, found: DataFrame, heads: DataFrame, least: i
     items = keyed.join(prototypes(nodes, least), PAGE).where((F.col("tag") == F.col("kind")) & (F.size(F.array_except(F.split("key", " "), "classes")) == 0))
     items = items.select(*PAGE, "node_id", "last_desc").distinct()
     first = F.struct((~F.col("marked")).cast("int"), (~F.col("posting")).cast("int"), "a")
-    picked = _inside(items, found, "a").groupBy(*PAGE, "node_id", "last_desc").agg(F.min_by(F.struct("a", "link", "detail", "named", "words"), first).alias("p"))
+    picked = contained(items, found, "a").groupBy(*PAGE, "node_id", "last_desc").agg(F.min_by(F.struct("a", "link", "detail", "named", "words"), first).alias("p"))
     picked = picked.where("p.detail").join(heading_texts(items, heads).select(*PAGE, "node_id", "longest"), [*PAGE, "node_id"], "left")
     in_anchor = heading_texts(found.select(*PAGE, F.col("a").alias("node_id"), F.col("a_last").alias("last_desc")), heads).select(*PAGE, F.col("node_id").alias("a"), F.col("longest").alias("inner"))
     titled = picked.withColumn("a", F.col("p.a")).join(in_anchor, [*PAGE, "a"], "left").withColumn("title", _filled("longest", "p.named", "p.words", "inner"))
