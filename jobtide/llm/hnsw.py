@@ -9,11 +9,12 @@ A query that finds at most FEW nodes in a shard gives the pairs, in both directi
 number, so a large group does not become all its pairs. Each task joins what it has found to a spanning forest, and the
 forests' links give the components.
 
-An audit compares some nodes with all vectors by exact blocks. Its recall is the mean over audited nodes that have
-links, taken apart for nodes of at most SPARSE_LINKS and for those of large groups, and the lower of the two counts: a
-large group cannot hide isolated pairs that are missed. Nodes are added until AUDIT_LEAST of the sparse kind are seen; where
-pairs are so rare that this takes all nodes, the audit is the result. While recall is below AUDIT_RECALL, the beam is
-doubled and all is searched again; past WIDEST all is searched by exact blocks.
+The graphs serve every table, whatever its size and however rare its pairs. An audit compares AUDIT_ROWS nodes, chosen by
+hash, with all vectors by exact blocks. Its recall is the mean over audited nodes that have links, taken apart for nodes of at most
+SPARSE_LINKS and for those of large groups, and the lower of the two counts: a large group cannot hide isolated pairs that are missed.
+Where fewer than AUDIT_LEAST of the audited nodes are of the sparse kind, probes are planted: copies of the audited vectors, turned away
+from them to a cosine of 0.9 to 0.95, ask the graphs and the exact blocks alike, and their recall counts as a third kind. While recall is
+below AUDIT_RECALL, the beam is doubled and the same graphs are searched again; only past WIDEST all is searched by exact blocks.
 
 A shard's size is bounded, so the number of shards grows with the table beyond FEWEST_SHARDS * SHARD_ROWS nodes.
 
@@ -291,14 +292,15 @@ _FOUND = "a long, shard int, nodes long, rows long, near array<long>, b long"
 
 
 def _search(
-    nodes: DataFrame, shards: int, cosine: float, beam: int | None, scratch: Scratch, count: int, queries: DataFrame | None = None
+    nodes: DataFrame, shards: int, cosine: float, beam: int | None, scratch: Scratch, count: int, queries: DataFrame | None = None,
+    graphs: DataFrame | None = None,
 ) -> DataFrame:
     """What every shard's graph finds for every query (all nodes by default), by exact comparison without a beam.
 
-    For each query a and shard with a find: how many nodes, their rows, and the nodes if they are few (`near`); and
+    graphs: those of _built(), if they are there. For each query a and shard with a find: how many nodes, their rows, and the nodes if they are few (`near`); and
     links (a, b) of a spanning forest, with a null shard.
     """
-    graphs = _built(nodes, shards, beam, scratch)
+    graphs = graphs or _built(nodes, shards, beam, scratch)
     asked = nodes if queries is None else queries
     splits = max(1, -(-count // QUERY_ROWS))
     built = graphs.select(
@@ -370,19 +372,36 @@ def _search(
     return scratch.table(dealt.mapInArrow(run, _FOUND))
 
 
-def _audit(nodes: DataFrame, count: int, shards: int, cosine: float, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """What is true of nodes a chosen by hash, until enough of them are sparse, and whether those are all nodes."""
-    asked = AUDIT_ROWS
-    while True:
-        chosen = nodes.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(max(count, 1))) < asked)
-        truth = _search(nodes, shards, cosine, None, scratch, min(asked, count), chosen)
-        if asked >= count:
-            return truth, True
-        linked = truth.where("shard IS NOT NULL").groupBy("a").agg(F.sum("nodes").alias("n"))
-        if linked.where(F.col("n") <= SPARSE_LINKS).count() >= AUDIT_LEAST:
-            return truth, False
-        scratch.drop(truth)
-        asked *= 4
+def _probes(chosen: DataFrame) -> DataFrame:
+    """size, id, v: a vector at a cosine of 0.9 to 0.95 from each chosen one, in a direction that its id draws; one of a single component is itself."""
+
+    def turned(batches):
+        for batch in batches:
+            out = []
+            for i, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                draw = np.random.default_rng(i)
+                v = np.array(v) / np.linalg.norm(v)
+                away = draw.normal(size=len(v))
+                away -= (away @ v) * v
+                if (norm := np.linalg.norm(away)) > 1e-9 and len(v) > 1:
+                    c = draw.uniform(COSINE + 0.001, COSINE + 0.05)
+                    v = c * v + np.sqrt(1 - c * c) * away / norm
+                out.append(v.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], ["size", "id", "v"])
+
+    # negative ids: no node has one
+    return chosen.select("size", "id", "v").mapInArrow(turned, "size int, id long, v array<double>").withColumn("id", -F.col("id") - 1)
+
+
+def _audit(nodes: DataFrame, count: int, shards: int, cosine: float, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """What is true of the audited nodes, and probes with what is true of them where few of those are sparse."""
+    exact = _built(nodes, shards, None, scratch)
+    chosen = nodes.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(max(count, 1))) < AUDIT_ROWS)
+    truth = _search(nodes, shards, cosine, None, scratch, min(AUDIT_ROWS, count), chosen, exact)
+    linked = truth.where("shard IS NOT NULL").groupBy("a").agg(F.sum("nodes").alias("n"))
+    if linked.where(F.col("n") <= SPARSE_LINKS).count() >= AUDIT_LEAST:
+        return truth, None
+    return truth, scratch.table(_probes(chosen))
 
 
 def _linked(found: DataFrame, nodes: DataFrame, shards: int) -> DataFrame:
@@ -405,6 +424,35 @@ def _recall(truth: DataFrame, linked: DataFrame) -> float:
     return min((r["recall"] for r in kinds.collect()), default=1.0)
 
 
+class Served:
+    """How a table was served: the beam (None: exact blocks), and the recall that the audit measured for it."""
+
+    def __init__(self, beam: int | None, recall: float | None):
+        self.beam, self.recall = beam, recall
+
+
+def links(nodes: DataFrame, count: int, shards: int, cosine: float, beam: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, Served]:
+    """What graphs find for all nodes, the links of each node into each shard, and how they were served."""
+    truth, probes = _audit(nodes, count, shards, cosine, scratch)
+    of_probes = None if probes is None else _search(nodes, shards, cosine, None, scratch, AUDIT_ROWS, probes)
+    graphs = _built(nodes, shards, beam, scratch)
+    while True:
+        wide = beam if beam <= WIDEST else None
+        recall = 1.0
+        if wide and of_probes is not None:  # cheap, so first
+            recall = _recall(of_probes, _search(nodes, shards, cosine, wide, scratch, AUDIT_ROWS, probes, graphs).where("shard IS NOT NULL"))
+        if recall >= AUDIT_RECALL:
+            found = _search(nodes, shards, cosine, wide, scratch, count, None, graphs if wide else None)
+            linked = scratch.table(_linked(found, nodes, shards))
+            if wide is None:
+                return found, linked, Served(None, None)
+            recall = min(recall, _recall(truth, linked))
+            if recall >= AUDIT_RECALL:
+                return found, linked, Served(wide, recall)
+            scratch.drop(found, linked)
+        beam *= 2
+
+
 def near_vectors(
     df: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id", cosine: float = COSINE, beam: int = BEAM,
     keep: list[str] | None = None, scratch: Scratch | None = None,
@@ -424,18 +472,7 @@ def near_vectors(
     nodes = scratch.table(nodes.select(F.monotonically_increasing_id().alias("id"), F.size("v").alias("size"), "v", "n", "least"))
     count = nodes.count()
     shards = max(FEWEST_SHARDS, -(-count // SHARD_ROWS))
-    truth, whole = _audit(nodes, count, shards, cosine, scratch)
-    found, linked = truth, None
-    while not whole:
-        wide = beam if beam <= WIDEST else None
-        found = _search(nodes, shards, cosine, wide, scratch, count)
-        linked = scratch.table(_linked(found, nodes, shards))
-        if wide is None or _recall(truth, linked) >= AUDIT_RECALL:
-            break
-        scratch.drop(found, linked)
-        beam *= 2
-    if linked is None:
-        linked = scratch.table(_linked(found, nodes, shards))
+    found, linked, _ = links(nodes, count, shards, cosine, beam, scratch)
     direct = linked.groupBy("a").agg(F.sum("rows").alias("others")).withColumnRenamed("a", "id")
     labels = components(found.where("b IS NOT NULL").select("a", "b"), scratch)
     joined = nodes.join(direct, "id", "left").join(labels.toDF("id", "label"), "id", "left")
@@ -443,7 +480,7 @@ def near_vectors(
     joined = scratch.table(joined.select("v", "label", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
     least = scratch.table(joined.groupBy("label").agg(F.min("least").alias("component_id")))
     placed = scratch.table(joined.join(least, "label").select("v", "n_links", "component_id"))
-    scratch.drop(nodes, found, linked, labels, joined, least, *([] if whole else [truth]))
+    scratch.drop(nodes, found, linked, labels, joined, least)
     out = rows.join(placed, "v", "left")
     return out.select(
         *(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), F.coalesce("n_links", F.lit(0)).alias("n_links"),
