@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +23,23 @@ def folder(spark: SparkSession) -> str:
     return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there is deleted when the interpreter ends."""
+    path = f"{folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before the interpreter
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(found: DataFrame) -> DataFrame:
-    """found, computed once and written to the shared folder: what reads it several times does not compute it again, nor after a lost executor."""
-    folder(found.sparkSession)
-    return found.checkpoint()
+    """found, computed once and written to the shared folder: what reads it several times does not compute it again, nor after a
+    lost executor, and reads the columns that it needs.
+    """
+    path = scratch(found.sparkSession)
+    found.write.parquet(path)
+    return found.sparkSession.read.schema(found.schema).parquet(path)

@@ -6,14 +6,12 @@ result from the links' numbers alone and shares no pattern with the operators.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions import texts, urls
 from jobtide.operators import adapters, dom, extract, health, history, merge, paging
-from jobtide.operators.stored import folder
+from jobtide.operators.stored import scratch
 from jobtide.plans.catalogue import _HEALTH, _HISTORY, _SHOW, KEY, _items, attempts, observations, query, shown, status_history, table
 from jobtide.sources import boards
 from jobtide.streaming import live
@@ -236,6 +234,87 @@ def health_summaries(spark, sf_dir):
     return found.select("board", shown("last_success_at").alias("last_success_at"), "last_success_count", shown("last_nonzero_at").alias("last_nonzero_at"), "last_nonzero_count", "consecutive_zero_attempts", shown("first_zero_at").alias("first_zero_at"))
 
 
+# events as snapshots: of each board one for each hour with an event; a link is in it if its last event of the hour is no error
+_SNAPSHOTS = """v AS (SELECT user_id % 10 AS board, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS seq, user_id AS link, arg_max(event_type, event_id) <> 'error' AS there FROM events GROUP BY 1, 2, 3),
+r AS (SELECT board, seq, link FROM v WHERE there),
+g AS (SELECT user_id % 10 AS board, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS seq, make_timestamp(CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600000000) AS tm,
+  bool_or(event_type <> 'error' OR event_id % 3 <> 0) AS ok FROM events GROUP BY 1, 2, 3)"""
+
+
+def _snapshots(spark, sf_dir):
+    """The log of all boards' snapshots and their rows."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    kept = events.select((F.col("user_id") % 10).alias("board"), F.floor(F.unix_micros("ts") / 3_600_000_000).cast("long").alias("seq"), F.col("user_id").alias("link"), "event_type", "event_id")
+    last = kept.groupBy("board", "seq", "link").agg(F.max_by("event_type", "event_id").alias("kind"))
+    log = kept.groupBy("board", "seq").agg(F.bool_or((F.col("event_type") != "error") | (F.col("event_id") % 3 != 0)).alias("ok"))
+    return log.withColumn("at", F.timestamp_micros(F.col("seq") * 3_600_000_000)), last.where("kind <> 'error'").select("board", "seq", "link")
+
+
+@query(f"""WITH RECURSIVE {_SNAPSHOTS},
+c AS (SELECT g.*, CAST(count(r.link) AS BIGINT) AS n FROM g LEFT JOIN r USING (board, seq) GROUP BY ALL),
+y AS (SELECT *, lag(ok) OVER w AS pok, lag(n) OVER w AS pn, sum(CASE WHEN ok AND n > 0 THEN 1 ELSE 0 END) OVER w AS island,
+  last_value(CASE WHEN ok AND n > 0 THEN n END IGNORE NULLS) OVER w AS last FROM c WINDOW w AS (PARTITION BY board ORDER BY seq)),
+z AS (SELECT *, sum(CASE WHEN ok AND n > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY board, island ORDER BY seq) AS streak FROM y),
+o AS (SELECT *, n > 0 OR (ok AND coalesce(pok AND pn = 0, false) AND coalesce(last, 0) < 3 AND streak < 2) AS open FROM z),
+k AS (SELECT board, seq, tm, row_number() OVER (PARTITION BY board ORDER BY seq) AS k FROM o WHERE open),
+l AS (SELECT DISTINCT board, link FROM r),
+p AS (SELECT l.board, l.link, k.k, k.tm, r.link IS NOT NULL AS there FROM l JOIN k USING (board) LEFT JOIN r ON r.board = l.board AND r.link = l.link AND r.seq = k.seq),
+q AS (SELECT *, coalesce(lag(there) OVER (PARTITION BY board, link ORDER BY k), false) AS was FROM p)
+SELECT board, link, CASE WHEN there THEN 'active' ELSE 'inactive' END AS status, strftime(tm, {_SHOW}) AS "at" FROM q WHERE there <> was""")
+def replayed_snapshots(spark, sf_dir):
+    """JOIN-1, M2 to M7 for all hourly snapshots of each board in their order."""
+    log, rows = _snapshots(spark, sf_dir)
+    return merge.replayed(log, rows).select("board", "link", "status", shown("at").alias("at"))
+
+
+@query(f"""WITH {_SNAPSHOTS}, c AS (SELECT g.board, g.seq, g.tm, g.ok, CAST(count(r.link) AS BIGINT) AS n FROM g LEFT JOIN r USING (board, seq) GROUP BY ALL),
+m AS (SELECT board, max(seq) AS top, arg_max(ok, seq) AS ok, arg_max(n, seq) AS n, arg_max(tm, seq) AS tm FROM c GROUP BY board),
+o AS (SELECT v.board, link, arg_max(there, seq) AS was FROM v JOIN m USING (board) WHERE seq < top GROUP BY v.board, link),
+s AS (SELECT DISTINCT board, link FROM r JOIN m USING (board) WHERE seq = top)
+SELECT board, link, CASE WHEN n = 0 THEN was ELSE s.link IS NOT NULL END AS active, CASE WHEN n > 0 AND s.link IS NULL AND was THEN 'inactive' WHEN s.link IS NOT NULL AND NOT coalesce(was, false) THEN 'active' END AS event,
+  CASE WHEN ok AND n > 0 THEN n END AS last_success_count, CASE WHEN n > 0 AND (s.link IS NULL) = coalesce(was, false) THEN strftime(tm, {_SHOW}) END AS told_at
+FROM o FULL JOIN s USING (board, link) JOIN m USING (board)""")
+def applied_scrape(spark, sf_dir):
+    """M1 to M9 for the last snapshot of each board, after the log of all before it, which make its content."""
+    log, rows = _snapshots(spark, sf_dir)
+    top = log.groupBy("board").agg(F.max("seq").alias("top"))
+    counts = rows.groupBy("board", "seq").agg(F.count("*").alias("n"))
+    earlier = log.join(top, "board").where("seq < top").join(counts, ["board", "seq"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    seen = observations(spark, sf_dir).join(top, "board").where(F.floor(F.unix_micros("at") / 3_600_000_000) < F.col("top"))
+    content = seen.groupBy("board", "link").agg((F.max_by("status", "seq") == "active").alias("active"))
+    content = content.select("board", "link", _said("t", F.col("link")).alias("title"), "active", F.col("link").alias("seq"))
+    status = F.when(F.col("active"), "active").otherwise("inactive")
+    told = content.select("board", "link", status.alias("status"), F.lit("2000-01-01").cast("timestamp").alias("at"), F.lit(0).alias("seq"))
+    scrape = rows.join(top, "board").where("seq = top").select("board", "link", _said("n", F.col("link")).alias("title"), F.col("link").alias("seq"))
+    made = merge.apply_scrape(content, told, earlier, log.join(top, "board").where("seq = top").select("board", "at", "ok"), scrape)
+    latest = made["history"].where("seq > 0").select("board", "link", shown("at").alias("told_at"))
+    found = made["content"].select("board", "link", "active", "event").join(made["markers"].select("board", "last_success_count"), "board", "left")
+    return found.join(latest, ["board", "link"], "left")
+
+
+@query(f"""WITH {_HISTORY}, j AS (SELECT board, link, arg_max(status, seq) = 'active' AS active, coalesce(min(CASE WHEN status = 'active' THEN tm END), min(tm)) AS since FROM h GROUP BY board, link),
+x AS (SELECT *, greatest(epoch_us(TIMESTAMP '2024-01-02 00:00:00') - epoch_us(since), 0) <= 86400000000 AS new FROM j)
+SELECT link, f AS filters FROM x, (SELECT unnest(['active', 'new', 'both', 'none']) AS f) WHERE CASE f WHEN 'active' THEN active WHEN 'new' THEN new WHEN 'both' THEN active AND new ELSE true END""")
+def listed_postings(spark, sf_dir):
+    """FLT-3: both filters of a list, alone, together, and neither."""
+    found = history.jobs(status_history(spark, sf_dir), KEY, F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    made = {"active": (True, False), "new": (False, True), "both": (True, True), "none": (False, False)}
+    kept = [history.listed(found, *x).select("link", F.lit(k).alias("filters")) for k, x in made.items()]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2]).unionByName(kept[3])
+
+
+@query(f"""WITH a AS (SELECT user_id % 10 AS board, ts AS tm, event_id AS seq, NOT (event_type = 'error' AND event_id % 3 = 0) AS ok,
+  CASE WHEN event_type = 'error' THEN 0 ELSE CAST(floor(value / 10) AS BIGINT) END AS n FROM events),
+l AS (SELECT board, arg_max(tm, seq) AS at, arg_max(n, seq) AS n FROM a WHERE ok AND n > 0 GROUP BY board),
+z AS (SELECT a.board, count(*) AS streak, min(tm) AS first_zero FROM a JOIN l USING (board) WHERE tm > l.at GROUP BY a.board)
+SELECT board, strftime(l.at, {_SHOW}) AS last_success_at, l.n AS last_success_count, strftime(l.at, {_SHOW}) AS last_nonzero_at, l.n AS last_nonzero_count,
+  CAST(coalesce(streak, 0) AS BIGINT) AS consecutive_zero_attempts, strftime(first_zero, {_SHOW}) AS first_zero_at FROM l LEFT JOIN z USING (board)""")
+def health_summaries(spark, sf_dir):
+    """H8."""
+    found = health.summary(health.states(attempts(spark, sf_dir)))
+    return found.select("board", shown("last_success_at").alias("last_success_at"), "last_success_count", shown("last_nonzero_at").alias("last_nonzero_at"), "last_nonzero_count", "consecutive_zero_attempts", shown("first_zero_at").alias("first_zero_at"))
+
+
 # events as snapshots: of each board one a day, holding the links that had an event other than an error on that day
 _SNAPSHOTS = """r AS (SELECT DISTINCT user_id % 10 AS board, CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS BIGINT) AS seq, user_id AS link FROM events
   WHERE event_type <> 'error' AND (user_id + date_diff('day', TIMESTAMP '2024-01-01', ts)) % 9 < 5 AND NOT ((user_id % 10) * 3 + date_diff('day', TIMESTAMP '2024-01-01', ts)) % 11 IN (4, 5)),
@@ -306,7 +385,7 @@ def board_contents(spark, sf_dir):
 def _streamed(spark, sf_dir, build) -> DataFrame:
     """What a stream of the events gives until all of them are read, by way of a written table."""
     path = f"{sf_dir.rstrip('/')}/events.parquet"
-    root = f"{folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    root = scratch(spark)
     # a file, as the tables are, is found by a pattern of its name
     source = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").parquet(path.replace("events.parquet", "events.parquet*"))
     made = build(source)

@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from jobtide.plans import catalogue, systems  # noqa: F401
+from jobtide.plans import catalogue, hot, systems  # noqa: F401
 
 SF_DIR = "/root/testdata/sf0.01"
-TABLES = ("customer", "orders", "lineitem", "part", "events", "documents", "pages")
+TABLES = ("customer", "orders", "lineitem", "part", "events", "documents", "pages", "nation")
 
 
 @pytest.fixture(scope="module")
