@@ -17,6 +17,7 @@ from jobtide.functions import texts, urls
 from jobtide.operators.dom import PAGE, attr, has_class, heading_texts, headings, whole_characters
 from jobtide.operators.history import first_wins
 from jobtide.operators.selectors import contained
+from jobtide.operators.stored import stored
 
 # Fixed value. Words in the label of a list of postings.
 LIST_WORDS = "job|career|vacan|opening|position"
@@ -141,7 +142,8 @@ def first_filled(candidates: DataFrame) -> DataFrame:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    found, heads = anchors(nodes), headings(nodes)
+    # resolving and judging links is the dearest part, and every extractor but the first reads them
+    found, heads = stored(anchors(nodes)), stored(headings(nodes))
     every = from_jsonld(nodes).unionByName(from_lists(nodes, found, heads)).unionByName(from_repeated(nodes, found, heads)).unionByName(from_anchors(found, heads))
     return first_filled(every)
 

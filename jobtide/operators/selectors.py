@@ -58,12 +58,13 @@ def _within(chosen: Column) -> Column:
 
 def within(nodes: DataFrame, area: DataFrame) -> DataFrame:
     """The nodes that lie inside a node of area (page, node_id, last_desc)."""
-    marks = area.select(*PAGE, "node_id", "last_desc").distinct().withColumn("_area", F.lit(True))
-    every = nodes.withColumn("_own", F.lit(True)).unionByName(marks, True)
+    marks = area.select(*PAGE, "node_id", F.col("last_desc").alias("_last")).distinct()
+    every = nodes.select(*PAGE, "node_id").unionByName(marks, True)
     # of one number the node itself comes before its mark: no node is inside itself
-    order = Window.partitionBy(*PAGE).orderBy("node_id", F.col("_area").isNotNull())
-    reach = F.max(F.when(F.col("_area"), F.col("last_desc"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return every.withColumn("_reach", reach).where("_own AND _reach >= node_id").select(*nodes.columns)
+    order = Window.partitionBy(*PAGE).orderBy("node_id", F.col("_last").isNotNull())
+    reach = F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    good = every.withColumn("_reach", reach).where("_last IS NULL AND _reach >= node_id")
+    return nodes.join(good.select(*PAGE, "node_id"), [*PAGE, "node_id"], "left_semi")
 
 
 def _compound(text: str) -> Column:
