@@ -110,12 +110,14 @@ def active_at(spans: DataFrame, moments: DataFrame, key: list[str], unit_seconds
 
     A span is cut into aligned stretches of 2^level units, at most two of a level, and a moment looks for the stretch that
     it is in on each level that the spans have: a join by equality, as many rows a span as the logarithm of its length.
-    Units at the edges are tested.
+    Units at the edges are tested. Times without a zone are placed by the session's, an hour wider for clocks that are set back.
     """
     at = moments.columns[0]
     micros = unit_seconds * 1_000_000
-    unit = lambda x: F.floor(_micros(x) / F.lit(micros)).cast("long")
-    moving = spans.where(F.col("end") > F.col("start")).withColumns({"_lo": unit(F.col("start")), "_hi": unit(F.col("end")) + 1})
+    unit = lambda x: F.floor(_micros(x.cast("timestamp")) / F.lit(micros)).cast("long")
+    zoneless = "timestamp_ntz" in (dict(spans.dtypes)["start"], dict(spans.dtypes)["end"], moments.dtypes[0][1])
+    slack = -(-3600 // unit_seconds) if zoneless else 0
+    moving = spans.where(F.col("end") > F.col("start")).withColumns({"_lo": unit(F.col("start")) - slack, "_hi": unit(F.col("end")) + 1 + slack})
     longest = moving.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 1
     levels = list(range(longest.bit_length() + 1))
     cut = moving.withColumn("_e", F.explode(cover(F.col("_lo"), F.col("_hi"), levels))).drop("_lo", "_hi")

@@ -73,6 +73,8 @@ def test_moments_in_spans(spark, unit):
     moments = spark.createDataFrame([(t,) for t in [*times, times[0], None]], "moment timestamp")
     found = sorted(map(tuple, history.active_at(spans, moments, ["k"], unit).collect()))
     assert found == sorted((t, k) for k, a, b in rows for t in times if a <= t < b) and found
+    zoneless = spans.select("k", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
+    assert sorted(map(tuple, history.active_at(zoneless, moments.select(F.col("moment").cast("timestamp_ntz").alias("moment")), ["k"], unit).collect())) == found
 
 
 def machine(attempts):
