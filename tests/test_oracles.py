@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from jobtide.plans import catalogue, hot, systems  # noqa: F401
+from jobtide.plans import catalogue, hot, replays, systems  # noqa: F401
 
 SF_DIR = "/root/testdata/sf0.01"
 TABLES = ("customer", "orders", "lineitem", "part", "events", "documents", "pages", "nation")
