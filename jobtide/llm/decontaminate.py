@@ -7,7 +7,7 @@ words (one, where m is 1), and a block that no window has lets the search skip m
 the block's hash selects the windows that end so at word m, and each is confirmed by comparing the words.
 
 A searcher keeps the items' bytes, hashes and places of words in flat arrays, less than ten times the items' bytes in all,
-and is built once in each worker; a benchmark of more than BLOCK_BYTES is searched in several passes.
+and is built once in each worker; a benchmark of more than BLOCK_BYTES is searched in several jobs, one block in memory at a time.
 
 Edge cases: a null or wordless text has no words and no hits; an empty table gives no rows; a very long text is worked
 on alone; repeated rows are searched each; a null item text has no windows; the windows of an item without an id are
@@ -21,13 +21,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtide.llm.batches import Texts, Words, add_columns, mixed
+from jobtide.llm.batches import Scratch, Texts, Words, add_columns, mixed, quoted
 
 WINDOW = 10
-#: Bytes of benchmark texts that are searched for in one pass; larger benchmarks take more passes.
+#: Bytes of benchmark texts that are searched for in one job; larger benchmarks take more jobs.
 BLOCK_BYTES = 16 << 20
 _BITS = 20
 _ADDED = "n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>"
@@ -170,24 +170,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(df: DataFrame, text_col: str, items: list[tuple[str | None, bytes]], keep: list[str] | None, more: bool):
-    shared = df.sparkSession.sparkContext.broadcast(items)
-
+def _pass(df: DataFrame, text_col: str, shared, keep: list[str] | None) -> DataFrame:
     token = uuid.uuid4().hex
 
     def factory(held):
         searcher = held(token, lambda: Searcher(shared.value))
 
-        def process(texts: Texts, before=None, named=None) -> list:
+        def process(texts: Texts) -> list:
             counts, spans, items = [], [], []
             for _, _, part in texts.chunks():
                 n, s, i = searcher.hits(part)
                 counts.append(n)
                 spans += s
                 items += i
-            if before is not None:
-                spans = [s + [(x["start"], x["end"]) for x in b] for s, b in zip(spans, before.to_pylist(), strict=True)]
-                items = [i | set(b) for i, b in zip(items, named.to_pylist(), strict=True)]
             return [
                 pa.array(np.concatenate(counts) if counts else [], pa.int64()),
                 [[{"start": s, "end": e} for s, e in merged(x)] if x else [] for x in spans],
@@ -196,7 +191,13 @@ def _pass(df: DataFrame, text_col: str, items: list[tuple[str | None, bytes]], k
 
         return process
 
-    return add_columns(df, text_col, _ADDED, factory, keep, ["hit_spans", "item_ids"] if more else None)
+    return add_columns(df, text_col, _ADDED, factory, keep)
+
+
+def _shared(items: DataFrame):
+    """A block's items on all executors; the block is bounded."""
+    rows = [(r["item"], bytes(r["text"])) for r in items.distinct().collect()]
+    return items.sparkSession.sparkContext.broadcast(rows)
 
 
 def find_benchmark(
@@ -205,24 +206,51 @@ def find_benchmark(
 ) -> DataFrame:
     """df with n_words, hit_spans (merged spans of words inside occurrences) and item_ids (sorted) of each text.
 
-    keep: the columns of df to carry (all, if None). The benchmark is read in blocks of bounded size; each is one
-    narrow pass over df, so documents are never shuffled.
+    keep: the columns of df to carry (all, if None). A benchmark of one block is one narrow pass over df, so documents are
+    not shuffled. A larger one is read in blocks, each a job of its own that writes its hits, so that at any time the driver
+    and each worker hold one block; the documents are written once, and their hits joined by a number of the row.
     """
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item"), F.encode("text", "UTF-8").alias("text")
     ).where("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    kept = keep
+    return _pass(df, text_col, _shared(items), keep) if blocks == 1 else _in_blocks(df, items, text_col, keep, blocks)
+
+
+def _in_blocks(df: DataFrame, items: DataFrame, text_col: str, keep: list[str] | None, blocks: int) -> DataFrame:
+    scratch = Scratch(df.sparkSession)
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("n_words", "hit_spans", "item_ids")]
+    others = F.struct(F.lit(True).alias("_"), *(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names) if c != text_col))
+    texts = scratch.table(df.select(F.monotonically_increasing_id().alias("row"), F.col(quoted(text_col)).alias("text"), others.alias("others")))
+    parted = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
+    counts, hits = None, []
     for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        rows = [(r["item"], bytes(r["text"])) for r in block.distinct().collect()]  # bounded by block_bytes
-        if k and keep is not None:
-            kept = list(dict.fromkeys([*keep]))
-        last = k == blocks - 1
-        carried = kept if last or kept is None else list(dict.fromkeys([*kept, text_col]))
-        df = _pass(df, text_col, rows, carried, bool(k))
-    return df
+        shared = _shared(parted.where(F.col("block") == k).select("item", "text"))
+        found = _pass(texts.select("row", "text"), "text", shared, ["row"])
+        if counts is None:  # every block counts the same words
+            counts = scratch.table(found)
+            hits.append(counts.where(F.size("hit_spans") > 0).drop("n_words"))
+        else:
+            hits.append(scratch.table(found.where(F.size("hit_spans") > 0).drop("n_words")))
+        shared.destroy()
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    spans = every.select("row", F.inline("hit_spans"))
+    earlier = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    apart = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    apart = apart.withColumn("island", F.sum("new").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = apart.groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    whole = whole.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hit_spans"))
+    named = every.select("row", F.explode("item_ids").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    told = counts.select("row", "n_words").join(whole, "row", "left").join(named, "row", "left")
+    kept = [F.col("text" if c == text_col else f"others.c{i}").alias(c) for i, c in enumerate(names)]
+    return texts.join(told, "row").select(
+        *kept, "n_words", F.coalesce("hit_spans", F.array().cast("array<struct<start:int,end:int>>")).alias("hit_spans"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+    )
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
