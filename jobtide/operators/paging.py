@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions import texts, urls
 from jobtide.operators.dom import PAGE, attr, has_class
+from jobtide.operators.stored import stored
 
 # Words on links to a next page, and the keys of page numbers and offsets.
 NEXT_WORDS = r"(?iU)\b(next|go to next page|weiter|suivant|siguiente)\b"
@@ -88,17 +89,26 @@ def next_pages(nodes: DataFrame) -> DataFrame:
 
 
 def crawl(starts: DataFrame, following: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """PAG-5: start, url, page_no of the pages reached from each start on one host; a bounded number of joins.
+    """PAG-5: start, url, page_no of the pages reached from each start on one host: one recursive plan, whatever max_pages is.
 
-    starts: url. following: url, next_url. Pages are told apart by their identity; a crawl ends at a page it knows.
+    starts: url. following: url, next_url; of several next pages of a URL the first in text order counts. Pages are told apart
+    by their identity; a crawl ends at a page it knows, at another host, or after max_pages. A row carries the identities of
+    its crawl, so it holds max_pages of them at most. Spark ends recursions at a million rows by default; here the bound is
+    max_pages, so that limit is lifted for the session.
     """
-    same = urls.host(F.col("url")) == urls.host(F.col("start"))
-    front = starts.select(F.col("url").alias("start"), "url", urls.page_identity(F.col("url")).alias("id"), F.lit(1).alias("page_no"))
-    seen = front
-    links = following.where("next_url IS NOT NULL")
-    for k in range(2, max_pages + 1):
-        moved = front.join(links, "url").select("start", F.col("next_url").alias("url")).where(same)
-        moved = moved.withColumn("id", urls.page_identity(F.col("url"))).withColumn("page_no", F.lit(k))
-        front = moved.join(seen.select("start", "id"), ["start", "id"], "left_anti")
-        seen = seen.unionByName(front)
-    return seen.select("start", "url", "page_no")
+    spark = starts.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    links = following.where("url IS NOT NULL AND next_url IS NOT NULL").groupBy("url").agg(F.min("next_url").alias("next_url"))
+    # all pages of a crawl are on its start's host, so a link needs to stay on its own
+    links = links.where(urls.host(F.col("next_url")) == urls.host(F.col("url")))
+    links = stored(links.withColumn("next_id", urls.page_identity(F.col("next_url"))))
+    fronts = starts.select("url", urls.page_identity(F.col("url")).alias("id"))
+    return spark.sql(
+        f"""WITH RECURSIVE reached(start, url, page_no, seen) MAX RECURSION LEVEL {max_pages + 1} AS (
+          SELECT url, url, 1, array(id) FROM {{fronts}}
+          UNION ALL
+          SELECT r.start, l.next_url, r.page_no + 1, array_append(r.seen, l.next_id) FROM reached r JOIN {{links}} l ON r.url = l.url
+          WHERE r.page_no < {max_pages} AND NOT array_contains(r.seen, l.next_id))
+        SELECT start, url, page_no FROM reached""",
+        fronts=fronts, links=links,
+    )

@@ -13,7 +13,7 @@ from jobtide.functions import texts, urls
 from jobtide.operators import adapters, dom, extract, health, history, merge, paging
 from jobtide.operators.stored import scratch
 from jobtide.plans.catalogue import _HEALTH, _HISTORY, _SHOW, KEY, _items, attempts, observations, query, shown, status_history, table
-from jobtide.sources import boards
+from jobtide.sources import boards, versions
 from jobtide.streaming import live
 
 # number of links of each page, and their numbers; id repeats every fourth
@@ -446,6 +446,19 @@ def files_by_content(spark, sf_dir):
     return boards.by_content(files).select("address", "path")
 
 
+@query("""SELECT d.doc_id, sha256(CASE WHEN l.toxic = 1 THEN coalesce(d.text, '') || ' (flagged)' ELSE d.text END) AS text_sha256, CASE WHEN l.toxic = 1 THEN 2 ELSE 1 END::BIGINT AS saved
+FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def saved_versions(spark, sf_dir):
+    """SNK-1, SNK-10: all documents saved, then those with a label, of which toxic ones change; then the same batch comes again with other rows."""
+    root = scratch(spark)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    flagged = F.when(F.col("toxic") == 1, F.concat(F.coalesce("text", F.lit("")), F.lit(" (flagged)"))).otherwise(F.col("text"))
+    labelled = documents.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").select("doc_id", flagged.alias("text"))
+    for batch, rows in ((1, documents), (2, labelled), (2, documents.withColumn("text", F.lit("again")))):
+        versions.save(rows, root, ["doc_id"], writer="crawl", batch=batch)
+    return versions.read(spark, root).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.col("_saved").alias("saved"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE sha256(p_name || ' é+') END AS address FROM part""")
 def data_uris(spark, sf_dir):
     """SRC-13."""

@@ -6,7 +6,7 @@ import pytest
 from jobtide.plans import catalogue, hot, replays, systems  # noqa: F401
 
 SF_DIR = "/root/testdata/sf0.01"
-TABLES = ("customer", "orders", "lineitem", "part", "events", "documents", "pages", "nation")
+TABLES = ("customer", "orders", "lineitem", "part", "events", "documents", "pages", "nation", "labels")
 
 
 @pytest.fixture(scope="module")

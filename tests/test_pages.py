@@ -127,6 +127,30 @@ def test_crawl(spark):
     assert sorted(tuple(r) for r in paging.crawl(starts, links).collect()) == [("http://h/1", "http://h/1", 1), ("http://h/1", "http://h/2", 2), ("http://h/x", "http://h/x", 1)]
 
 
+def walked(start, following, bound):
+    """The crawl by hand: pages are told apart by their address, as none here has two."""
+    seen, at = [], start
+    while at is not None and at not in seen and len(seen) < bound and at.split("/")[2] == start.split("/")[2]:
+        seen.append(at)
+        at = min(following.get(at, ()), default=None)
+    return [(start, url, k) for k, url in enumerate(seen, 1)]
+
+
+def test_long_crawls(spark):
+    # a chain beyond the bound, cycles that are entered at their middle, several next pages, another host on the way
+    following = {f"http://h/long/{k}": [f"http://h/long/{k + 1}"] for k in range(70)}
+    following |= {f"http://h/ring/{k}": [f"http://h/ring/{k + 1 if k < 29 else 10}"] for k in range(30)}
+    following |= {"http://h/fork": ["http://h/ring/3", "http://h/long/60"], "http://h/away": ["http://g/1"], "http://g/1": ["http://h/long/1"], "http://h/self": ["http://h/self"]}
+    links = spark.createDataFrame([(u, n) for u, many in following.items() for n in (*many, None)], "url string, next_url string")
+    starts = ["http://h/long/0", "http://h/long/40", "http://h/ring/0", "http://h/ring/20", "http://h/fork", "http://h/away", "http://h/self", "http://h/none"]
+    asked = spark.createDataFrame([(s,) for s in starts], "url string")
+    for bound in (1, 50):
+        found = sorted(tuple(r) for r in paging.crawl(asked, links, bound).collect())
+        assert found == sorted(x for s in starts for x in walked(s, following, bound))
+    assert paging.crawl(asked.limit(0), links).count() == 0
+    assert "UnionLoop" in paging.crawl(asked, links)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_boards(spark, tmp_path):
     job = {"title": "b", "link": "l1", "history": [{"status": "active", "at": "2024-01-01T00:00:00.000001Z"}]}
     board = {"title": "Acme", "icon_url": "i", "website_url": "w", "attempts": [{"at": "2024-01-01T00:00:00Z", "ok": True, "count": 3}], "content": [job]}
