@@ -169,15 +169,26 @@ def listed(found: DataFrame, only_active: bool = True, only_new: bool = False) -
     return found.where(good)
 
 
-def ranked(df: DataFrame, order: list, column: str = "place") -> DataFrame:
-    """SRT-4: df with each row's place in a total order from 1 on; rows are dealt by ranges of it, so no task sees all."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"))
+def ranked(df: DataFrame, order: list, column: str = "place", within: list[str] | None = None) -> DataFrame:
+    """SRT-3, SRT-4: df with each row's place in a total order from 1 on, over all rows or for each key of `within`.
+
+    Rows are dealt by ranges of key and order, so no task sees all rows, nor all of a key that has many; what a window adds up is
+    a row for each range and key in it. A null key is a key like others.
+    """
+    within = within or []
+    by = [*(F.col(c) for c in within), *order]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_part"))
     # one dealing serves the places and the counts
     dealt = stored(dealt.withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row a range
-    placed = dealt.join(F.broadcast(counts), "_part")
-    return placed.select(*df.columns, (F.col("_before") + F.col("_at") + 1).cast("int").alias(column))
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_part", *within).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    met = F.col("d._part") == F.col("c._part")
+    for c in within:
+        met = met & F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}"))
+    # without keys there is a row a range; with keys Spark chooses by the size that it finds
+    placed = dealt.alias("d").join((counts if within else F.broadcast(counts)).alias("c"), met)
+    return placed.select(*(f"d.{c}" for c in df.columns), (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int").alias(column))
 
 
 def first_wins(df: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -6,7 +6,7 @@ type active. Times are given as text in UTC.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.functions import texts, urls
@@ -480,9 +480,10 @@ def newest_feed(spark, sf_dir):
 @query(f"""WITH {_HISTORY}, j AS (SELECT board, link, arg_max(status, seq) = 'active' AS active, min(CASE WHEN status = 'active' THEN tm END) AS fa FROM h GROUP BY board, link)
 SELECT board, link, active, CAST(row_number() OVER (PARTITION BY board ORDER BY active DESC, CASE WHEN active THEN fa END DESC NULLS LAST, link) AS INTEGER) AS place FROM j""")
 def board_list(spark, sf_dir):
+    """SRT-3: places within a board, whose rows are many tasks' if they are many."""
     found = history.jobs(status_history(spark, sf_dir), KEY, as_of())
-    order = [F.col("active").desc(), F.when(F.col("active"), F.col("first_active")).desc_nulls_last(), "link"]
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("board").orderBy(*order))).select("board", "link", "active", "place")
+    order = [F.col("active").desc(), F.when(F.col("active"), F.col("first_active")).desc_nulls_last(), F.col("link").asc()]
+    return history.ranked(found, order, within=["board"]).select("board", "link", "active", "place")
 
 
 @query(f"""WITH {_HISTORY}, j AS (SELECT link, arg_max(status, seq) = 'active' AS active, epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(min(CASE WHEN status = 'active' THEN tm END)) AS age FROM h GROUP BY link)

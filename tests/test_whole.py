@@ -26,6 +26,36 @@ def test_feed_is_whole(spark):
     assert len(want) == 120 and rows(catalogue.QUERIES["newest_feed"](spark, SF_DIR)) == want
 
 
+def test_ranked_within_keys(spark):
+    # small ranges stay apart
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked_within_keys(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def ranked_within_keys(spark):
+    # a key with two thirds of all rows, keys of one row, a null key, rows that repeat
+    board = F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, F.col("id").cast("string"))
+    df = spark.range(3000).select(board.alias("board"), (F.col("id") % 50).alias("k"), "id")
+    df = df.unionByName(df.where("id = 1"))
+    got = history.ranked(df, [F.col("k").desc(), F.col("id").asc()], within=["board"])
+    want = {}
+    for r in df.collect():
+        want.setdefault(r["board"], []).append((-r["k"], r["id"]))
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["board"], []).append((r["place"], (-r["k"], r["id"])))
+    assert {b: [x for _, x in sorted(v)] for b, v in found.items()} == {b: sorted(v) for b, v in want.items()}
+    assert all(sorted(p for p, _ in v) == list(range(1, len(v) + 1)) for v in found.values())
+    assert got.columns == ["board", "k", "id", "place"]
+    assert history.ranked(df.limit(0), ["k"], within=["board"]).count() == 0
+    # the hot key is several tasks' work
+    dealt = df.repartitionByRange("board", "k", "id").where("board = 'hot'").select(F.spark_partition_id().alias("p"))
+    assert dealt.distinct().count() > 1
+
+
 def test_ranked(spark):
     df = spark.range(5000).select((F.col("id") % 7).alias("k"), "id").repartition(5)
     got = history.ranked(df, [F.col("k").desc(), F.col("id").asc()]).orderBy("place").collect()
