@@ -36,10 +36,10 @@ def _delete(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(found: DataFrame) -> DataFrame:
+def stored(found: DataFrame, by: list[str] | None = None) -> DataFrame:
     """found, computed once and written to the shared folder: what reads it several times does not compute it again, nor after a
-    lost executor, and reads the columns that it needs.
+    lost executor, and reads the columns that it needs. by: columns of few values, whose rows are read apart.
     """
     path = scratch(found.sparkSession)
-    found.write.parquet(path)
+    found.write.parquet(path, partitionBy=by)
     return found.sparkSession.read.schema(found.schema).parquet(path)

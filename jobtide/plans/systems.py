@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions import texts, urls
-from jobtide.operators import adapters, dom, extract, health, history, merge, paging
+from jobtide.operators import adapters, dispatch, dom, extract, health, history, merge, paging
 from jobtide.operators.stored import scratch
 from jobtide.plans.catalogue import _HEALTH, _HISTORY, _SHOW, KEY, _items, attempts, observations, query, shown, status_history, table
 from jobtide.sources import boards, versions
@@ -91,6 +91,39 @@ def postings_microsoft(spark, sf_dir):
     return adapters.from_microsoft(dom.nodes(pages)).select("page_id", "title", "link")
 
 
+@query(f"""WITH {_LINKS}, p AS (SELECT *, page_id % 5 AS kind FROM d)
+SELECT DISTINCT page_id, 'greenhouse' AS adapter, 'Title ' || id AS title, 'https://boards.greenhouse.io/acme/jobs/' || id AS link FROM p WHERE kind = 0 AND id % 7 <> 0
+UNION ALL SELECT page_id, 'workday', 'Role ' || min(i), 'https://acme.wd5.myworkdayjobs.com/en/app/details/Role_JR-' || (1000000 + id) FROM p WHERE kind = 1 GROUP BY page_id, id
+UNION ALL SELECT page_id, 'own', 'Own ' || min(i), 'https://jobs.own.example/o/' || id FROM p WHERE kind = 2 GROUP BY page_id, id
+UNION ALL SELECT page_id, 'generic', 'T ' || i, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/job/posting-' || i FROM p WHERE kind = 3
+UNION ALL SELECT page_id, 'generic', 'M ' || i, 'https://www.metacareers.com/job/posting-' || i FROM p WHERE kind = 4""")
+def postings_of_all_boards(spark, sf_dir):
+    """JOIN-4, JOIN-11, ADP-5, ADP-7, LIM-3: pages of two systems, of a board told by selectors, of none, and of one without an adapter."""
+    kind = F.col("page_id") % 5
+    number = lambda n: (n.cast("long") + 1_000_000).cast("string")
+    of = lambda *cases: F.when(kind == 0, cases[0]).when(kind == 1, cases[1]).when(kind == 2, cases[2]).when(kind == 3, cases[3]).otherwise(cases[4])
+    posting = lambda i, t: _said('<script type="application/ld+json">{"@type":"JobPosting","title":"', t, " ", i, '","url":"/job/posting-', i, '"}</script>')
+    item = lambda i, n: of(
+        _said('<table><tr class="job-post"><td class="cell"><a href="/acme/jobs/', n, '?gh_src=z">a</a></td></tr></table>'),
+        _said('<a data-automation-id="jobTitle" href="/en/app/job/Bern/Role_JR-', number(n), '">Role ', i, "</a>"),
+        _said('<div class="opening x"><a href="/none">z</a><a class="apply" href="/o/', n, '?utm_source=y">go</a><b class="role"> </b><b class="role">Own ', i, '</b></div><a class="apply" href="/o/x">none</a>'),
+        posting(i, "T"), posting(i, "M"),
+    )
+    url = of(F.lit("https://boards.greenhouse.io/acme"), F.lit("https://acme.wd5.myworkdayjobs.com/en/app"), F.lit("https://jobs.own.example/all"), F.col("url"), F.lit("https://www.metacareers.com/jobs"))
+    details = table(spark, sf_dir, "pages").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.col("page_id") * 100 + k)).alias("page_id"))
+    details = details.select("page_id", _said("https://boards.greenhouse.io/acme/jobs/", F.col("page_id")).alias("url"), F.when(F.col("page_id") % 7 == 0, "<p>none</p>").otherwise(_said("<h1>Title ", F.col("page_id"), "</h1>")).alias("html"))
+    boards_known = dispatch.Boards().add("own", dispatch.by_selectors("div.opening", "a.apply", "b.role"), host=r"^jobs\.own\.example$")
+    return boards_known.postings(_listing(spark, sf_dir, item, url), details).select("page_id", "adapter", "title", "link")
+
+
+@query(r"""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1))) AS href FROM pages""")
+def page_nodes_in_sql(spark, sf_dir):
+    """DOM-1, DOM-2 as a table function in a lateral join."""
+    dispatch.register(spark)
+    pages = table(spark, sf_dir, "pages")
+    return spark.sql("SELECT DISTINCT p.page_id, n.attrs['href'] AS href FROM {pages} p, LATERAL page_nodes(p.html, 'a') n WHERE n.tag = 'a' AND n.attrs['href'] IS NOT NULL", pages=pages)
+
+
 _PLACES = ("Geneva, Zurich", "Lyon | Genva", "Remote; Berlin", "")
 
 
