@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from jobtide.functions import texts, urls
 from jobtide.operators.dom import PAGE, attr, has_class, heading_texts, headings, whole_characters
 from jobtide.operators.history import first_wins
-from jobtide.operators.selectors import contained
+from jobtide.operators.selectors import contained, met
 from jobtide.operators.stored import stored
 
 # Fixed value. Words in the label of a list of postings.
@@ -90,7 +90,7 @@ def from_lists(nodes: DataFrame, found: DataFrame, heads: DataFrame) -> DataFram
     chosen = labelled.unionByName(several.select(*PAGE, "node_id", "last_desc")).distinct()
     items = nodes.where((F.col("tag") == "li") | ((F.col("tag") == "div") & (attr("role") == "listitem"))).select(*PAGE, "node_id", "last_desc")
     within = contained(chosen, items.toDF(*PAGE, "item", "item_last"), "item").select(*PAGE, F.col("node_id").alias("list"), F.col("item").alias("node_id"), F.col("item_last").alias("last_desc"))
-    others = items.join(chosen.select(*PAGE).distinct(), PAGE, "left_anti").withColumn("list", F.lit(0))
+    others = met(items, chosen.select(*PAGE).distinct(), PAGE, "left_anti").withColumn("list", F.lit(0))
     items = within.select(*PAGE, "list", "node_id", "last_desc").unionByName(others.select(*PAGE, "list", "node_id", "last_desc"))
     first = F.struct((~F.col("marked")).cast("int"), "a")
     usable = contained(items, found, "a")
@@ -99,10 +99,10 @@ def from_lists(nodes: DataFrame, found: DataFrame, heads: DataFrame) -> DataFram
         F.min_by(F.struct("link", "label", "words"), F.when(F.col("marked") | F.col("detail"), first)).alias("p"),
         F.max((F.col("marked") | F.col("detail"))).alias("has"), F.min_by(_filled("label", "words"), other).alias("other"),
     ).where("has")
-    titled = picked.join(heading_texts(items, heads), [*PAGE, "node_id"], "left")
+    titled = met(picked, heading_texts(items, heads), [*PAGE, "node_id"], "left")
     spans = nodes.where((F.col("tag") == "span") & attr("class").contains("title") & (F.trim("text") != "")).select(*PAGE, F.col("node_id").alias("s"), F.col("text").alias("span_text"))
     spans = contained(items.select(*PAGE, "node_id", "last_desc").distinct(), spans, "s").groupBy(*PAGE, "node_id").agg(F.min_by("span_text", "s").alias("span"))
-    titled = titled.join(spans, [*PAGE, "node_id"], "left").withColumn("title", F.trim(F.coalesce(_filled("longest", "p.label", "p.words"), "span", "other")))
+    titled = met(titled, spans, [*PAGE, "node_id"], "left").withColumn("title", F.trim(F.coalesce(_filled("longest", "p.label", "p.words"), "span", "other")))
     placed = titled.where("title <> ''").select(*PAGE, F.lit(2).alias("priority"), (F.col("list").cast("long") * 10_000_000 + F.col("node_id")).alias("pos"), "title", "p.link")
     return first_wins(placed, [*PAGE, "link"], ["pos"])
 
@@ -110,27 +110,27 @@ def from_lists(nodes: DataFrame, found: DataFrame, heads: DataFrame) -> DataFram
 def prototypes(nodes: DataFrame, least: int = LEAST_CHILDREN) -> DataFrame:
     """AGG-8: (page_id, url, kind, key): tags and classes that several children of one container share."""
     containers = nodes.where(F.col("tag").isin("div", "section", "main", "article")).select(*PAGE, F.col("node_id").alias("parent_id"))
-    children = nodes.withColumn("key", texts.class_key(attr("class"))).where(~texts.is_generic_class(F.col("key"))).join(containers, [*PAGE, "parent_id"])
+    children = met(nodes.withColumn("key", texts.class_key(attr("class"))).where(~texts.is_generic_class(F.col("key"))), containers, [*PAGE, "parent_id"])
     grouped = children.groupBy(*PAGE, "parent_id", F.col("tag").alias("kind"), "key").count()
     return grouped.where(F.col("count") >= least).select(*PAGE, "kind", "key").distinct()
 
 
 def from_repeated(nodes: DataFrame, found: DataFrame, heads: DataFrame, least: int = LEAST_CHILDREN) -> DataFrame:
     keyed = nodes.withColumn("classes", F.split(F.coalesce(attr("class"), F.lit("")), r"\s+"))
-    items = keyed.join(prototypes(nodes, least), PAGE).where((F.col("tag") == F.col("kind")) & (F.size(F.array_except(F.split("key", " "), "classes")) == 0))
+    items = met(keyed, prototypes(nodes, least), PAGE).where((F.col("tag") == F.col("kind")) & (F.size(F.array_except(F.split("key", " "), "classes")) == 0))
     items = items.select(*PAGE, "node_id", "last_desc").distinct()
     first = F.struct((~F.col("marked")).cast("int"), (~F.col("posting")).cast("int"), "a")
     picked = contained(items, found, "a").groupBy(*PAGE, "node_id", "last_desc").agg(F.min_by(F.struct("a", "link", "detail", "named", "words"), first).alias("p"))
-    picked = picked.where("p.detail").join(heading_texts(items, heads).select(*PAGE, "node_id", "longest"), [*PAGE, "node_id"], "left")
+    picked = met(picked.where("p.detail"), heading_texts(items, heads).select(*PAGE, "node_id", "longest"), [*PAGE, "node_id"], "left")
     in_anchor = heading_texts(found.select(*PAGE, F.col("a").alias("node_id"), F.col("a_last").alias("last_desc")), heads).select(*PAGE, F.col("node_id").alias("a"), F.col("longest").alias("inner"))
-    titled = picked.withColumn("a", F.col("p.a")).join(in_anchor, [*PAGE, "a"], "left").withColumn("title", _filled("longest", "p.named", "p.words", "inner"))
+    titled = met(picked.withColumn("a", F.col("p.a")), in_anchor, [*PAGE, "a"], "left").withColumn("title", _filled("longest", "p.named", "p.words", "inner"))
     placed = titled.where("title IS NOT NULL").select(*PAGE, F.lit(3).alias("priority"), F.col("node_id").cast("long").alias("pos"), "title", "p.link")
     return first_wins(placed, [*PAGE, "link"], ["pos"])
 
 
 def from_anchors(found: DataFrame, heads: DataFrame) -> DataFrame:
     own = heading_texts(found.select(*PAGE, F.col("a").alias("node_id"), F.col("a_last").alias("last_desc")), heads).select(*PAGE, F.col("node_id").alias("a"), "highest")
-    judged = found.join(own, [*PAGE, "a"], "left").where(F.col("marked") | F.col("classed") | F.col("detail") | texts.is_heading(F.col("highest")))
+    judged = met(found, own, [*PAGE, "a"], "left").where(F.col("marked") | F.col("classed") | F.col("detail") | texts.is_heading(F.col("highest")))
     titled = judged.withColumn("title", _filled(F.trim("highest"), "label", "words")).where("title IS NOT NULL")
     return first_wins(titled.select(*PAGE, F.lit(4).alias("priority"), F.col("a").cast("long").alias("pos"), "title", "link"), [*PAGE, "link"], ["pos"])
 
@@ -138,7 +138,7 @@ def from_anchors(found: DataFrame, heads: DataFrame) -> DataFrame:
 def first_filled(candidates: DataFrame) -> DataFrame:
     """LIM-3: of each page the candidates of its smallest priority; pages are joined to a minimum, not sorted."""
     best = candidates.groupBy(*PAGE).agg(F.min("priority").alias("priority"))
-    return candidates.join(best, [*PAGE, "priority"])
+    return met(candidates, best, [*PAGE, "priority"])
 
 
 def postings(nodes: DataFrame) -> DataFrame:

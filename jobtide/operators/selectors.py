@@ -24,6 +24,11 @@ _PART = re.compile(
 )
 
 
+def met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right by a shuffle: both grow with the pages, and a written table's size on disk tells little of what it takes in the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _shifted(x: Column, k: Column) -> Column:
     return F.call_function("shiftright", x, k)
 
@@ -47,7 +52,7 @@ def contained(outer: DataFrame, inner: DataFrame, at: str) -> DataFrame:
     bins = F.when(F.col(at) > 0, F.transform(_levels(F.col(at)), lambda k: stretch(k, _shifted(F.col(at), k)))).otherwise(F.array())
     left = outer.withColumn("_e", F.explode(cut)).withColumns({"_k": F.col("_e.k"), "_b": F.col("_e.b")}).drop("_e")
     right = inner.withColumn("_e", F.explode(bins)).withColumns({"_k": F.col("_e.k"), "_b": F.col("_e.b")}).drop("_e")
-    return left.join(right, [*PAGE, "_k", "_b"]).drop("_k", "_b")
+    return met(left, right, [*PAGE, "_k", "_b"]).drop("_k", "_b")
 
 
 def _within(chosen: Column) -> Column:
@@ -64,7 +69,7 @@ def within(nodes: DataFrame, area: DataFrame) -> DataFrame:
     order = Window.partitionBy(*PAGE).orderBy("node_id", F.col("_last").isNotNull())
     reach = F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     good = every.withColumn("_reach", reach).where("_last IS NULL AND _reach >= node_id")
-    return nodes.join(good.select(*PAGE, "node_id"), [*PAGE, "node_id"], "left_semi")
+    return met(nodes, good.select(*PAGE, "node_id"), [*PAGE, "node_id"], "left_semi")
 
 
 def _compound(text: str) -> Column:
@@ -130,7 +135,7 @@ def select(nodes: DataFrame, selector: str) -> DataFrame:
                 good = good & _within(F.col(f"_m{i}"))
             elif how == ">":
                 parents = found.where(f"_m{i}").select(*PAGE, F.col("node_id").alias("parent_id"), F.lit(True).alias("_up"))
-                found = found.join(parents, [*PAGE, "parent_id"], "left")
+                found = met(found, parents, [*PAGE, "parent_id"], "left")
                 good = good & F.coalesce("_up", F.lit(False))
             found = found.withColumn(f"_m{i}", good).drop("_up")
     return found.where(" OR ".join(f"_m{i}" for i in range(len(chains)))).select(*nodes.columns)

@@ -139,3 +139,12 @@ def test_texts_are_handed_on_in_parts(spark, monkeypatch):
     monkeypatch.setattr(dom, "BATCH_TEXT", 0)
     df = spark.createDataFrame([(1, "u", "<p>a<b>c</b></p><p>d</p>")], "page_id long, url string, html string")
     assert [(r["node_id"], r["text"]) for r in dom.nodes(df).orderBy("node_id").collect()] == [(r[0], r[-1]) for r in whole]
+
+
+def test_page_tables_are_not_broadcast(spark):
+    """Written tables are small on disk and large in the driver, so no extractor hands one to all tasks, however small it looks."""
+    html = '<ul aria-label="Jobs"><li><a href="/job/abcd-1">One</a></li></ul><section>' + '<p class="card x"><a href="/job/abcd-2"><h3>Two</h3></a></p>' * 3 + "</section>"
+    found = dom.stored(dom.nodes(spark.createDataFrame([(1, "https://h.example/", html)], "page_id long, url string, html string")))
+    postings = extract.postings(found)
+    assert "Broadcast" not in postings._jdf.queryExecution().executedPlan().toString()
+    assert [(r["priority"], r["title"]) for r in postings.collect()] == [(2, "One")]
