@@ -10,24 +10,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from jobtide.operators.health import BASELINE_WINDOW, DOWN_AFTER, FLAG_SECONDS, LEAST_BASELINE, LOG_LENGTH, due
 from jobtide.operators.history import FLAP_SECONDS
 
-_HEALTH_OUT = "board string, at timestamp, ok boolean, n long, status string, reason string, streak long, baseline long, last_nonzero_count long"
+_HEALTH_OUT = "board string, at timestamp, seq long, ok boolean, n long, status string, reason string, streak long, baseline long, last_nonzero_count long"
 _HEALTH_STATE = "log array<long>, streak long, first_zero long, last_nonzero long, baseline long, was_spike boolean"
+#: Rows of results that are handed on at once.
+HANDED_ON = 10_000
 _FLAP_OUT = "board string, link string, status string, at timestamp"
 _FLAP_STATE = "last string, pending long, given struct<status:string,at:long>, times array<long>, kinds array<string>"
 
 
 def health(attempts: DataFrame) -> DataFrame:
-    """attempts (board, at, ok, n), a stream: the health after each, as the batch windows give it.
+    """attempts (board, at, ok, n, and seq, if there), a stream: the health after each, as the batch windows give it.
 
     State is a board's last LOG_LENGTH counts (-1 for what was no success) and five scalars. Attempts of one micro-batch
-    are taken in the order of their times.
+    are taken in the order of (at, seq), a null seq first, and keep their seq, which tells those of one time apart.
     """
     window = FLAG_SECONDS * 1_000_000_000
 
+    def frame(out):
+        made = pd.DataFrame(out, columns=["board", "at", "seq", "ok", "n", "status", "reason", "streak", "baseline", "last_nonzero_count"])
+        return made.astype({"seq": "Int64", "baseline": "Int64", "last_nonzero_count": "Int64"})
+
     def step(key, groups, state: GroupState):
         log, streak, first_zero, last, baseline, spike = state.get if state.exists else ([], 0, None, None, None, False)
         log, out = list(log), []
-        for r in pd.concat(list(groups)).sort_values("at", kind="stable").itertuples():
+        for r in pd.concat(list(groups)).astype({"seq": "Int64"}).sort_values(["at", "seq"], kind="stable", na_position="first").itertuples():
             at, good = r.at.value, bool(r.ok and r.n > 0)
             log = [*log, int(r.n) if good else -1][-LOG_LENGTH:]
             if good:
@@ -43,13 +49,17 @@ def health(attempts: DataFrame) -> DataFrame:
                 else:
                     status = "suspect" if streak >= 2 else "normal"
             spike = good
-            out.append((key[0], r.at, r.ok, r.n, status, reason, streak, baseline, last))
+            if len(out) == HANDED_ON:
+                yield frame(out)
+                out = []
+            out.append((key[0], r.at, r.seq, r.ok, r.n, status, reason, streak, baseline, last))
         state.update((log, streak, first_zero, last, baseline, spike))
-        frame = pd.DataFrame(out, columns=["board", "at", "ok", "n", "status", "reason", "streak", "baseline", "last_nonzero_count"])
-        yield frame.astype({"baseline": "Int64", "last_nonzero_count": "Int64"})
+        yield frame(out)
 
-    grouped = attempts.select("board", "at", "ok", F.col("n").cast("long")).groupBy("board")
-    return grouped.applyInPandasWithState(step, _HEALTH_OUT, _HEALTH_STATE, "append", GroupStateTimeout.NoTimeout)
+    seq = F.col("seq").cast("long") if "seq" in attempts.columns else F.lit(None).cast("long")
+    grouped = attempts.select("board", "at", seq.alias("seq"), "ok", F.col("n").cast("long")).groupBy("board")
+    found = grouped.applyInPandasWithState(step, _HEALTH_OUT, _HEALTH_STATE, "append", GroupStateTimeout.NoTimeout)
+    return found if "seq" in attempts.columns else found.drop("seq")
 
 
 def changes(events: DataFrame, late: str = "6 hours") -> DataFrame:

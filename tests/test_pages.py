@@ -204,6 +204,17 @@ def test_streaming_health_is_batch_health(spark, tmp_path):
     assert sorted((r["board"], r["at"], r["status"], r["reason"], r["streak"], r["baseline"]) for r in got) == sorted(map(tuple, want))
 
 
+def test_streaming_health_tells_attempts_of_one_time_apart(spark, tmp_path, monkeypatch):
+    from jobtide.operators import health
+
+    monkeypatch.setattr(live, "HANDED_ON", 7)
+    rows = [(f"b{b}", T0 + timedelta(hours=i // 4), (i * 37) % 60, (i * 7 + b) % 5 > 0, (i * (b + 3)) % 4) for b in range(2) for i in range(60)]
+    df = spark.createDataFrame(rows, "board string, at timestamp, seq int, ok boolean, n long")
+    got = streamed(spark, tmp_path, df, live.health, "ties")
+    want = health.states(df).select("board", "at", "seq", "status", "reason", "streak", "baseline").collect()
+    assert sorted((r["board"], r["at"], r["seq"], r["status"], r["reason"], r["streak"], r["baseline"]) for r in got) == sorted(map(tuple, want))
+
+
 def test_streaming_flaps(spark, tmp_path):
     hours = [("active", 0), ("inactive", 10), ("active", 12), ("inactive", 30), ("active", 50), ("active", 51)]
     df = spark.createDataFrame([("b", "l", s, T0 + timedelta(hours=h)) for s, h in hours], "board string, link string, status string, at timestamp")
