@@ -320,6 +320,17 @@ def test_secrets_of_long_texts_are_linear(kind):
         assert len({(s, e) for s, e, _ in found}) >= wanted[kind]
 
 
+def test_secrets_of_any_length():
+    long = "Zq8#kP2x" * 4_000
+    assert secrets.lexed_spans(f'token = "{long}"') == [(9, 9 + len(long))]
+    parts = f"a = 'Zq8#{'kP2x' * 3_000}'\nb = 'aaaaaaa{'Zq8#' * 3_000}'\nkey_password = a + b"
+    assert len(secrets.lexed_spans(parts)) == 2
+    # each expression reaches all after it
+    chain = "".join(f"token{k} = token{k + 1} + 'Zq8#kP2x{k}'\n" for k in range(30_000)) + "token30000 = 'Zq8#kP2xLm'\n"
+    began = time.time()
+    assert len(secrets.lexed_spans(chain)) == 30_001 and time.time() - began < 40
+
+
 def test_secret_stage_takes_a_long_line(spark):
     rows = [(1, "a=1\n" + "x" * 3_000_000 + "\ntoken = 'Zq8#kP2xLm'")]
     hidden = secrets.mask_secrets(spark.createDataFrame(rows, "doc_id long, text string")).first()["text"]
