@@ -14,7 +14,8 @@ from jobtide.functions import texts, urls
 from jobtide.operators import places
 from jobtide.operators.dom import PAGE, attr, has_class, without
 from jobtide.operators.history import first_wins
-from jobtide.operators.selectors import contained, within
+from jobtide.operators.selectors import contained, met, within
+from jobtide.operators.stored import stored
 
 # The parameters of a list that the postings service filters by, and the rows of one of its pages.
 LEVER_FILTERS = ("location", "department", "team", "commitment", "level")
@@ -79,7 +80,8 @@ def from_ashby(nodes: DataFrame, details: DataFrame) -> DataFrame:
 
 def from_join(nodes: DataFrame, details: DataFrame) -> DataFrame:
     """ADP-6: anchors marked as links of cards; titles from the detail pages."""
-    found = links(nodes).where(attr("data-testid") == "Link")
+    # written, so that no task parses and resolves at once, each in a Python process of its own
+    found = stored(links(nodes).where(attr("data-testid") == "Link").select(*PAGE, "node_id", "attrs"))
     return _titled(_hosted(found, urls.join_link(attr("href"), F.col("url")), lambda x: F.lit(None).cast("string")), details)
 
 
