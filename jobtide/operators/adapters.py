@@ -118,7 +118,8 @@ def from_microsoft(nodes: DataFrame) -> DataFrame:
 
 def from_proton(nodes: DataFrame, terms: list[str] | None = None, most: int = 2) -> DataFrame:
     """ADP-4: anchors of the rows of the departments' tables, badges left out, filtered by location if there are terms."""
-    clean = without(nodes, "tag-container")
+    nodes = stored(nodes)  # what follows reads them many times: they are parsed once
+    clean = stored(without(nodes, "tag-container"))
     tables = nodes.where(has_class("job-posts--table--department"))
     rows = nodes.where((F.col("tag") == "tr") & has_class("job-post"))
     found = inside(links(clean), tables, rows)
@@ -131,7 +132,8 @@ def from_proton(nodes: DataFrame, terms: list[str] | None = None, most: int = 2)
     )
     # an anchor's own text stands for a title that is not marked
     plain = nodes.select(*PAGE, F.col("node_id").alias("a"), F.col("text").alias("whole"))
-    found = found.select(*PAGE, F.col("node_id").alias("a"), attr("href").alias("href")).join(told, [*PAGE, "a"], "left").join(plain, [*PAGE, "a"])
+    found = found.select(*PAGE, F.col("node_id").alias("a"), attr("href").alias("href"))
+    found = met(met(found, told, [*PAGE, "a"], "left"), plain, [*PAGE, "a"])
     link = urls.canonical(urls.absolute(F.col("href"), urls.proton_list(F.col("url"))))
     listed = found.select(
         *PAGE, F.col("a").cast("long").alias("pos"), F.coalesce("medium", "whole").alias("title"), link.alias("link"),
