@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobtide.functions import texts
-from jobtide.operators.selectors import PAGE, contained, within
+from jobtide.operators.selectors import PAGE, contained, met, within
 from jobtide.operators.stored import stored
 
 SCHEMA = "page_id long, url string, node_id int, parent_id int, last_desc int, tag string, attrs map<string,string>, own_text string, text string"
@@ -114,7 +114,7 @@ def nodes(pages: DataFrame, tags: tuple[str, ...] | None = None, text_of: tuple[
             return pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(columns, schema.types[2:], strict=True))], schema=schema)
 
         for batch in batches:
-            for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, url, html in ((x.as_py() for x in row) for row in zip(*batch.columns, strict=True)):  # one page at a time
                 rows, size = [], 0
                 for row in parse(html or "", names, named):
                     rows.append(row)
@@ -255,12 +255,12 @@ def without(found: DataFrame, class_name: str) -> DataFrame:
     """
     removed = found.where(has_class(class_name)).select(*PAGE, "node_id", "last_desc")
     gone = within(found, removed).select(*PAGE, "node_id").unionByName(removed.select(*PAGE, "node_id")).distinct()
-    left = found.join(gone, [*PAGE, "node_id"], "left_anti")
+    left = met(found, gone, [*PAGE, "node_id"], "left_anti")
     holders = contained(left.select(*PAGE, "node_id", "last_desc"), removed.select(*PAGE, F.col("node_id").alias("r")), "r").drop("r").distinct()
     said = left.where(~F.col("tag").isin("script", "style") & (F.col("own_text") != "")).select(*PAGE, F.col("node_id").alias("t"), "own_text")
-    parts = contained(holders, said, "t").unionByName(holders.join(said.withColumn("node_id", F.col("t")), [*PAGE, "node_id"]))
+    parts = contained(holders, said, "t").unionByName(met(holders, said.withColumn("node_id", F.col("t")), [*PAGE, "node_id"]))
     made = parts.groupBy(*PAGE, "node_id").agg(F.array_sort(F.collect_list(F.struct("t", "own_text"))).alias("p"))
     made = made.select(*PAGE, "node_id", F.array_join("p.own_text", " ").alias("_text"))
     held = holders.select(*PAGE, "node_id", F.lit(True).alias("_held"))
-    out = left.join(held, [*PAGE, "node_id"], "left").join(made, [*PAGE, "node_id"], "left")
+    out = met(met(left, held, [*PAGE, "node_id"], "left"), made, [*PAGE, "node_id"], "left")
     return out.withColumn("text", F.when(F.col("_held"), F.coalesce("_text", F.lit(""))).otherwise(F.col("text"))).drop("_held", "_text")

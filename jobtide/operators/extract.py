@@ -77,7 +77,8 @@ def _filled(*columns):
 
 def from_jsonld(nodes: DataFrame) -> DataFrame:
     scripts = nodes.where((F.col("tag") == "script") & (attr("type") == "application/ld+json"))
-    found = scripts.select(*PAGE, "node_id", F.posexplode(_postings("own_text")).alias("i", "p")).withColumn("ref", urls.absolute(F.col("p.ref"), F.col("url")))
+    # written, so that no task parses pages and scripts at once, each in a Python process of its own
+    found = stored(scripts.select(*PAGE, "node_id", "own_text")).select(*PAGE, "node_id", F.posexplode(_postings("own_text")).alias("i", "p")).withColumn("ref", urls.absolute(F.col("p.ref"), F.col("url")))
     kept = found.where(urls.is_detail(F.col("ref")))
     return kept.select(*PAGE, F.lit(1).alias("priority"), (F.col("node_id").cast("long") * 1_000_000 + F.col("i")).alias("pos"), "p.title", urls.canonical(F.col("ref")).alias("link"))
 

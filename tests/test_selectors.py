@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from jobtide.operators import dom, extract, selectors
+from jobtide.operators import adapters, dom, extract, selectors
 
 # what a page of boards is asked for: rows and cells, lists by label, cards, marked links
 SELECTORS = (
@@ -148,3 +148,10 @@ def test_page_tables_are_not_broadcast(spark):
     postings = extract.postings(found)
     assert "Broadcast" not in postings._jdf.queryExecution().executedPlan().toString()
     assert [(r["priority"], r["title"]) for r in postings.collect()] == [(2, "One")]
+
+
+def test_pages_are_parsed_before_what_reads_them(spark):
+    """No plan parses a page again for each of its readers, nor resolves links in the tasks that parse."""
+    pages = spark.createDataFrame([(1, "https://join.com/companies/acme", "<p>x</p>")], "page_id long, url string, html string")
+    made = adapters.from_proton(dom.nodes(pages)), extract.from_jsonld(dom.nodes(pages)), adapters.from_join(dom.nodes(pages), dom.stored(dom.nodes(pages)))
+    assert not any("MapInArrow" in df._jdf.queryExecution().executedPlan().toString() for df in made)
