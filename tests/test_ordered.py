@@ -108,3 +108,16 @@ def test_rocksdb_gives_the_setting_back(spark):
     with pytest.raises(ZeroDivisionError), ordered.rocksdb(spark):
         1 / 0  # noqa: B018
     assert spark.conf.get(name) == before
+
+
+def test_results_are_given_as_they_are_made():
+    """A fold holds no list of what it gives: its first result is there before its second row is read."""
+    read = []
+
+    def rows():
+        for k in range(3):
+            read.append(k)
+            yield k * 1_000_000, k, True, 5, False
+
+    folded = ordered._Health(["board"]).fold(None, rows(), 10_000_000)
+    assert next(folded)["status"] == "normal" and read == [0]
