@@ -24,6 +24,10 @@ SUMMARY = (
 )
 
 
+#: Rows that a task replays, about.
+TASK_ROWS = 200_000
+
+
 def _tail(x: Column, n: int) -> Column:
     return F.slice(x, F.greatest(F.size(x) - n + 1, F.lit(1)), n)
 
@@ -96,6 +100,9 @@ def states(attempts: DataFrame, board: str = "board", width_seconds: float = 86_
     columns = [c for c in attempts.columns if c != "manual"]
     marked = stored(_marked(attempts, width_seconds))
     x = with_carry(marked, carried(summaries(marked, board), [board], merged), [board])
+    # the windows keep this dealing, so what a task sorts does not grow with the log as long as it has buckets to deal
+    tasks = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), marked.count() // TASK_ROWS + 1)
+    x = x.repartition(tasks, board, "bucket")
     log = Window.partitionBy(board, "bucket").orderBy("at", "seq")
     so_far = log.rowsBetween(Window.unboundedPreceding, 0)
     # collect_list leaves nulls out, so an attempt without a count is -1
