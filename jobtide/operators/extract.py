@@ -7,6 +7,7 @@ an item or an anchor is joined by aligned stretches of the page, and every choic
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobtide.functions import texts, urls
-from jobtide.operators.dom import PAGE, attr, has_class, heading_texts, headings, whole_characters
+from jobtide.operators.dom import HEADINGS, PAGE, attr, has_class, heading_texts, headings, whole_characters
 from jobtide.operators.history import first_wins
 from jobtide.operators.selectors import contained, met
 from jobtide.operators.stored import stored
@@ -22,6 +23,8 @@ from jobtide.operators.stored import stored
 # Fixed value. Words in the label of a list of postings.
 LIST_WORDS = "job|career|vacan|opening|position"
 LEAST_CHILDREN = 3
+#: Elements whose text the extractors read, besides those with a role.
+TEXT_OF = ("a", "span", *HEADINGS)
 
 
 def flattened(payload) -> list[dict]:
@@ -88,11 +91,12 @@ def from_lists(nodes: DataFrame, found: DataFrame, heads: DataFrame) -> DataFram
     labelled = lists.where(F.lower(attr("aria-label")).rlike(LIST_WORDS)).select(*PAGE, "node_id", "last_desc")
     counted = contained(lists.select(*PAGE, "node_id", "last_desc"), found, "a").groupBy(*PAGE, "node_id", "last_desc")
     several = counted.agg(F.count_if("marked").alias("m"), F.count_if("detail").alias("d")).where("m >= 2 OR d >= 2")
-    chosen = labelled.unionByName(several.select(*PAGE, "node_id", "last_desc")).distinct()
+    # written, as what follows reads both several times, and a plan that held each reading would outgrow the driver
+    chosen = stored(labelled.unionByName(several.select(*PAGE, "node_id", "last_desc")).distinct())
     items = nodes.where((F.col("tag") == "li") | ((F.col("tag") == "div") & (attr("role") == "listitem"))).select(*PAGE, "node_id", "last_desc")
     within = contained(chosen, items.toDF(*PAGE, "item", "item_last"), "item").select(*PAGE, F.col("node_id").alias("list"), F.col("item").alias("node_id"), F.col("item_last").alias("last_desc"))
     others = met(items, chosen.select(*PAGE).distinct(), PAGE, "left_anti").withColumn("list", F.lit(0))
-    items = within.select(*PAGE, "list", "node_id", "last_desc").unionByName(others.select(*PAGE, "list", "node_id", "last_desc"))
+    items = stored(within.select(*PAGE, "list", "node_id", "last_desc").unionByName(others.select(*PAGE, "list", "node_id", "last_desc")))
     first = F.struct((~F.col("marked")).cast("int"), "a")
     usable = contained(items, found, "a")
     other = F.when(_filled("label", "words").isNotNull(), F.col("a"))
@@ -119,7 +123,7 @@ def prototypes(nodes: DataFrame, least: int = LEAST_CHILDREN) -> DataFrame:
 def from_repeated(nodes: DataFrame, found: DataFrame, heads: DataFrame, least: int = LEAST_CHILDREN) -> DataFrame:
     keyed = nodes.withColumn("classes", F.split(F.coalesce(attr("class"), F.lit("")), r"\s+"))
     items = met(keyed, prototypes(nodes, least), PAGE).where((F.col("tag") == F.col("kind")) & (F.size(F.array_except(F.split("key", " "), "classes")) == 0))
-    items = items.select(*PAGE, "node_id", "last_desc").distinct()
+    items = stored(items.select(*PAGE, "node_id", "last_desc").distinct())
     first = F.struct((~F.col("marked")).cast("int"), (~F.col("posting")).cast("int"), "a")
     picked = contained(items, found, "a").groupBy(*PAGE, "node_id", "last_desc").agg(F.min_by(F.struct("a", "link", "detail", "named", "words"), first).alias("p"))
     picked = met(picked.where("p.detail"), heading_texts(items, heads).select(*PAGE, "node_id", "longest"), [*PAGE, "node_id"], "left")
@@ -145,8 +149,9 @@ def first_filled(candidates: DataFrame) -> DataFrame:
 def postings(nodes: DataFrame) -> DataFrame:
     # resolving and judging links is the dearest part, and every extractor but the first reads them
     found, heads = stored(anchors(nodes)), stored(headings(nodes))
-    every = from_jsonld(nodes).unionByName(from_lists(nodes, found, heads)).unionByName(from_repeated(nodes, found, heads)).unionByName(from_anchors(found, heads))
-    return first_filled(every)
+    # one plan for each extractor: that of all four, twice over for the minimum, is kept and planned anew in the driver as each stage ends
+    every = (stored(x) for x in (from_jsonld(nodes), from_lists(nodes, found, heads), from_repeated(nodes, found, heads), from_anchors(found, heads)))
+    return first_filled(reduce(DataFrame.unionByName, every))
 
 
 def from_lever(payloads: DataFrame) -> DataFrame:

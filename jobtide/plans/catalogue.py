@@ -398,7 +398,7 @@ def first_nonempty_extractor(spark, sf_dir):
     """Postings of the pages; their links made to look like posting pages, which the table has none of."""
     pages = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", r'href="/([A-Za-z])', 'href="/job/posting-$1'))
     # every extractor reads the nodes: they are parsed once
-    return extract.postings(dom.stored(dom.nodes(pages))).select("page_id", "priority", "title", "link")
+    return extract.postings(dom.stored(dom.nodes(pages, text_of=extract.TEXT_OF))).select("page_id", "priority", "title", "link")
 
 
 _PAGERS = (

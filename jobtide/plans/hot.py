@@ -93,7 +93,7 @@ def extractor_priorities(spark, sf_dir):
     kind = F.col("page_id") % 5
     html = _said("<body>", *(F.when(kind <= k, part).otherwise("") for k, part in enumerate((jsonld, lists, cards, anchor))), "</body>")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
-    return extract.postings(dom.stored(dom.nodes(pages))).select("page_id", "priority", "title", "link")
+    return extract.postings(dom.stored(dom.nodes(pages, text_of=extract.TEXT_OF))).select("page_id", "priority", "title", "link")
 
 
 @query(r"""WITH w AS (SELECT p_name AS s, p_partkey % len(p_name) + 1 AS k FROM part),

@@ -155,3 +155,15 @@ def test_pages_are_parsed_before_what_reads_them(spark):
     pages = spark.createDataFrame([(1, "https://join.com/companies/acme", "<p>x</p>")], "page_id long, url string, html string")
     made = adapters.from_proton(dom.nodes(pages)), extract.from_jsonld(dom.nodes(pages)), adapters.from_join(dom.nodes(pages), dom.stored(dom.nodes(pages)))
     assert not any("MapInArrow" in df._jdf.queryExecution().executedPlan().toString() for df in made)
+
+
+def test_each_extractor_is_a_plan_of_its_own(spark):
+    """The driver holds a plan for each extractor, not one of all of them for each time they are read."""
+    html = '<body><ul><li><a href="/job/abcd-1">One</a></li></ul><section>' + '<p class="card x"><a href="/job/abcd-2"><h3>Two</h3></a></p>' * 3 + '</section><b><a href="/job/abcd-3">Three</a></b></body>'
+    pages = spark.createDataFrame([(1, "https://h.example/", html), (2, "https://h.example/", html.replace("<li>", "<b>"))], "page_id long, url string, html string")
+    postings = extract.postings(dom.stored(dom.nodes(pages, text_of=extract.TEXT_OF)))
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
+    assert {(r["page_id"], r["priority"], r["title"]) for r in postings.collect()} == {(1, 2, "One"), (2, 3, "Two")}
+    # no extractor reads the text of another element
+    assert sorted(postings.collect()) == sorted(extract.postings(dom.stored(dom.nodes(pages))).collect())
