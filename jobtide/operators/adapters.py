@@ -184,19 +184,25 @@ def from_lever_pages(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """ADP-1: postings (url, page_no, pos, title, link) of the answers (url, status, html) to lever_requests().
 
     A call that failed is answered by the other region's. A list ends at its first page with fewer rows than a full one.
+    Of calls alone it is told first who answers them; answers then stream past a table of those, and no join sorts their texts or rows.
     """
     good = answers.where("status = 200 AND html IS NOT NULL").select(F.col("url").alias("call"), F.col("html").alias("json"))
-    own = requests.join(good.toDF("api_url", "own"), "api_url", "left").join(good.toDF("other_url", "other"), "other_url", "left")
-    got = own.withColumn("json", F.coalesce("own", "other"))
+    known = good.select("call").distinct().withColumn("_known", F.lit(True))
+    asked = requests.join(known.toDF("api_url", "_own"), "api_url", "left").join(known.toDF("other_url", "_other"), "other_url", "left")
+    asked = asked.select("url", "site", "posting", "page_no", F.when(F.col("_own"), F.col("api_url")).when(F.col("_other"), F.col("other_url")).alias("call"))
+    got = good.join(asked.where("call IS NOT NULL").hint("shuffle_hash"), "call")
     item = "struct<id:string,text:string,hostedUrl:string,applyUrl:string>"
     listed = (
         F.when(F.col("posting").isNotNull(), F.array(F.from_json("json", item)))
         .when(F.col("json").rlike(r"^\s*\["), F.from_json("json", f"array<{item}>"))
         .otherwise(F.from_json("json", f"struct<data:array<{item}>>")["data"])
     )
-    got = got.withColumn("rows", F.coalesce(listed, F.array().cast(f"array<{item}>")))
-    stops = got.where(F.size("rows") < LEVER_LIMIT).groupBy("url").agg(F.min("page_no").alias("stop"))
-    got = got.join(stops, "url", "left").where("stop IS NULL OR page_no <= stop")
+    got = got.select("url", "site", "posting", "page_no", F.coalesce(listed, F.array().cast(f"array<{item}>")).alias("rows"))
+    # written, so that answers are parsed once and their rows need not be read for the stops
+    got = stored(got.withColumn("n", F.size("rows")))
+    short = got.where(F.col("n") < LEVER_LIMIT).select("url", "page_no").unionByName(asked.where("call IS NULL").select("url", "page_no"))
+    stops = short.groupBy("url").agg(F.min("page_no").alias("stop"))
+    got = got.join(stops.hint("shuffle_hash"), "url", "left").where("stop IS NULL OR page_no <= stop")
     rows = got.select("url", "site", "posting", "page_no", F.posexplode("rows").alias("pos", "p"))
     filled = lambda c: F.nullif(c, F.lit(""))
     made = F.concat(F.lit("https://jobs.lever.co/"), F.col("site"), F.lit("/"), F.col("p.id"))

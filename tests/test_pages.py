@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from jobtide.operators import dom, extract, paging
+from jobtide.operators import adapters, dom, extract, paging
 from jobtide.sources import boards, fetch
 from jobtide.streaming import live
 
@@ -253,3 +253,42 @@ def test_streaming_windows(spark, tmp_path):
     got = streamed(spark, tmp_path, df, lambda s: live.tumbling(s), "windows")
     assert sorted((r["w"]["start"].hour, r["n"]) for r in got)[:2] == [(0, 2), (1, 1)]
     assert {r["n"] for r in live.sessions(df, "1 hour").collect()} == {3, 1}
+
+
+def test_lever_answers_are_not_sorted(spark):
+    """Answers and their rows stream past tables of calls; a task sorts none of them, however many there are."""
+    boards = spark.createDataFrame([(f"https://jobs.lever.co/s{i}",) for i in range(5)] + [("https://jobs.eu.lever.co/s5/one",), ("https://jobs.lever.co/none",)], "url string")
+    calls = adapters.lever_requests(boards)
+    row = '{{"id": "{0}", "text": " T{0} ", "hostedUrl": ""}}'.format
+    page = lambda first, n: "[" + ", ".join(row(first + k) for k in range(n)) + "]"
+    at = lambda r, region: r["api_url"] if region == "own" else r["other_url"]
+    # s0: two pages; s1: by the other region; s2: both regions answer; s3: its second page is lost; s4: a full page, then {"data": []}
+    answers = []
+    for r in calls.collect():
+        site, k = r["site"], r["page_no"]
+        text = page(k * 50, 50 if k == 0 else 3 if k == 1 else 50)
+        if site == "s5":
+            answers.append((at(r, "own"), 200, row(7).replace('""', '"https://h/7"')))
+        elif site == "s4" and k:
+            answers.append((at(r, "own"), 200, '{"data": []}'))
+        elif site != "none" and not (site == "s3" and k == 1):
+            if site != "s1":
+                answers.append((at(r, "own"), 200, text))
+            else:
+                answers.append((at(r, "own"), 500, text))
+            if site in ("s1", "s2"):
+                answers.append((at(r, "other"), 200, text))
+    found = adapters.from_lever_pages(calls, spark.createDataFrame(answers, "url string, status int, html string"))
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [next((i for i, c in enumerate(x) if c.isalpha()), 0) for x in lines]
+    above, least = [], 10**6
+    for x, n in reversed(list(zip(lines, depth, strict=True))[: next(i for i, x in enumerate(lines) if "FileScan" in x and "rows#" in x) + 1]):
+        if n < least:
+            above.append(x)
+            least = n
+    assert any("ShuffledHashJoin" in x for x in above) and not any("Sort" in x for x in above)
+    counts = {}
+    for r in found.collect():
+        counts.setdefault(r["url"].rsplit("lever.co/")[1], []).append((r["page_no"], r["pos"], r["title"], r["link"]))
+    assert {k: len(v) for k, v in counts.items()} == {"s0": 53, "s1": 53, "s2": 53, "s3": 50, "s4": 50, "s5/one": 1}
+    assert sorted(counts["s1"])[-1] == (1, 2, "T52", "https://jobs.lever.co/s1/52") and counts["s5/one"] == [(0, 0, "T7", "https://h/7")]
